@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import p1_similar_vectors as p1
 from . import p2_near_duplicates as p2
 from .common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.found(table(spark, sf_dir, "embedding_responses"))
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar vectors of each whose id is divisible by 50."""
+    vectors = p1.response_vectors(table(spark, sf_dir, "embedding_responses"))
+    return p1.neighbours(vectors, of="id % 50 = 0")
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.recall(table(spark, sf_dir, "embedding_responses"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2.found(table(spark, sf_dir, "papers"), table(spark, sf_dir, "chunks"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return {
+        name: query
+        for name, query in globals().items()
+        if re.match(r"p\d_", name)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
