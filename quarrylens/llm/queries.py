@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import p1_similar_vectors as p1
 from . import p2_near_duplicates as p2
+from . import p6_leaks as p6
 from .common import table
 
 
@@ -30,6 +31,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2.found(table(spark, sf_dir, "papers"), table(spark, sf_dir, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items"))
+
+
+def p6_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest match of each document and item, and where it starts."""
+    return p6.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items"))
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that leak nothing."""
+    kept = p6.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items"))
+    return kept.select("doc_id", "source", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: query
@@ -39,4 +55,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .sql import ORACLE
+
+    return dict(ORACLE)
