@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import p1_similar_vectors as p1
 from . import p2_near_duplicates as p2
+from . import p3_broken_pairs as p3
 from . import p6_leaks as p6
 from .common import table
 
@@ -31,6 +32,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2.found(table(spark, sf_dir, "papers"), table(spark, sf_dir, "chunks"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.broken_pairs(table(spark, sf_dir, "qa_logs"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.defect_report(table(spark, sf_dir, "qa_logs"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items"))
 
