@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import p1_similar_vectors as p1
 from . import p2_near_duplicates as p2
 from . import p3_broken_pairs as p3
+from . import p4_text_quality as p4
 from . import p6_leaks as p6
 from .common import table
 
@@ -40,6 +41,18 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3.defect_report(table(spark, sf_dir, "qa_logs"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4.found(table(spark, sf_dir, "chunks"))
+
+
+def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4.quality(table(spark, sf_dir, "chunks"))
+
+
+def p4_against_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4.against_classifier(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_classifications"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items"))
 
