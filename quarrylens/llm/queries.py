@@ -12,6 +12,7 @@ from . import p2_near_duplicates as p2
 from . import p3_broken_pairs as p3
 from . import p4_text_quality as p4
 from . import p6_leaks as p6
+from . import p8_reading_level as p8
 from .common import table
 
 
@@ -68,6 +69,15 @@ def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "n_chars")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each source have each reading level."""
+    return p8.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: query
