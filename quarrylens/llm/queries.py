@@ -6,12 +6,14 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import p1_similar_vectors as p1
 from . import p2_near_duplicates as p2
 from . import p3_broken_pairs as p3
 from . import p4_text_quality as p4
 from . import p6_leaks as p6
+from . import p7_mixture as p7
 from . import p8_reading_level as p8
 from .common import table
 
@@ -69,6 +71,23 @@ def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "n_chars")
 
 
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual shares at the largest budget that meets every target."""
+    return p7.report(p7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
+def p7_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual shares at a budget of all tokens: small sources are tempered to their repetitions."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    total = p7.token_counts(documents).agg(F.sum("tokens")).first()[0] or 0
+    return p7.report(p7.mix(documents, targets, budget=total))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents taken, a row for each copy."""
+    return p7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).rows
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
