@@ -12,6 +12,7 @@ from . import p1_similar_vectors as p1
 from . import p2_near_duplicates as p2
 from . import p3_broken_pairs as p3
 from . import p4_text_quality as p4
+from . import p5_scanned as p5
 from . import p6_leaks as p6
 from . import p7_mixture as p7
 from . import p8_reading_level as p8
@@ -56,6 +57,19 @@ def p4_against_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4.against_classifier(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_classifications"))
 
 
+def _p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.records(table(spark, sf_dir, "pdf_extracts"), table(spark, sf_dir, "articles"), table(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.noise(_p5_records(spark, sf_dir), table(spark, sf_dir, "papers"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned texts as running paragraphs."""
+    return p5.repaired(_p5_records(spark, sf_dir), table(spark, sf_dir, "papers"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items"))
 
