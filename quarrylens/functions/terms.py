@@ -37,6 +37,13 @@ def query_terms(question: Column) -> Column:
     return unique_folded(F.concat(base_terms(question), enrichment(question)))
 
 
+def folded_terms(text: Column) -> Column:
+    """The same terms lower-cased, as a set: linear in the text, for long ones."""
+    found = F.regexp_extract_all(text, F.lit(f"({_TERM})"), 1)
+    kept = F.filter(found, lambda t: (F.length(t) > 1) | t.rlike(r"^[A-Za-z0-9]+$"))
+    return F.array_distinct(F.transform(F.concat(kept, enrichment(text)), F.lower))
+
+
 def match_string(terms: Column) -> Column:
     """The first 12 terms quoted and joined by OR."""
     quoted = F.transform(F.slice(terms, 1, 12), lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"')))

@@ -8,12 +8,15 @@ whose group limit Spark applies before the shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import rules
-from ..functions.terms import fact_intents, query_terms, rank_terms
+from ..functions.terms import fact_intents, folded_terms, query_terms, rank_terms
 from ..functions.text import occurrences, rank_text, total_occurrences
 
 _COLUMNS = ["query_id", "route", "position", "chunk_id", "route_score"]
@@ -93,18 +96,29 @@ def fact_route(questions: DataFrame, chunks: DataFrame, facts: DataFrame, limit:
     return _ranked(scored, "fact", [F.desc("score"), "id", "fact_type"], limit)
 
 
-def hash_bucket(term: Column) -> Column:
+def hash_bucket(term: str) -> int:
     """The bucket of a term among 64: the low six bits of a byte-wise multiplicative hash."""
-    codes = F.transform(F.filter(F.split(F.hex(F.encode(term, "UTF-8")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int"))
-    return F.aggregate(codes, F.lit(3), lambda h, c: (h.bitwiseXOR(c.bitwiseAND(63)) * 51).bitwiseAND(63))
+    h = 3
+    for byte in term.encode("utf-8"):
+        h = ((h ^ (byte & 63)) * 51) & 63
+    return h
 
 
-def hash_embedding(terms: Column) -> Column:
-    """Unit vector of 64 counts of the lower-cased terms' buckets; all zero without terms."""
-    buckets = F.transform(F.array_distinct(F.transform(terms, F.lower)), hash_bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(rules.HASH_DIMENSION - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    norm_ = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm_ > 0, F.transform(counts, lambda x: (x / norm_).cast("float"))).otherwise(F.transform(counts, lambda x: x.cast("float")))
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def hash_embedding(terms: pd.Series) -> pd.Series:
+    """Unit vector of 64 counts of the terms' buckets; all zero without terms."""
+    known: dict[str, int] = {}
+
+    def vector(words) -> list[float]:
+        counts = np.zeros(rules.HASH_DIMENSION)
+        for word in words if words is not None else ():
+            if word not in known:
+                known[word] = hash_bucket(word)
+            counts[known[word]] += 1
+        size = np.sqrt((counts * counts).sum())
+        return (counts / size if size else counts).astype(np.float32).tolist()
+
+    return terms.map(vector)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -116,8 +130,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def local_vector_route(questions: DataFrame, chunks: DataFrame, limit: int = rules.ROUTE_LIMIT) -> DataFrame:
     """Hashed term vectors of question and chunk (title, doi, section, text) by dot product, then chunk id."""
-    asked = with_terms(questions).select("query_id", "author", hash_embedding(F.col("terms")).alias("q"))
-    rows = chunks.select("id", "author", hash_embedding(query_terms(F.concat_ws(" ", "title", "doi", "section", "text"))).alias("v"))
+    asked = with_terms(questions).select("query_id", "author", hash_embedding(folded_terms(F.col("question"))).alias("q"))
+    rows = chunks.select("id", "author", hash_embedding(folded_terms(F.concat_ws(" ", "title", "doi", "section", "text"))).alias("v"))
     scored = rows.join(asked, "author").withColumn("score", F.round(dot(F.col("q"), F.col("v")), 6)).where("score > 0").drop("q", "v")
     return _ranked(scored, "local_embedding", [F.desc("score"), "id"], limit)
 

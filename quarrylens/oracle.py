@@ -139,11 +139,11 @@ _PROFILES = (
     _FACTS
     + f""", w0 AS (SELECT p.paper_key, p.author, p.title, coalesce(p.doi, '') AS doi, coalesce(p.year, '') AS year, count(*) AS facts,
   coalesce(arg_min(claim, rank_position) FILTER (fact_type = 'context'), arg_min(claim, rank_position) FILTER (fact_type = 'result'), arg_min(claim, rank_position)) AS lead,
-  list(claim ORDER BY rank_position) FILTER (rank_position <= 12) AS leading,
+  list(claim ORDER BY rank_position) FILTER (rank_position <= 12) AS firsts,
   least(count(*) FILTER (fact_type NOT IN ('limitation', 'context')), 6)::INT AS contributions, least(count(*) FILTER (fact_type = 'limitation'), 6)::INT AS limitations
   FROM r JOIN papers p USING (paper_key) GROUP BY ALL),
 kinds AS (SELECT paper_key, string_agg(fact_type, ',' ORDER BY {_RANK_CASE} DESC, fact_type) AS contribution_types FROM (SELECT DISTINCT paper_key, fact_type FROM r WHERE fact_type <> 'context') GROUP BY 1),
-w1 AS (SELECT *, list_filter(flatten(list_transform(list_concat([title], leading), lambda t: regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}-]+'))), lambda w: strlen(w) >= 4 AND lower(w) NOT IN ({_KSTOP})) AS ws FROM w0),
+w1 AS (SELECT *, list_filter(flatten(list_transform(list_concat([title], firsts), lambda t: regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}-]+'))), lambda w: strlen(w) >= 4 AND lower(w) NOT IN ({_KSTOP})) AS ws FROM w0),
 pr AS (SELECT w1.*, title || ': ' || lead AS one_sentence_summary, coalesce(contribution_types, '') AS contribution_types,
   list_sort(list_filter(ws, lambda w, i: list_position(ws, w) = i)[:12]) AS topic_keywords FROM w1 LEFT JOIN kinds USING (paper_key))"""
 )

@@ -26,18 +26,24 @@ def plausible_title(line: Column) -> Column:
     return F.length(line).between(20, 240) & ~has_any(F.lower(line), rules.TITLE_BLOCKED)
 
 
-def find_title(text: Column) -> Column:
-    """The first plausible line of the first 120 with up to two continuing ones, else empty."""
-    rows = F.filter(F.transform(F.slice(F.split(text, r"\r\n|\r|\n"), 1, 120), squash), lambda x: x != "")
-    first = F.array_position(F.transform(rows, plausible_title), F.lit(True)).cast("int")
+def with_title(rows: DataFrame, text: str) -> DataFrame:
+    """Adds ``title``: the first plausible line of the first 120 with up to two continuing ones, else empty.
+
+    Made in steps, so that the lines are split once.
+    """
 
     def continues(line: Column) -> Column:
         names = has_any(F.lower(line), ["@ ", "author", "†", "‡", "§"]) | (F.size(F.split(line, ",")) > 2) | line.rlike(r"\b\d{4,6},\s*[A-Z][a-z]+")
         return plausible_title(line) & ~names
 
-    one, two, three = (F.coalesce(F.get(rows, first - 1 + i), F.lit("")) for i in range(3))
-    more = F.when(continues(two), F.concat(F.lit(" "), two, F.when(continues(three), F.concat(F.lit(" "), three)).otherwise(""))).otherwise("")
-    return F.when(first > 0, F.concat(one, more)).otherwise("")
+    lines = F.filter(F.transform(F.slice(F.split(text, r"\r\n|\r|\n"), 1, 120), squash), lambda x: x != "")
+    out = rows.withColumn("_lines", lines)
+    out = out.withColumn("_at", F.array_position(F.transform("_lines", plausible_title), F.lit(True)).cast("int"))
+    for i, name in enumerate(("_one", "_two", "_three")):
+        out = out.withColumn(name, F.when(F.col("_at") > 0, F.coalesce(F.get("_lines", F.col("_at") - 1 + i), F.lit(""))).otherwise(""))
+    more = F.when(continues(F.col("_three")), F.concat_ws(" ", "_one", "_two", "_three")).otherwise(F.concat_ws(" ", "_one", "_two"))
+    title = F.when(continues(F.col("_two")), more).otherwise(F.col("_one"))
+    return out.withColumn("title", title).drop("_lines", "_at", "_one", "_two", "_three")
 
 
 def slug(value: Column) -> Column:
@@ -54,8 +60,8 @@ def normalised(text: Column) -> Column:
 
 def metadata(extracts: DataFrame) -> DataFrame:
     """``(extract_id, doi, year, title)`` of ``(extract_id, text)``, each extract once."""
-    once = extracts.dropDuplicates(["extract_id"])
-    return once.select("extract_id", find_doi(F.col("text")).alias("doi"), find_year(F.col("text")).alias("year"), find_title(F.col("text")).alias("title"))
+    once = extracts.select("extract_id", "text").dropDuplicates(["extract_id"])
+    return with_title(once, "text").select("extract_id", find_doi(F.col("text")).alias("doi"), find_year(F.col("text")).alias("year"), "title")
 
 
 def paper_ids(found: DataFrame) -> DataFrame:
