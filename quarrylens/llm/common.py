@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import cut_lineage
+
+__all__ = ["cut_lineage", "need", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,16 +22,3 @@ def need(df: DataFrame, columns: Iterable[str], operator: str) -> DataFrame:
     if missing:
         raise ValueError(f"{operator}: missing columns {missing}")
     return df.select(*columns)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    The folder is ``spark.checkpoint.dir``; only where neither it nor a checkpoint directory is
-    set (tests, a single machine) a temporary one is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
