@@ -220,24 +220,24 @@ def split_documents(t: Tables) -> DataFrame:
 
 @query
 def question_terms(t: Tables) -> DataFrame:
-    once = t.logs_once.select("id", "question")
-    return once.select("id", F.array_join(terms.query_terms(F.col("question")), "|").alias("terms"))
+    once = terms.with_terms(t.logs_once.select("id", "question"), "question")
+    return once.select("id", F.array_join("terms", "|").alias("terms"))
 
 
 @query
 def question_match_strings(t: Tables) -> DataFrame:
-    return t.questions.select("query_id", terms.match_string(terms.query_terms(F.col("question"))).alias("match"))
+    return terms.with_terms(t.questions, "question").select("query_id", terms.match_string(F.col("terms")).alias("match"))
 
 
 @query
 def question_intents(t: Tables) -> DataFrame:
-    once = t.logs_once.select("id", terms.query_terms(F.col("question")).alias("terms"))
+    once = terms.with_terms(t.logs_once.select("id", "question"), "question")
     return once.select("id", F.array_join(terms.fact_intents(F.col("terms")), ",").alias("intents"))
 
 
 @query
 def question_rank_terms(t: Tables) -> DataFrame:
-    return t.questions.select("query_id", F.array_join(terms.rank_terms(terms.query_terms(F.col("question"))), "|").alias("terms"))
+    return terms.with_terms(t.questions, "question").select("query_id", F.array_join(terms.rank_terms(F.col("terms")), "|").alias("terms"))
 
 
 @query

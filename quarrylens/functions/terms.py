@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
@@ -37,6 +37,18 @@ def query_terms(question: Column) -> Column:
     return unique_folded(F.concat(base_terms(question), enrichment(question)))
 
 
+def with_terms(rows: DataFrame, question: str, name: str = "terms") -> DataFrame:
+    """Adds ``query_terms`` of a column in steps, so that each part is made once; null questions have none."""
+    q = F.coalesce(F.col(question), F.lit(""))
+    found = F.regexp_extract_all(q, F.lit(f"({_TERM})"), 1)
+    out = rows.withColumn("_base", F.filter(found, lambda t: (F.length(t) > 1) | t.rlike(r"^[A-Za-z0-9]+$")))
+    whole = F.when(F.length(strip(q)) > 0, F.array(strip(q))).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn("_all", F.concat(F.when(F.size("_base") > 0, F.col("_base")).otherwise(whole), enrichment(q)))
+    out = out.withColumn("_low", F.transform("_all", F.lower))
+    unique = F.filter(F.arrays_zip("_all", "_low"), lambda t, i: F.array_position("_low", t["_low"]) == i + 1)
+    return out.withColumn(name, F.transform(unique, lambda t: t["_all"])).drop("_base", "_all", "_low")
+
+
 def folded_terms(text: Column) -> Column:
     """The same terms lower-cased, as a set: linear in the text, for long ones."""
     found = F.regexp_extract_all(text, F.lit(f"({_TERM})"), 1)

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Unicode white space, spelt out: the regular expression engine's own Unicode classes are far slower.
+_WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
 
 def squash(text: Column) -> Column:
     """Runs of Unicode white space as one blank, trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, _WS + "+", " "))
 
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{_WS}+|{_WS}+$", "")
+
+
+def has_text(text: Column) -> Column:
+    """Whether there is a character other than white space."""
+    return text.rlike("[^" + _WS[1:])
 
 
 def norm(text: Column) -> Column:

@@ -29,7 +29,7 @@ def daily_trend(logs: DataFrame, days: int) -> DataFrame:
     failed = F.coalesce("error_code", F.lit("")) != ""
     streamed = F.col("delivery_mode") == "streaming"
     return (
-        logs.groupBy(F.to_date("created_at").alias("day"))
+        logs.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("questions"),
             F.count_if(failed).alias("errors"),

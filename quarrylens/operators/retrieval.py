@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import rules
-from ..functions.terms import fact_intents, folded_terms, query_terms, rank_terms
+from ..functions.terms import fact_intents, folded_terms, rank_terms
+from ..functions.terms import with_terms as terms_of
 from ..functions.text import occurrences, rank_text, total_occurrences
 
 _COLUMNS = ["query_id", "route", "position", "chunk_id", "route_score"]
@@ -24,7 +25,7 @@ _COLUMNS = ["query_id", "route", "position", "chunk_id", "route_score"]
 
 def with_terms(questions: DataFrame) -> DataFrame:
     """Questions with their ``terms``; null questions have none and find nothing."""
-    return questions.select("query_id", "author", "question").withColumn("terms", query_terms(F.coalesce("question", F.lit(""))))
+    return terms_of(questions.select("query_id", "author", "question"), "question")
 
 
 def _ranked(scored: DataFrame, route: str, order: list, limit: int, chunk: str = "id") -> DataFrame:
@@ -59,11 +60,14 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     tokens = chunks.select(F.col("id").alias("chunk_id"), F.col("author"), _tokens(F.col("text")).alias("tokens"))
     sized = tokens.withColumn("length", F.size("tokens"))
     totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length")).withColumn("k", F.lit(1))
-    posted = sized.select(
-        "chunk_id", "author", "length", F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" ")).alias("sequence"), F.explode(F.array_distinct("tokens")).alias("word")
-    )
-    counted = posted.join(wanted, "word").withColumn("f", occurrences(F.col("sequence"), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    counted = counted.where("f > 0").select("chunk_id", "author", "length", "phrase", "f")
+    words = wanted.select("word").distinct()
+    posted = sized.select("chunk_id", "author", "length", F.explode("tokens").alias("word")).join(words, "word")
+    posted = posted.groupBy("chunk_id", "author", "length", "word").agg(F.count(F.lit(1)).alias("f"))
+    single = posted.join(wanted.where("phrase = word").select("phrase", "word"), "word").select("chunk_id", "author", "length", "phrase", "f")
+    longer = posted.drop("f").join(wanted.where("phrase <> word"), "word").select("chunk_id", "author", "length", "phrase")
+    sequence = sized.select("chunk_id", F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" ")).alias("sequence"))
+    longer = longer.join(sequence, "chunk_id").withColumn("f", occurrences(F.col("sequence"), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
+    counted = single.unionByName(longer.where("f > 0").drop("sequence"))
     frequency = counted.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     k1, b = rules.BM25_K1, rules.BM25_B
     weighed = (

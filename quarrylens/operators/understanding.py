@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import rules
-from ..functions.text import has_any, norm, sha, squash
+from ..functions.text import has_any, has_text, norm, sha, squash
 
 CLASSIFIER = "chunk-classifier-v1"
 
@@ -18,8 +18,11 @@ def is_publisher_noise(text: Column) -> Column:
     return (F.size(full) > 0) & F.forall(full, lambda x: has_any(x, rules.PUBLISHER_PHRASES))
 
 
-def chunk_class(section: Column, kind: Column, text: Column) -> Column:
-    """``struct(chunk_kind, usefulness_score, skip_reason)`` by an ordered cascade of rules."""
+def chunk_class(section: Column, low: Column, kind: Column, text: Column) -> Column:
+    """``struct(chunk_kind, usefulness_score, skip_reason)`` by an ordered cascade of rules.
+
+    ``section`` and ``low`` are the normalised section title and text.
+    """
 
     def useful(name: str, score: float) -> Column:
         return F.struct(F.lit(name).alias("chunk_kind"), F.lit(score).alias("usefulness_score"), F.lit(None).cast("string").alias("skip_reason"))
@@ -27,23 +30,24 @@ def chunk_class(section: Column, kind: Column, text: Column) -> Column:
     def skipped(name: str, reason: str) -> Column:
         return F.struct(F.lit(name).alias("chunk_kind"), F.lit(0.0).alias("usefulness_score"), F.lit(reason).alias("skip_reason"))
 
-    low_section, low = norm(section), norm(text)
     out = F.when(kind == "figure_caption", useful("figure_caption", 0.95)).when(kind == "table_caption", useful("table_caption", 0.95))
-    out = out.when(has_any(low_section, rules.REFERENCE_NEEDLES), skipped("bibliography_or_reference", "reference_section"))
+    out = out.when(has_any(section, rules.REFERENCE_NEEDLES), skipped("bibliography_or_reference", "reference_section"))
     out = out.when(is_publisher_noise(text), skipped("publisher_noise", "publisher_noise"))
     out = out.when(F.length(F.regexp_replace(text, r"(?U)\s", "")) < 40, skipped("low_information", "very_short"))
     for name, score, needles in rules.SECTION_KINDS:
-        out = out.when(has_any(low_section, needles), useful(name, score))
+        out = out.when(has_any(section, needles), useful(name, score))
     out = out.when(has_any(low, rules.MECHANISM_NEEDLES), useful("mechanism", 0.8))
     return out.when(has_any(low, rules.METRIC_NEEDLES), useful("metric", 0.8)).otherwise(useful("unknown", 0.5))
 
 
 def classify(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, paper_key, chunk_kind, usefulness_score, skip_reason, classifier_version, chunk_hash)``."""
-    judged = chunks.withColumn("c", chunk_class(F.col("section"), F.coalesce("section_kind", F.lit("body")), F.coalesce("text", F.lit(""))))
+    plain = chunks.withColumn("_text", F.coalesce("text", F.lit("")))
+    plain = plain.withColumn("_low", norm(F.col("_text"))).withColumn("_section", norm(F.coalesce("section", F.lit(""))))
+    judged = plain.withColumn("c", chunk_class(F.col("_section"), F.col("_low"), F.coalesce("section_kind", F.lit("body")), F.col("_text")))
     return judged.select(
         F.col("id").alias("chunk_id"), "paper_key", "c.chunk_kind", "c.usefulness_score", "c.skip_reason",
-        F.lit(CLASSIFIER).alias("classifier_version"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("chunk_hash"),
+        F.lit(CLASSIFIER).alias("classifier_version"), F.sha2("_text", 256).alias("chunk_hash"),
     )
 
 
@@ -78,8 +82,8 @@ def chunk_facts(chunks: DataFrame, classes: DataFrame) -> DataFrame:
     facts = (
         chunks.join(good, chunks["id"] == good["chunk_id"])
         .withColumn("fact_type", F.try_element_at(kinds, F.col("chunk_kind")))
+        .where(F.col("fact_type").isNotNull() & has_text(F.col("text")))
         .withColumn("claim", squash(F.col("text")))
-        .where("fact_type is not null and claim <> ''")
     )
     zero = F.lit("\0")
     uid = F.concat(F.lit("chunk-fact-v1:"), sha(F.col("paper_key"), zero, F.col("fact_type"), zero, F.col("claim"), zero, F.col("chunk_index").cast("string")))

@@ -264,7 +264,7 @@ ORACLE = {
         coalesce(json_array_length(j, '$.claims'), -1)::INT AS claims FROM v""",
     "log_totals": f"WITH {_LOGS} SELECT {_TOTALS} FROM l",
     "log_totals_by_author": f"WITH {_LOGS} SELECT author, {_TOTALS} FROM l GROUP BY 1",
-    "log_trend": f"""WITH {_LOGS} SELECT created_at::DATE AS day, count(*) AS questions, count(*) FILTER (coalesce(error_code, '') <> '') AS errors,
+    "log_trend": f"""WITH {_LOGS} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS questions, count(*) FILTER (coalesce(error_code, '') <> '') AS errors,
         count(*) FILTER (delivery_mode = 'streaming') AS streamed, count(*) FILTER (delivery_mode = 'streaming' AND NOT coalesce(streaming_finalized, false)) AS unfinished,
         round(avg(latency_ms), 6) AS mean_latency_ms, sum(total_tokens)::BIGINT AS total_tokens FROM l GROUP BY 1 ORDER BY day DESC LIMIT 30""",
     "log_errors": f"WITH {_LOGS} SELECT error_code, count(*) AS questions FROM l WHERE coalesce(error_code, '') <> '' GROUP BY 1",

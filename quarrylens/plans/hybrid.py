@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import route_mode
 from ..operators import retrieval, understanding
+from ..sources.tables import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -21,13 +22,13 @@ class Library:
 
 
 def library(chunks: DataFrame, papers: DataFrame) -> Library:
-    """Classes, facts and profiles made from the canonical chunk rows."""
-    facts = understanding.chunk_facts(chunks, understanding.classify(chunks))
-    return Library(chunks, facts, understanding.paper_profiles(facts, papers))
+    """Classes, facts and profiles made from the canonical chunk rows, facts and profiles written once."""
+    facts = cut_lineage(understanding.chunk_facts(chunks, understanding.classify(chunks)))
+    return Library(chunks, facts, cut_lineage(understanding.paper_profiles(facts, papers)))
 
 
 def routes(questions: DataFrame, lib: Library) -> DataFrame:
-    """All routes of all questions as one long table."""
+    """All routes of all questions as one long table of at most 140 rows a question, written once."""
     parts = [
         retrieval.bm25_route(questions, lib.chunks),
         retrieval.like_route(questions, lib.chunks),
@@ -38,7 +39,7 @@ def routes(questions: DataFrame, lib: Library) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return cut_lineage(out)
 
 
 def hybrid(questions: DataFrame, lib: Library, limit: int = 8) -> DataFrame:
@@ -56,9 +57,10 @@ def context(questions: DataFrame, lib: Library, limit: int = 8, reserve: int = 2
     planned = questions.join(profiled, "author", "left").select(
         "query_id", route_mode(F.coalesce("question", F.lit("")), F.coalesce("profiles", F.lit(0)))["qa_mode"].alias("mode")
     )
-    grounding = retrieval.profile_route(questions, lib.chunks, lib.profiles).select("query_id", "position", "chunk_id")
+    found = routes(questions, lib)
+    grounding = found.where("route = 'profile'").select("query_id", "position", "chunk_id")
     first = grounding.join(planned.where("mode = 'profile_first'"), "query_id").where(F.col("position") <= limit)
     first = first.select("query_id", "position", "chunk_id", F.lit("profile").alias("origin"))
-    fused = retrieval.with_tail(hybrid(questions, lib, limit), grounding, limit, reserve)
+    fused = retrieval.with_tail(retrieval.fuse(found, limit), grounding, limit, reserve)
     rest = fused.join(first.select("query_id").distinct(), "query_id", "left_anti")
     return first.unionByName(rest)

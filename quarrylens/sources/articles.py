@@ -35,7 +35,7 @@ def _side_cars(spark: SparkSession, root: str, author: str | None) -> DataFrame:
             raise
         return spark.createDataFrame([], "author string, paper_id string, fetch_result string")
     return files.select(
-        F.regexp_extract("path", _PATH, 1).alias("author"), F.regexp_extract("path", _PATH, 2).alias("paper_id"), F.decode("content", F.lit("UTF-8")).alias("fetch_result")
+        F.regexp_extract("path", _PATH, 1).alias("author"), F.regexp_extract("path", _PATH, 2).alias("paper_id"), F.decode("content", "UTF-8").alias("fetch_result")
     )
 
 
@@ -56,7 +56,7 @@ def frontmatter(text):
 
 def load(spark: SparkSession, root: str, author: str | None = None) -> DataFrame:
     """Articles as rows: ``(paper_key, author, paper_id, article_path, modified_at, metadata, fetch_result, raw_body)``."""
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     articles = scan(spark, root, author).select("author", "paper_id", "article_path", "modified_at", text.alias("text"))
     joined = articles.join(_side_cars(spark, root, author), ["author", "paper_id"], "left")
     return joined.select(
