@@ -202,11 +202,11 @@ def caption_values(t: Tables) -> DataFrame:
 
 @query
 def evidence_paths(t: Tables) -> DataFrame:
-    """Two-hop paths from paper to paper through logs of an author that cite both: counted by author."""
-    cited = answers.evidence_rows(t.parsed).join(t.parsed.select("log_id", "author"), "log_id").select("author", F.col("e.paper_key").alias("paper"), "log_id", "position")
-    nxt = cited.select("author", "log_id", (F.col("position") - 1).alias("position"), F.col("paper").alias("object"))
-    relations = cited.join(nxt, ["author", "log_id", "position"]).select(F.col("author").alias("key"), F.col("paper").alias("subject"), F.lit("cited_with").alias("relation"), "object").distinct()
-    return sections.relation_paths(relations.where("subject is not null and object is not null")).groupBy("key").agg(F.count(F.lit(1)).alias("paths"))
+    """Two-hop paths between papers that golden items want cited one after the other."""
+    cited = t.golden_items.select("item_id", F.posexplode("must_cite").alias("position", "paper"))
+    following = cited.select("item_id", (F.col("position") - 1).alias("position"), F.col("paper").alias("object"))
+    pairs = cited.join(following, ["item_id", "position"]).select(F.lit("cited").alias("key"), F.col("paper").alias("subject"), F.lit("then").alias("relation"), "object")
+    return sections.relation_paths(pairs.distinct()).select("start", "via", "end")
 
 
 @query

@@ -149,11 +149,12 @@ pr AS (SELECT w1.*, title || ': ' || lead AS one_sentence_summary, coalesce(cont
 )
 
 _QUESTIONS = "questions AS (SELECT item_id AS query_id, author, question FROM golden_items)"
-_LIKE = f"""{_QUESTIONS}, {_terms('questions', 'query_id', ', author')}, blob AS (
+_LIKE_BODY = f"""blob AS (
   SELECT id, author, year, title, chunk_index, lower(concat_ws(' ', title, doi, section, text)) AS t FROM s),
 scored AS (SELECT query_id, id, year, title, chunk_index, list_sum(list_transform(terms, lambda x: {_occ('t', 'lower(x)')})) AS score FROM blob JOIN terms USING (author)),
 liked AS (SELECT query_id, 'like' AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, year DESC, title, chunk_index, id)::INT AS position, id AS chunk_id, score::DOUBLE AS route_score
   FROM scored WHERE score > 0 QUALIFY position <= {rules.ROUTE_LIMIT})"""
+_LIKE = f"{_QUESTIONS}, {_terms('questions', 'query_id', ', author')}, {_LIKE_BODY}"
 _BM25 = f"""ph AS (SELECT DISTINCT query_id, author, array_to_string(regexp_extract_all(lower(term), '[\\p{{L}}\\p{{N}}]+'), '  ') AS phrase
   FROM (SELECT query_id, author, unnest(terms[:12]) AS term FROM terms)),
 ph2 AS (SELECT * FROM ph WHERE phrase <> ''),
@@ -184,6 +185,184 @@ _TOTALS = """count(*) AS questions, round(avg(latency_ms), 6) AS mean_latency_ms
 _ITEMS = """i AS (SELECT response_id, lower(trim(model)) AS model, model_version, received_at, target_ids, unnest(data) AS d FROM embedding_responses),
 it AS (SELECT response_id, model, model_version, received_at, d.index AS position, target_ids[d.index + 1] AS chunk_id, d.embedding AS vector FROM i WHERE d.index >= 0)"""
 
+_EVIDENCE_TYPE = '[{"paper_key":"VARCHAR","title":"VARCHAR","doi":"VARCHAR","year":"VARCHAR","chunk_id":"BIGINT","section":"VARCHAR","quote_or_summary":"VARCHAR"}]'
+_CLAIM_TYPE = '[{"claim":"VARCHAR","evidence_indices":["INTEGER"],"support":"VARCHAR"}]'
+_WORDS3 = r"list_filter(regexp_split_to_array(lower(quote), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 3)[:12]"
+_NUMBERS_OF = r"list_filter(regexp_split_to_array(quote, '[^0-9.]'), lambda t: regexp_matches(t, '[0-9]'))"
+
+
+def _differs(mine: str, theirs: str, fold: bool = False) -> str:
+    a, b = f"trim(coalesce({mine}, ''))", f"trim(coalesce({theirs}, ''))"
+    x, y = (f"lower({a})", f"lower({b})") if fold else (a, b)
+    return f"({a} <> '' AND {b} <> '' AND {x} <> {y})"
+
+
+_EVIDENCE = (
+    _ANSWERS
+    + f""", ev AS (SELECT log_id, from_json(j -> '$.evidence', '{_EVIDENCE_TYPE}') AS es FROM v WHERE j IS NOT NULL AND json_type(j, '$.evidence') = 'ARRAY'),
+er AS (SELECT log_id, unnest(range(len(es)))::INT AS position, unnest(es) AS e FROM ev),
+sc AS (SELECT DISTINCT ON (c.id) c.id, c.paper_key, coalesce(p.doi, '') AS doi, coalesce(p.year, '') AS year, c.section, c.text FROM chunks c JOIN papers p USING (paper_key)),
+eq AS (SELECT log_id, position, e, sc.*, trim(coalesce(e.quote_or_summary, '')) AS quote, coalesce(sc.text, '') AS ctext FROM er LEFT JOIN sc ON sc.id = e.chunk_id),
+ee AS (SELECT log_id, position, e.chunk_id AS chunk_id, CASE WHEN id IS NULL THEN 'unknown_chunk' WHEN e.paper_key IS DISTINCT FROM paper_key THEN 'other_paper'
+  WHEN {_differs('e.doi', 'doi')} THEN 'other_doi' WHEN {_differs('e.year', 'year')} THEN 'other_year' WHEN {_differs('e.section', 'section', True)} THEN 'other_section'
+  WHEN quote = '' OR (length({_squash('lower(quote)')}) >= 12 AND contains({_squash('lower(ctext)')}, {_squash('lower(quote)')})) THEN NULL
+  WHEN len(list_filter({_NUMBERS_OF}, lambda t: NOT contains(ctext, t))) > 0 THEN 'number'
+  WHEN length(quote) >= 12 AND len(list_filter({_WORDS3}, lambda t: contains({_squash('lower(ctext)')}, t))) = 0 THEN 'overlap' END AS error FROM eq)"""
+)
+
+
+def _insufficient(x: str) -> str:
+    return _any(f"lower({x})", rules.INSUFFICIENT)
+
+
+_CLAIMS = f"""cl AS (SELECT log_id, coalesce(j ->> '$.answer', '') AS answer, coalesce(j ->> '$.uncertainty', '') AS unsure, coalesce(json_array_length(j, '$.evidence'), 0) AS n,
+  from_json(j -> '$.claims', '{_CLAIM_TYPE}') AS cs FROM v WHERE j IS NOT NULL AND json_type(j, '$.claims') = 'ARRAY'),
+cr AS (SELECT log_id, answer, unsure, n, unnest(range(len(cs)))::INT AS position, unnest(cs) AS c FROM cl),
+ce AS (SELECT log_id, position, CASE WHEN trim(coalesce(c.claim, '')) = '' THEN 'empty' WHEN lower(trim(coalesce(c.support, ''))) NOT IN ('', 'strong', 'partial', 'weak') THEN 'bad_support'
+  WHEN len(coalesce(c.evidence_indices, [])) = 0 AND NOT {_insufficient('answer')} THEN 'no_evidence'
+  WHEN len(list_filter(coalesce(c.evidence_indices, []), lambda i: i >= n)) > 0 THEN 'missing_evidence'
+  WHEN lower(trim(coalesce(c.support, ''))) = 'weak' AND NOT (trim(unsure) <> '' OR {_any('lower(answer)', rules.UNCERTAIN)}) THEN 'weak_but_certain' END AS error FROM cr)"""
+_VERDICTS = f"""fe AS (SELECT log_id, 0 AS part, position, 'evidence:' || error AS error FROM ee WHERE error IS NOT NULL
+  UNION ALL SELECT log_id, 1, 0, 'no_evidence' FROM v WHERE j IS NOT NULL AND coalesce(json_array_length(j, '$.evidence'), 0) <= 0 AND NOT {_insufficient("coalesce(j ->> '$.answer', '')")}
+  UNION ALL SELECT log_id, 2, position, 'claim:' || error FROM ce WHERE error IS NOT NULL),
+ff AS (SELECT log_id, error FROM fe QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY part, position, error) = 1)"""
+#: The end of a window of 800 from ``start``: after the last line or sentence end of its second half, else its end.
+_CUT = """(SELECT CASE WHEN m >= 0 THEN start + 400 + m + 1 ELSE start + 800 END FROM (SELECT 400 - length(regexp_extract(t[start + 401:start + 800], '[^\\n。.]*$')) - 1 AS m))"""
+_RANKED_QUESTIONS = f"{_QUESTIONS}, {_terms('questions', 'query_id', ', author')}, rt AS (SELECT query_id, author, {_RANKED_TERMS} AS rterms FROM terms)"
+
+# --- cleaning and sections in SQL -------------------------------------------
+
+
+def _normal_line(x: str) -> str:
+    return f"lower({_squash(f"regexp_replace({_strip(x)}, '^[#*_:|-]+|[#*_:|-]+$', '', 'g')")})"
+
+
+def _noise(low: str, layers: list[str]) -> str:
+    chosen = [rules.SOURCE_LAYERS[n] for n in layers]
+    exact = rules.NOISE_LINES + [x for layer in chosen for x in layer["lines"]]
+    counted = rules.COUNT_PREFIX_LINES + [x for layer in chosen for x in layer["counts"]]
+    prefixes = [x for layer in chosen for x in layer["prefixes"]]
+    tests = [f"{low} IN ({', '.join(map(_q, exact))})", rf"regexp_matches({low}, '^(?:{'|'.join(counted)})[0-9\s()\[\]:|,-]*$')"]
+    tests += [f"starts_with({low}, {_q(x)})" for x in prefixes]
+    return f"({low} <> '' AND ({' OR '.join(tests)}))"
+
+
+def _clean(x: str) -> str:
+    out = rf"regexp_replace({x}, '\r\n?', chr(10), 'g')"
+    for old, new in rules.NOISE_REPLACEMENTS:
+        out = f"replace({out}, {_q(old)}, {_q(new)})"
+    out = rf"regexp_replace({out}, 'Download: Download (?:high-res|full-size) image(?: \([^)]*\))?', ' ', 'g')"
+    kept = f"list_filter(string_split({out}, chr(10)), lambda y: NOT {_noise(_normal_line('y'), [])})"
+    squashed = f"array_to_string(list_transform({kept}, lambda y: {_squash('y')}), chr(10))"
+    return _strip(f"regexp_replace({squashed}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_PLAIN = rf"""{_strip(r"regexp_replace(regexp_replace(raw_body, '\r\n?', chr(10), 'g'), '(?s)\A---[ \t]*\n(?:.*?\n)??---[ \t]*(?:\n|\z)', '')")}"""
+_HEAD = r"'^\s*(#{1,6})\s*([^#\s].*)$'"
+_SECTIONS = rf"""pb AS (SELECT paper_key, {_PLAIN} AS b FROM articles WHERE raw_body IS NOT NULL),
+pm AS (SELECT paper_key, CASE WHEN instr(b, chr(10) || '## Article Body') > 0 THEN b[instr(b, chr(10) || '## Article Body') + 1:] ELSE b END AS b FROM pb),
+ln AS (SELECT paper_key, unnest(range(len(string_split(b, chr(10))))) AS line_no, unnest(string_split(b, chr(10))) AS line FROM pm),
+hd AS (SELECT *, length(regexp_extract(line, {_HEAD}, 1)) AS level, {_strip(f"regexp_extract(line, {_HEAD}, 2)")} AS heading FROM ln),
+nm AS (SELECT *, greatest(sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_key ORDER BY line_no), 1) AS sec FROM hd),
+gr AS (SELECT paper_key, sec, max(heading) FILTER (level > 0) AS heading, max(level) FILTER (level > 0) AS hl, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (level = 0), '') AS content FROM nm GROUP BY 1, 2),
+cs AS (SELECT paper_key, sec, coalesce(heading, 'Body') AS title, coalesce(hl, 1)::INT AS level, {_clean('content')} AS content FROM gr),
+ks AS (SELECT * FROM cs WHERE content <> '' AND lower(regexp_replace({_strip('title')}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) NOT IN ({', '.join(map(_q, rules.REFERENCE_TITLES))})),
+sections AS (SELECT paper_key, (row_number() OVER (PARTITION BY paper_key ORDER BY sec) - 1)::INT AS position, title, level, content FROM ks)"""
+_SECTION_FACT = (
+    "CASE WHEN (starts_with(lower(title), 'figure') AND contains(lower(title), 'caption')) OR starts_with(lower(title), 'fig ') OR starts_with(title, '图 ') THEN 'figure_caption' "
+    "WHEN (starts_with(lower(title), 'table') AND contains(lower(title), 'caption')) OR starts_with(title, '表 ') THEN 'table_caption' "
+    + " ".join(f"WHEN {_any('lower(title)', needles)} THEN '{name}'" for name, needles in rules.SECTION_FACTS)
+    + " END"
+)
+_PREFERRED = "'abstract', 'introduction', 'results', 'results and discussion', 'discussion', 'conclusions', 'conclusion'"
+
+
+def _part(pattern: str, i: int) -> str:
+    return f"regexp_extract(tail, '{pattern}', {i})"
+
+
+_LIST, _PRANGE, _ORANGE, _TRAIL = (
+    r"^(.*[0-9])([A-Za-z])((?:\s*,\s*[A-Za-z])+)$", r"^(.*[0-9])([A-Za-z])\s*-\s*([A-Za-z])$", r"^([A-Za-z]*)([0-9]+)\s*-\s*([A-Za-z]*)([0-9]+)$", r"^(.*[0-9])([A-Za-z])$",
+)
+_IS_RANGE = (
+    f"(regexp_matches(tail, '{_ORANGE}') AND {_part(_ORANGE, 3)} IN ('', {_part(_ORANGE, 1)}) AND try_cast({_part(_ORANGE, 2)} AS BIGINT) <= try_cast({_part(_ORANGE, 4)} AS BIGINT) "
+    f"AND try_cast({_part(_ORANGE, 4)} AS BIGINT) - try_cast({_part(_ORANGE, 2)} AS BIGINT) <= 50)"
+)
+_OBJECTS = rf"""{_CHUNKS}, lb AS (SELECT id, regexp_extract(caption_label, '^\s*(\S+)\s+(.*\S)\s*$', 1) AS prefix, regexp_extract(caption_label, '^\s*(\S+)\s+(.*\S)\s*$', 2) AS tail FROM c WHERE caption_label IS NOT NULL),
+lk AS (SELECT *, CASE WHEN lower(prefix) IN ('figure', 'fig') OR prefix = '图' THEN 'figure' WHEN lower(prefix) = 'table' OR prefix = '表' THEN 'table' END AS kind FROM lb),
+lp AS (SELECT *, CASE WHEN kind IS NULL THEN NULL WHEN regexp_matches(tail, '{_LIST}') THEN {_part(_LIST, 1)} WHEN regexp_matches(tail, '{_PRANGE}') THEN {_part(_PRANGE, 1)}
+    WHEN {_IS_RANGE} THEN tail WHEN regexp_matches(tail, '{_TRAIL}') THEN {_part(_TRAIL, 1)} ELSE tail END AS base,
+  CASE WHEN regexp_matches(tail, '{_LIST}') THEN list_concat([{_part(_LIST, 2)}], list_filter(list_transform(string_split({_part(_LIST, 3)}, ','), lambda x: trim(x)), lambda x: x <> ''))
+    WHEN regexp_matches(tail, '{_PRANGE}') THEN CASE WHEN ascii({_part(_PRANGE, 2)}) <= ascii({_part(_PRANGE, 3)}) AND (lower({_part(_PRANGE, 2)}) = {_part(_PRANGE, 2)}) = (lower({_part(_PRANGE, 3)}) = {_part(_PRANGE, 3)})
+      THEN list_transform(range(ascii({_part(_PRANGE, 2)}), ascii({_part(_PRANGE, 3)}) + 1), lambda x: chr(x::INT)) ELSE [{_part(_PRANGE, 2)}, {_part(_PRANGE, 3)}] END
+    WHEN {_IS_RANGE} THEN [] WHEN regexp_matches(tail, '{_TRAIL}') THEN [{_part(_TRAIL, 2)}] ELSE [] END AS panels FROM lk)"""
+_OBJECT_ROWS = f"""SELECT id, kind AS object_type, base AS object_label, CASE WHEN kind IS NOT NULL THEN array_to_string(panels, ',') ELSE '' END AS panels,
+  CASE WHEN kind IS NULL THEN '' WHEN len(panels) > 0 THEN array_to_string(list_transform(panels, lambda x: prefix || ' ' || base || x), ',')
+    WHEN {_IS_RANGE} THEN array_to_string(list_transform(range(try_cast({_part(_ORANGE, 2)} AS BIGINT), try_cast({_part(_ORANGE, 4)} AS BIGINT) + 1), lambda x: prefix || ' ' || {_part(_ORANGE, 1)} || x), ',')
+    ELSE prefix || ' ' || tail END AS targets FROM lp"""
+
+# --- the hybrid plan in SQL -------------------------------------------------
+
+
+def _folded(key: str, source: str, text: str) -> str:
+    """``(key, term)``: the distinct lower-cased terms of texts."""
+    base = _BASE.replace(r"[A-Za-z0-9_/.\-\x{c0}-\x{24f}\x{370}-\x{3ff}\x{400}-\x{4ff}]", r"[\p{L}\p{N}_/.\-]").replace("(q,", f"({text},")
+    extra = f"list_concat(list_concat({_NUMBERS}, {_QUOTED}), {_PHRASES})".replace("(q,", f"({text},")
+    return f"SELECT DISTINCT {key}, author, lower(unnest(list_concat({base}, {extra}))) AS term FROM {source}"
+
+
+_BUCKET = "list_reduce(list_prepend(3, list_transform(range(0, strlen(term)), lambda i: ('0x' || hex(term)[2 * i + 1:2 * i + 2])::INT)), lambda h, b: (xor(h, b & 63) * 51) & 63)"
+
+
+def _vector(name: str, key: str, folded: str) -> str:
+    return f"""{name}_t AS ({folded}), {name}_b AS (SELECT {key}, author, {_BUCKET} AS bucket, count(*) AS n FROM {name}_t GROUP BY ALL),
+  {name}_v AS (SELECT {key}, author, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS x FROM {name}_b)"""
+
+
+_LOCAL = f"""lc0 AS (SELECT id, author, concat_ws(' ', title, doi, section, text) AS body FROM s), {_vector('lq', 'query_id', _folded('query_id', 'questions', 'question'))},
+{_vector('lc', 'id', _folded('id', 'lc0', 'body'))},
+ld AS (SELECT query_id, id, round(sum(lq_v.x * lc_v.x), 6) AS score FROM lq_v JOIN lc_v USING (author, bucket) GROUP BY 1, 2),
+local AS (SELECT query_id, 'local_embedding' AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS position, id AS chunk_id, score AS route_score FROM ld WHERE score > 0 QUALIFY position <= {rules.ROUTE_LIMIT})"""
+
+_S_OF_C = """s AS (SELECT c.id, c.paper_key, p.author, p.title, coalesce(p.doi, '') AS doi, coalesce(p.year, '') AS year, c.chunk_index, c.section,
+  coalesce(c.section_kind, 'body') AS section_kind, p.source_hash, c.text FROM c JOIN papers p USING (paper_key))"""
+_HYBRID = f"""{_PROFILES}, {_S_OF_C}, {_RANKED_QUESTIONS}, {_LIKE_BODY}, {_BM25}, {_LOCAL},
+tz AS (SELECT query_id, author, terms, lower(array_to_string(terms, ' ')) AS low FROM terms), ty AS (SELECT query_id, author, terms, low, regexp_split_to_array(low, '[^a-z0-9_-]+') AS w FROM tz),
+ti AS (SELECT query_id, author, terms, {_intents()} AS intents FROM ty),
+fb AS (SELECT s.id, s.author, fact_type, lower(concat_ws(' ', fact_type, claim, title, doi, section, s.text)) AS t FROM facts JOIN s ON s.id = facts.chunk_id),
+fs AS (SELECT query_id, fb.id, fact_type, list_sum(list_transform(terms, lambda x: {_occ('t', 'lower(x)')})) + CASE WHEN list_contains(intents, fact_type) THEN 3 ELSE 0 END AS score
+  FROM fb JOIN ti USING (author) WHERE len(intents) = 0 OR list_contains(intents, fact_type)),
+fact AS (SELECT query_id, 'fact' AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, fact_type)::INT AS position, id AS chunk_id, score::DOUBLE AS route_score FROM fs WHERE score > 0 QUALIFY position <= {rules.ROUTE_LIMIT}),
+bx AS (SELECT *, {_rank("concat_ws(' ', title, section, text)")} AS said2, {_rank("concat_ws(' ', section, text)")} AS said FROM s),
+bj AS (SELECT query_id, paper_key, id, chunk_index, {_level(False)} AS level, said2, list_sum(list_transform(rterms, lambda t: {_occ('said2', 't')} * CASE WHEN contains(t, ' ') THEN 4 ELSE 1 END)) AS raw FROM bx JOIN rt USING (author)),
+bz AS (SELECT *, CASE WHEN {_occ('said2', "'google scholar'")} >= 2 OR {_occ('said2', "'pubmed'")} >= 2 OR {_occ('said2', "'article cas'")} >= 2 THEN raw // 8 ELSE raw END AS score FROM bj),
+best AS (SELECT query_id, paper_key, id AS chunk_id, score FROM bz QUALIFY row_number() OVER (PARTITION BY query_id, paper_key ORDER BY score DESC, level, chunk_index, id) = 1),
+px AS (SELECT paper_key, author, year, title, {_rank('doi')} AS f1, {_rank('title')} AS f2, {_rank("array_to_string(topic_keywords, ' ')")} AS f3, {_rank('one_sentence_summary')} AS f4 FROM pr),
+py AS (SELECT query_id, paper_key, year, title, coalesce(list_sum(list_transform(rterms, lambda t: 11 * {_occ('f1', 't')} + 6 * {_occ('f2', 't')} + 5 * {_occ('f3', 't')} + 3 * {_occ('f4', 't')})), 0) AS score FROM px JOIN rt USING (author)),
+pz AS (SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position FROM py QUALIFY position <= 20),
+profile AS (SELECT query_id, 'profile' AS route, position, chunk_id, score::DOUBLE AS route_score FROM pz JOIN best USING (query_id, paper_key)),
+allr AS (SELECT * FROM fts UNION ALL SELECT * FROM liked UNION ALL SELECT * FROM fact UNION ALL SELECT * FROM local UNION ALL SELECT * FROM profile),
+fo AS (SELECT query_id, route, chunk_id, min(position) AS position FROM allr GROUP BY 1, 2, 3),
+fx AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / ({rules.RRF_OFFSET} + position)), 12) AS rrf_score, min(position) FILTER (route = 'fts' AND position <= {rules.LEXICAL_SEEDS}) AS seed FROM fo GROUP BY 1, 2),
+hybrid AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seed ASC NULLS LAST, rrf_score DESC, chunk_id)::INT AS position, chunk_id, rrf_score, seed FROM fx QUALIFY position <= 8)"""
+
+
+def _cases(source: str, name: str) -> str:
+    """Golden cases of a fused table."""
+    return f"""{name}_r AS (SELECT g.item_id AS query_id, must_cite, must_include, s.paper_key, lower(s.text) AS low, list_contains(must_cite, s.paper_key) AS wanted
+  FROM {source} h JOIN s ON s.id = h.chunk_id JOIN golden_items g ON g.item_id = h.query_id),
+{name}_p AS (SELECT query_id, list(DISTINCT paper_key) AS keys, count(*) AS n, count(*) FILTER (wanted) AS good,
+  list_distinct(flatten(list(list_filter(must_include, lambda t: contains(low, lower(t)))) FILTER (wanted))) AS seen FROM {name}_r GROUP BY 1),
+{name}_m AS (SELECT item_id AS query_id, must_cite, keys, n, good, list_sort(list_filter(must_include, lambda t: NOT list_contains(coalesce(seen, []), t))) AS missing FROM golden_items LEFT JOIN {name}_p ON query_id = item_id),
+{name} AS (SELECT query_id, len(list_filter(must_cite, lambda k: NOT list_contains(coalesce(keys, []), k))) = 0 AS hit,
+  CASE WHEN coalesce(n, 0) = 0 THEN 0.0 WHEN len(must_cite) = 0 THEN 1.0 ELSE good::DOUBLE / n END AS precision, len(missing) = 0 AS covered, array_to_string(missing, ',') AS missing_terms FROM {name}_m)"""
+
+
+_SUMMARY = "count(*) AS questions, round(avg(hit::INT), 6) AS hit_at_k, round(avg(precision), 6) AS mean_precision, round(avg(covered::INT), 6) AS coverage"
+_LEXICAL = f"""lu AS (SELECT * FROM fts UNION ALL SELECT * FROM liked),
+lx AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / ({rules.RRF_OFFSET} + position)), 12) AS rrf_score, min(position) FILTER (route = 'fts' AND position <= {rules.LEXICAL_SEEDS}) AS seed FROM lu GROUP BY 1, 2),
+lexical AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seed ASC NULLS LAST, rrf_score DESC, chunk_id)::INT AS position, chunk_id FROM lx QUALIFY position <= 8)"""
+
 ORACLE = {
     "article_metadata": f"WITH {_META} {_RESOLVED}",
     "fetch_result_states": """SELECT paper_key, CASE WHEN fetch_result IS NULL THEN 'missing' WHEN NOT json_valid(fetch_result) THEN 'broken'
@@ -205,7 +384,56 @@ ORACLE = {
           (SELECT count(*) FROM f JOIN papers p USING (paper_key) WHERE p.source_hash <> h) AS stale, (SELECT count(DISTINCT id) FROM chunks) AS chunks,
           (SELECT count(*) FROM l) AS questions, (SELECT round(avg(latency_ms), 6) FROM l) AS mean_latency_ms, (SELECT sum(total_tokens)::BIGINT FROM l) AS total_tokens""",
     "redacted_keys": "SELECT paper_key, CASE WHEN length(source_hash) <= 8 THEN '********' ELSE source_hash[:4] || '...' || source_hash[-4:] END AS hidden FROM papers",
-    "pdf_metadata": None,
+    "evidence_errors": f"WITH {_EVIDENCE} SELECT log_id, position, chunk_id, error FROM ee",
+    "claim_errors": f"WITH {_ANSWERS}, {_CLAIMS} SELECT log_id, position, error FROM ce",
+    "answer_verdicts": f"WITH {_EVIDENCE}, {_CLAIMS}, {_VERDICTS} SELECT v.log_id, CASE WHEN j IS NULL THEN 'unreadable' ELSE coalesce(error, 'valid') END AS verdict FROM v LEFT JOIN ff USING (log_id)",
+    "best_chunks": f"""WITH {_SOURCE}, {_RANKED_QUESTIONS}, x AS (SELECT *, {_rank("concat_ws(' ', title, section, text)")} AS said2, {_rank("concat_ws(' ', section, text)")} AS said FROM s),
+        y AS (SELECT query_id, paper_key, id, chunk_index, {_level(False)} AS level, said2, list_sum(list_transform(rterms, lambda t: {_occ('said2', 't')} * CASE WHEN contains(t, ' ') THEN 4 ELSE 1 END)) AS raw FROM x JOIN rt USING (author)),
+        z AS (SELECT *, CASE WHEN {_occ('said2', "'google scholar'")} >= 2 OR {_occ('said2', "'pubmed'")} >= 2 OR {_occ('said2', "'article cas'")} >= 2 THEN raw // 8 ELSE raw END AS score FROM y)
+        SELECT query_id, paper_key, id AS chunk_id, score::BIGINT AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id, paper_key ORDER BY score DESC, level, chunk_index, id) = 1""",
+    "profile_retrieval": f"""WITH {_PROFILES}, {_RANKED_QUESTIONS}, x AS (SELECT paper_key, author, year, title, {_rank('doi')} AS f1, {_rank('title')} AS f2, {_rank("array_to_string(topic_keywords, ' ')")} AS f3, {_rank('one_sentence_summary')} AS f4 FROM pr),
+        y AS (SELECT query_id, paper_key, year, title, coalesce(list_sum(list_transform(rterms, lambda t: 11 * {_occ('f1', 't')} + 6 * {_occ('f2', 't')} + 5 * {_occ('f3', 't')} + 3 * {_occ('f4', 't')})), 0)::BIGINT AS score FROM x JOIN rt USING (author))
+        SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position, score FROM y QUALIFY position <= 20""",
+    "pdf_normalised": r"""WITH e AS (SELECT DISTINCT ON (extract_id) extract_id, text FROM pdf_extracts)
+        SELECT extract_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_hash FROM e""",
+    "evidence_paths": """WITH r AS (SELECT DISTINCT m[i] AS a, m[i + 1] AS b FROM (SELECT must_cite AS m, unnest(range(1, len(must_cite))) AS i FROM golden_items))
+        SELECT x.a AS start, x.b AS via, y.b AS \"end\" FROM r x JOIN r y ON x.b = y.a WHERE x.a <> y.b""",
+    "cleaned_bodies": f"SELECT paper_key, {_clean('raw_body')} AS text FROM articles WHERE raw_body IS NOT NULL",
+    "noise_lines": f"""WITH {_CHUNKS}, x AS (SELECT id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM c),
+        y AS (SELECT id, line_no, {_normal_line('line')} AS line FROM x) SELECT id, line_no, line FROM y WHERE {_noise('line', ['acs', 'elsevier', 'rsc'])}""",
+    "article_sections": f"WITH {_SECTIONS} SELECT * FROM sections",
+    "section_facts": f"WITH {_SECTIONS}, x AS (SELECT {_SECTION_FACT} AS kind, content FROM sections) SELECT kind, count(*) AS sections, sum(length(content))::BIGINT AS characters FROM x WHERE kind IS NOT NULL GROUP BY 1",
+    "analysis_contexts": f"""WITH {_SECTIONS}, x AS (SELECT paper_key, string_agg(content, chr(10) || chr(10) ORDER BY position) AS whole,
+        string_agg('## ' || title || chr(10) || content, chr(10) || chr(10) ORDER BY position) FILTER (lower(title) IN ({_PREFERRED})) AS chosen FROM sections GROUP BY 1)
+        SELECT paper_key, left(CASE WHEN chosen IS NULL THEN whole ELSE chosen || chr(10) || chr(10) || '## Tail Context' || chr(10) || right(whole, 5000) END, 12000) AS context FROM x""",
+    "hybrid_retrieval": f"WITH {_HYBRID} SELECT * FROM hybrid",
+    "retrieval_trace": f"WITH {_HYBRID} SELECT query_id, route, count(*) AS candidates, arg_min(chunk_id, (position, chunk_id)) AS top_chunk FROM allr GROUP BY 1, 2",
+    "answer_contexts": f"""WITH {_HYBRID}, np AS (SELECT author, count(*) AS profiles FROM pr GROUP BY 1),
+        pl AS (SELECT query_id, coalesce(profiles, 0) > 0 AND NOT {_any("lower(question)", rules.DETAIL_KEYWORDS)} AS first FROM questions LEFT JOIN np USING (author)),
+        fi AS (SELECT query_id, position, chunk_id, 'profile' AS origin FROM profile JOIN pl USING (query_id) WHERE first AND position <= 8),
+        un AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY position, chunk_id) AS n FROM profile WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM hybrid) QUALIFY n <= 2),
+        tc AS (SELECT query_id, count(*) AS tails FROM un GROUP BY 1),
+        kp AS (SELECT query_id, chunk_id, position, 'hybrid' AS origin FROM hybrid LEFT JOIN tc USING (query_id) WHERE position <= 8 - coalesce(tails, 0) UNION ALL SELECT query_id, chunk_id, n + 1000, 'profile' FROM un),
+        tl AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY position, chunk_id)::INT AS position, chunk_id, origin FROM kp)
+        SELECT * FROM fi UNION ALL SELECT * FROM tl WHERE query_id NOT IN (SELECT query_id FROM fi)""",
+    "golden_cases": f"WITH {_HYBRID}, {_cases('hybrid', 'ca')} SELECT * FROM ca",
+    "golden_summary": f"WITH {_HYBRID}, {_cases('hybrid', 'ca')} SELECT {_SUMMARY} FROM ca",
+    "golden_route_rates": f"""WITH {_HYBRID}, rr AS (SELECT route, query_id, count(*) AS n, bool_or(list_contains(must_cite, paper_key) OR len(must_cite) = 0) AS hit
+        FROM allr JOIN s ON s.id = chunk_id JOIN golden_items ON item_id = query_id GROUP BY 1, 2)
+        SELECT route, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / (SELECT count(*) FROM golden_items), 6) AS hit_rate, round(sum(n) / (SELECT count(*) FROM golden_items), 6) AS mean_candidates FROM rr GROUP BY 1""",
+    "golden_comparison": f"""WITH {_HYBRID}, {_LEXICAL}, {_cases('lexical', 'cb')}, {_cases('hybrid', 'ca')}, sb AS (SELECT {_SUMMARY} FROM cb), sa AS (SELECT {_SUMMARY} FROM ca),
+        u3 AS (SELECT 'hit_at_k' AS metric, sb.hit_at_k AS before, sa.hit_at_k AS after, 0.0 AS most, 1.0 AS least FROM sb, sa UNION ALL SELECT 'mean_precision', sb.mean_precision, sa.mean_precision, 0.02, 0.4 FROM sb, sa
+          UNION ALL SELECT 'coverage', sb.coverage, sa.coverage, 0.0, 1.0 FROM sb, sa)
+        SELECT metric, before, after, round(before - after, 6) AS drop, round(before - after, 6) > most OR after < least AS blocked FROM u3""",
+    "caption_objects": f"WITH {_OBJECTS} {_OBJECT_ROWS}",
+    "local_vector_retrieval": f"WITH {_SOURCE}, {_QUESTIONS}, {_LOCAL} SELECT * FROM local",
+    "split_documents": f"""WITH RECURSIVE d AS (SELECT doc_id, {_strip('text')} AS t FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, t, length(t) AS n, 0 AS start FROM d WHERE length(t) > 0),
+        cut AS (SELECT doc_id, t, n, start, 0 AS step, CASE WHEN n <= 800 THEN n ELSE {_CUT} END AS stop FROM w
+          UNION ALL SELECT doc_id, t, n, nstart, step + 1, CASE WHEN nstart + 800 >= n THEN n ELSE {_CUT.replace('start', 'nstart')} END
+          FROM (SELECT *, greatest(stop - 100, start + 1) AS nstart FROM cut WHERE stop < n))
+        , p AS (SELECT doc_id, step, {_strip('t[start + 1:stop]')} AS piece FROM cut)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS piece, length(piece)::INT AS characters, sha256(piece) AS chunk_hash FROM p WHERE piece <> ''""",
     "question_terms": f"WITH {_LOGS}, {_terms('l', 'id')} SELECT id, array_to_string(terms, '|') AS terms FROM terms",
     "question_match_strings": f"""WITH {_QUESTIONS}, {_terms('questions', 'query_id')}
         SELECT query_id, array_to_string(list_transform(terms[:12], lambda t: '"' || replace(t, '"', '""') || '"'), ' OR ') AS match FROM terms""",
