@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import clean, terms, text
+from .functions import clean, rules, terms, text
 from .operators import answers, embeddings, evaluation, library, logs, retrieval, sections, understanding
 from .oracle import ORACLE
 from .plans import hybrid
@@ -293,6 +293,22 @@ def paper_profiles(t: Tables) -> DataFrame:
     )
 
 
+@query
+def profile_faults(t: Tables) -> DataFrame:
+    """Faults of the profiles, and how many have none."""
+    faults = understanding.profile_faults(t.lib.profiles, t.lib.facts)
+    every = t.lib.profiles.select("paper_key").join(faults, "paper_key", "left")
+    return every.groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("papers"))
+
+
+@query
+def instructing_texts(t: Tables) -> DataFrame:
+    """Chunks, questions and documents with a phrase that instructs a model."""
+    parts = [("chunk", library.distinct_chunks(t.chunks).select("id", "text")), ("log", t.logs_once.select("id", F.col("question").alias("text"))), ("document", t.documents.select(F.col("doc_id").alias("id"), "text"))]
+    made = [rows.select(F.lit(name).alias("origin"), "id", text.has_any(F.lower(F.coalesce("text", F.lit(""))), rules.INSTRUCTION_PHRASES).alias("instructs")) for name, rows in parts]
+    return made[0].union(made[1]).union(made[2]).groupBy("origin", "instructs").agg(F.count(F.lit(1)).alias("texts"))
+
+
 @query
 def author_themes(t: Tables) -> DataFrame:
     themes = understanding.author_themes(t.lib.profiles)
@@ -508,6 +524,13 @@ def log_sessions(t: Tables) -> DataFrame:
     return logs.gaps(t.logs_once)
 
 
+@query
+def message_pages(t: Tables) -> DataFrame:
+    """Rendered answers in pages of at most 400 characters, cut at a line end past the half if there is one."""
+    pages = sections.message_pages(answers.rendered(t.parsed), "log_id", "text", 400)
+    return pages.select("log_id", "page", F.length("text").alias("characters"))
+
+
 @query
 def log_windows(t: Tables) -> DataFrame:
     return trends.windowed(t.logs_once)

@@ -108,6 +108,11 @@ PROFILE_WEIGHTS = {"doi": 10, "title": 5, "topic_keywords": 4, "key_results": 4,
 INSUFFICIENT = ["insufficient_context", "证据不足", "信息不足"]
 UNCERTAIN = ["uncertain", "limited evidence", "partial support", "不确定", "证据有限", "可能"]
 
+INSTRUCTION_PHRASES = [
+    "ignore previous", "ignore all previous", "system prompt", "developer message", "act as chatgpt", "act as an ai", "act as a helpful assistant",
+    "忽略之前", "忽略以上", "系统提示", "开发者消息", "你现在是",
+]
+
 # --- ranking ----------------------------------------------------------------
 ROUTE_LIMIT = 30
 RRF_OFFSET = 60

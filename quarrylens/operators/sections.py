@@ -189,6 +189,34 @@ def split_chunks(texts: DataFrame, key: str, text: str, size: int = rules.CHUNK_
     return texts.select(key, text).mapInArrow(split, f"{key} {kind}, piece int, text string")
 
 
+def page_text(text: str, size: int) -> list[str]:
+    """Pages of at most ``size`` characters, cut at a blank line, else a line end, past the half if there is one."""
+    pages, rest = [], text.strip()
+    while len(rest) > size:
+        window = rest[:size]
+        cut = max(window.rfind("\n\n"), -1)
+        cut = cut if cut > size // 2 else window.rfind("\n")
+        cut = cut if cut > size // 2 else size
+        pages.append(rest[:cut].rstrip())
+        rest = rest[cut:].lstrip()
+    return [p for p in [*pages, rest] if p]
+
+
+def message_pages(texts: DataFrame, key: str, text: str, size: int = 3900) -> DataFrame:
+    """``(key, page, text)``: each text in pages numbered from 0; null and blank texts give none."""
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [(i, n, p) for i, value in enumerate(batch.column(1).to_pylist()) for n, p in enumerate(page_text(value or "", size))]
+            owners, numbers, pages = zip(*cut) if cut else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()), pa.array(pages, pa.string())], names=[key, "page", "text"]
+            )
+
+    return texts.select(key, text).mapInArrow(run, f"{key} {kind}, page int, text string")
+
+
 def section_fact_type(section: Column, kind: Column) -> Column:
     """The fact type of a section, null for none."""
     low = F.lower(section)
@@ -215,6 +243,6 @@ def analysis_context(parts: DataFrame, limit: int = 12_000) -> DataFrame:
 
 
 __all__ = [
-    "analysis_context", "article_lines", "caption_object", "caption_of_line", "caption_values", "captions", "relation_paths", "section_fact_type",
+    "analysis_context", "article_lines", "caption_object", "caption_of_line", "caption_values", "captions", "message_pages", "page_text", "relation_paths", "section_fact_type",
     "section_kind", "sections", "split_chunks", "split_text", "squash",
 ]

@@ -108,47 +108,68 @@ def topic_keywords(title: Column, claims: Column, limit: int = 12) -> Column:
     return F.array_sort(F.slice(F.array_distinct(good), 1, limit))
 
 
+def first_facts(facts: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` first facts of each paper by rank of type, chunk index and uid, with their place ``n``.
+
+    Spark drops what can't be among them before the shuffle, however many facts a paper has.
+    """
+    order = W.partitionBy("paper_key").orderBy(F.desc(fact_rank(F.col("fact_type"))), "chunk_index", "claim_uid")
+    return facts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+
+
 def paper_profiles(facts: DataFrame, papers: DataFrame) -> DataFrame:
-    """One row per paper with facts: summary, contribution types, keywords, contributions, limitations, hash.
+    """One row per paper with facts: summary, contribution types, keywords, contributions, limitations, digest.
 
-    Only the 12 first facts of a paper are gathered for keywords, and the least fact of each kind
-    for the summary, so a paper with very many facts needs no long list.
+    Only the 12 first facts of a paper are gathered for keywords, 6 for contributions and
+    limitations each, and the first of a kind for the summary; all else are aggregates, so a
+    paper with very many facts fits as well.  ``fact_digest`` identifies the set of facts.
     """
-    ranked = distinct_facts(facts)
-    entry = F.struct("rank_position", "claim")
-    first = F.min(F.struct("rank_position", "claim"))
-    gathered = ranked.groupBy("paper_key").agg(
+    distinct = facts.groupBy("paper_key", "fact_type", "claim").agg(F.min(F.struct("chunk_index", "claim_uid")).alias("m"))
+    distinct = distinct.select("paper_key", "fact_type", "claim", "m.chunk_index", "m.claim_uid")
+    entry = F.struct((-fact_rank(F.col("fact_type"))).alias("r"), "chunk_index", "claim_uid", "claim")
+    gathered = distinct.groupBy("paper_key").agg(
         F.count(F.lit(1)).alias("facts"),
         F.collect_set(F.when(F.col("fact_type") != "context", F.col("fact_type"))).alias("kinds"),
-        F.array_sort(F.collect_list(F.when(F.col("rank_position") <= 12, entry))).alias("leading"),
         F.min(F.when(F.col("fact_type") == "context", entry)).alias("context"),
         F.min(F.when(F.col("fact_type") == "result", entry)).alias("result"),
-        first.alias("any"),
-    )
-    picked = ranked.where("fact_type not in ('limitation', 'context')").withColumn(
-        "n", F.row_number().over(W.partitionBy("paper_key").orderBy("rank_position"))
+        F.min(entry).alias("any"),
+        F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.expr("bit_xor(xxhash64(claim_uid))"), F.expr("bit_xor(xxhash64(claim_uid, 'x'))")), 256).alias("fact_digest"),
     )
-    contributions = picked.where("n <= 6").groupBy("paper_key").agg(F.array_sort(F.collect_list(F.struct("n", "claim_uid"))).alias("contributions"))
-    limits = ranked.where("fact_type = 'limitation'").withColumn("n", F.row_number().over(W.partitionBy("paper_key").orderBy("rank_position")))
-    limits = limits.where("n <= 6").groupBy("paper_key").agg(F.array_sort(F.collect_list(F.struct("n", "claim_uid"))).alias("limitations"))
-    none = F.array().cast("array<string>")
+
+    def listed(rows: DataFrame, limit: int, column: str, name: str) -> DataFrame:
+        kept = first_facts(rows, limit).groupBy("paper_key").agg(F.array_sort(F.collect_list(F.struct("n", column))).alias("x"))
+        return kept.select("paper_key", F.transform("x", lambda v: v[column]).alias(name))
+
     joined = (
         papers.select("paper_key", "author", "title", F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("year", F.lit("")).alias("year"))
         .join(gathered, "paper_key")
-        .join(contributions, "paper_key", "left")
-        .join(limits, "paper_key", "left")
+        .join(listed(distinct, 12, "claim", "leading"), "paper_key")
+        .join(listed(distinct.where("fact_type not in ('limitation', 'context')"), 6, "claim_uid", "contributions"), "paper_key", "left")
+        .join(listed(distinct.where("fact_type = 'limitation'"), 6, "claim_uid", "limitations"), "paper_key", "left")
     )
+    none = F.array().cast("array<string>")
     ranks = F.transform(F.array_sort(F.transform("kinds", lambda k: F.struct((-fact_rank(k)).alias("r"), k.alias("k")))), lambda x: x["k"])
     return joined.select(
         "paper_key", "author", "title", "doi", "year", "facts",
         F.concat("title", F.lit(": "), F.coalesce("context.claim", "result.claim", "any.claim")).alias("one_sentence_summary"),
-        ranks.alias("contribution_types"),
-        topic_keywords(F.col("title"), F.transform("leading", lambda x: x["claim"])).alias("topic_keywords"),
-        F.coalesce(F.transform("contributions", lambda x: x["claim_uid"]), none).alias("contributions"),
-        F.coalesce(F.transform("limitations", lambda x: x["claim_uid"]), none).alias("limitations"),
+        ranks.alias("contribution_types"), topic_keywords(F.col("title"), F.col("leading")).alias("topic_keywords"),
+        F.coalesce("contributions", none).alias("contributions"), F.coalesce("limitations", none).alias("limitations"), "fact_digest",
     )
 
 
+def profile_faults(profiles: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(paper_key, fault)``: empty_title, empty_summary, no_keywords, instruction (a phrase that instructs a model), unknown_fact."""
+    cited = profiles.select("paper_key", F.explode(F.concat("contributions", "limitations")).alias("claim_uid"))
+    unknown = cited.join(facts.select("claim_uid").distinct(), "claim_uid", "left_anti").select("paper_key", F.lit("unknown_fact").alias("fault"))
+    said = F.lower(F.concat_ws(" ", "title", "one_sentence_summary", F.array_join("topic_keywords", " ")))
+    tests = [
+        F.when(F.trim("title") == "", "empty_title"), F.when(F.trim("one_sentence_summary") == "", "empty_summary"),
+        F.when(F.size("topic_keywords") == 0, "no_keywords"), F.when(has_any(said, rules.INSTRUCTION_PHRASES), "instruction"),
+    ]
+    own = profiles.select("paper_key", F.explode(F.array_compact(F.array(*tests))).alias("fault"))
+    return own.union(unknown).distinct()
+
+
 def theme_key(profile_keywords: Column, types: Column) -> Column:
     return norm(F.coalesce(F.get(profile_keywords, F.lit(0)), F.get(types, F.lit(0)), F.lit("general research")))
 

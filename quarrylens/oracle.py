@@ -274,6 +274,12 @@ _SECTION_FACT = (
     + " ".join(f"WHEN {_any('lower(title)', needles)} THEN '{name}'" for name, needles in rules.SECTION_FACTS)
     + " END"
 )
+_LABEL = r"[\p{L}\p{N}-]*[0-9][\p{L}\p{N}-]*(?:,[\p{L}\p{N}-]+)*"
+_CAP_EN = rf"(?i)^(figure|fig|table)(?:\.+\s*|\s+|)({_LABEL})\s*[.:|)-]*\s*(.*)$"
+_CAP_CJK = rf"^(图|表)\s*({_LABEL})\s*[.:|)-]*\s*(.*)$"
+_UNIT = r"(?:%|°C|K\b|mol/L|min\b|h\b|s\b|nm\b|mV\b|V\b|mA\b|g\b|mg\b|eV\b)"
+_NUMBER = r"[-+−]?[0-9][0-9.]*"
+_METRICS = "|".join(sorted(rules.METRIC_PHRASES, key=len, reverse=True))
 _PREFERRED = "'abstract', 'introduction', 'results', 'results and discussion', 'discussion', 'conclusions', 'conclusion'"
 
 
@@ -425,6 +431,13 @@ ORACLE = {
         u3 AS (SELECT 'hit_at_k' AS metric, sb.hit_at_k AS before, sa.hit_at_k AS after, 0.0 AS most, 1.0 AS least FROM sb, sa UNION ALL SELECT 'mean_precision', sb.mean_precision, sa.mean_precision, 0.02, 0.4 FROM sb, sa
           UNION ALL SELECT 'coverage', sb.coverage, sa.coverage, 0.0, 1.0 FROM sb, sa)
         SELECT metric, before, after, round(before - after, 6) AS drop, round(before - after, 6) > most OR after < least AS blocked FROM u3""",
+    "caption_lines": rf"""WITH {_CHUNKS}, x AS (SELECT id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM c),
+        y AS (SELECT id, line_no, {_strip(r"regexp_replace(replace(replace(translate(line, ' ‐‑–—', ' ----'), '**', ''), '__', ''), '^[-* ]+', '')")} AS p FROM x),
+        z AS (SELECT id, line_no, p, regexp_matches(p, '{_CAP_EN}') AS en FROM y)
+        SELECT id, line_no, CASE WHEN en THEN CASE WHEN lower(regexp_extract(p, '{_CAP_EN}', 1)) = 'table' THEN 'Table ' ELSE 'Figure ' END || regexp_extract(p, '{_CAP_EN}', 2) ELSE regexp_extract(p, '{_CAP_CJK}', 1) || ' ' || regexp_extract(p, '{_CAP_CJK}', 2) END AS label,
+          CASE WHEN en THEN regexp_extract(p, '{_CAP_EN}', 3) ELSE regexp_extract(p, '{_CAP_CJK}', 3) END AS caption FROM z WHERE en OR regexp_matches(p, '{_CAP_CJK}')""",
+    "caption_values": rf"""WITH {_CHUNKS}, x AS (SELECT id, regexp_extract_all(text, '({_NUMBER}\s?{_UNIT})', 1) AS m, regexp_extract_all(text, '(?i)((?:{_METRICS})(?: (?:of|is|are|was|were|near|reached|showed|gave))* {_NUMBER}\s?{_UNIT})', 1) AS v
+          FROM c WHERE section_kind IN ('figure_caption', 'table_caption')) SELECT id, array_to_string({_unique('m').replace("list_filter(m, lambda t", "list_filter(m, lambda t")}, '; ') AS measurements, array_to_string({_unique('v')}, '; ') AS named FROM x""",
     "caption_objects": f"WITH {_OBJECTS} {_OBJECT_ROWS}",
     "local_vector_retrieval": f"WITH {_SOURCE}, {_QUESTIONS}, {_LOCAL} SELECT * FROM local",
     "split_documents": f"""WITH RECURSIVE d AS (SELECT doc_id, {_strip('text')} AS t FROM documents WHERE text IS NOT NULL),
@@ -454,6 +467,12 @@ ORACLE = {
     "chunk_facts": f"WITH {_FACTS} SELECT claim_uid, chunk_id, fact_type, confidence FROM facts JOIN papers USING (paper_key)",
     "ranked_facts": f"WITH {_FACTS} SELECT paper_key, rank_position, fact_type, claim_uid FROM r JOIN papers USING (paper_key)",
     "paper_profiles": f"""WITH {_PROFILES} SELECT paper_key, facts, one_sentence_summary, contribution_types, array_to_string(topic_keywords, ',') AS topic_keywords, contributions, limitations FROM pr""",
+    "profile_faults": f"""WITH {_PROFILES}, z AS (SELECT paper_key, lower(title || ' ' || one_sentence_summary || ' ' || array_to_string(topic_keywords, ' ')) AS said, title, one_sentence_summary AS o, topic_keywords AS tk FROM pr),
+        y AS (SELECT paper_key, unnest(list_filter([CASE WHEN trim(title) = '' THEN 'empty_title' END, CASE WHEN trim(o) = '' THEN 'empty_summary' END, CASE WHEN len(tk) = 0 THEN 'no_keywords' END,
+          CASE WHEN {_any('said', rules.INSTRUCTION_PHRASES)} THEN 'instruction' END], lambda t: t IS NOT NULL)) AS fault FROM z)
+        SELECT coalesce(fault, 'none') AS fault, count(*) AS papers FROM z LEFT JOIN y USING (paper_key) GROUP BY 1""",
+    "instructing_texts": f"""WITH {_CHUNKS}, {_LOGS}, u4 AS (SELECT 'chunk' AS origin, coalesce(text, '') AS t FROM c UNION ALL SELECT 'log', coalesce(question, '') FROM l UNION ALL SELECT 'document', coalesce(text, '') FROM documents)
+        SELECT origin, {_any('lower(t)', rules.INSTRUCTION_PHRASES)} AS instructs, count(*) AS texts FROM u4 GROUP BY ALL""",
     "author_themes": f"""WITH {_PROFILES}, th AS (SELECT author, {_squash("lower(coalesce(topic_keywords[1], nullif(string_split(contribution_types, ',')[1], ''), 'general research'))")} AS theme, paper_key, year, title FROM pr),
         o2 AS (SELECT *, row_number() OVER (PARTITION BY author, theme ORDER BY year DESC, title, paper_key) AS n FROM th)
         SELECT author, theme, count(*) AS papers, coalesce(min(nullif(year, '')), 'unknown') AS first_year, coalesce(max(nullif(year, '')), 'unknown') AS last_year,
