@@ -27,7 +27,7 @@ class PermutationIndex:
     depth: int = 6
     per_pivot: int = 50
     max_pivots: int = 8192
-    rerank: int = 48
+    rerank: int = 96
     block: int = 3000
 
     def pivots_for(self, n: int) -> int:
