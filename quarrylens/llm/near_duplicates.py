@@ -118,8 +118,9 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], spec: Covering) -> I
                     keys.take(pa.array(owners + lo)),
                     pa.array([a.tobytes() + b.tobytes() for a, b in zip(set_a, set_b)], pa.binary()),
                     pa.array([row.tobytes() for row in symbols], pa.binary()),
+                    pa.array([row.tobytes() for row in (symbols & 255).astype("u1")], pa.binary()),
                 ],
-                names=["key", "set_id", "symbols"],
+                names=["key", "set_id", "symbols", "print"],
             )
 
 
@@ -144,13 +145,13 @@ def _key_type(df: DataFrame) -> str:
 
 
 def fingerprints(records: DataFrame, spec: Covering) -> DataFrame:
-    """``(key, set_id, symbols)`` of the records ``(key, text)``.
+    """``(key, set_id, symbols, print)`` of the records ``(key, text)``; ``print`` has a byte of each symbol, for comparison.
 
     ``set_id`` identifies the feature set (128 bits); null and empty texts have no features and
     are left out.
     """
     return records.select("key", "text").mapInArrow(
-        lambda it: _fingerprint_batches(it, spec), f"key {_key_type(records)}, set_id binary, symbols binary"
+        lambda it: _fingerprint_batches(it, spec), f"key {_key_type(records)}, set_id binary, symbols binary, print binary"
     )
 
 
@@ -158,14 +159,14 @@ def _match_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        near = (_rows_of(batch.column(2), "<u4") == _rows_of(batch.column(3), "<u4")).sum(axis=1) >= least
+        near = (_rows_of(batch.column(2), "u1") == _rows_of(batch.column(3), "u1")).sum(axis=1) >= least
         yield batch.select([0, 1]).filter(pa.array(near))
 
 
 def candidate_pairs(prints: DataFrame, spec: Covering, extra: str | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of class representatives that share an anchor and whose fingerprints agree.
 
-    ``prints`` has one row ``(key, symbols[, extra])`` per class; ``extra`` names a boolean
+    ``prints`` has one row ``(key, symbols, print[, extra])`` per class; ``extra`` names a boolean
     column of which at least one side of a pair must be true.
     """
     kind = _key_type(prints)
@@ -178,10 +179,10 @@ def candidate_pairs(prints: DataFrame, spec: Covering, extra: str | None = None)
     if extra:
         met = met.where("xa or xb")
     pairs = met.select("a", "b").distinct()
-    side = prints.select("key", "symbols")
+    side = prints.select("key", "print")
     return (
-        pairs.join(side.select(F.col("key").alias("a"), F.col("symbols").alias("pa")), "a")
-        .join(side.select(F.col("key").alias("b"), F.col("symbols").alias("pb")), "b")
+        pairs.join(side.select(F.col("key").alias("a"), F.col("print").alias("pa")), "a")
+        .join(side.select(F.col("key").alias("b"), F.col("print").alias("pb")), "b")
         .select("a", "b", "pa", "pb")
         .mapInArrow(lambda it: _match_batches(it, spec.least_matches), f"a {kind}, b {kind}")
     )
@@ -245,7 +246,7 @@ def near_duplicates(records: DataFrame, spec: Covering, cut, extra: str | None =
     prints = cut(prints)
     members = prints.select("key", "set_id").distinct()
     classes = members.groupBy("set_id").agg(F.min("key").alias("class_key"))
-    represented = [F.min("key").alias("key"), F.first("symbols").alias("symbols")]
+    represented = [F.min("key").alias("key"), F.first("symbols").alias("symbols"), F.first("print").alias("print")]
     if extra:
         represented.append(F.max(extra).alias(extra))
     representatives = cut(prints.groupBy("set_id").agg(*represented).drop("set_id"))
