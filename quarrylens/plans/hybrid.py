@@ -22,8 +22,12 @@ class Library:
 
 
 def library(chunks: DataFrame, papers: DataFrame) -> Library:
-    """Classes, facts and profiles made from the canonical chunk rows, facts and profiles written once."""
-    facts = cut_lineage(understanding.chunk_facts(chunks, understanding.classify(chunks)))
+    """Classes, facts and profiles made from the canonical chunk rows, each written once.
+
+    Written classes also keep the filter on them from running the whole cascade again.
+    """
+    classes = cut_lineage(understanding.classify(chunks).select("chunk_id", "chunk_kind", "usefulness_score", "skip_reason"))
+    facts = cut_lineage(understanding.chunk_facts(chunks, classes))
     return Library(chunks, facts, cut_lineage(understanding.paper_profiles(facts, papers)))
 
 
