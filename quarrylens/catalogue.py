@@ -277,12 +277,12 @@ def class_agreement(t: Tables) -> DataFrame:
 
 @query
 def chunk_facts(t: Tables) -> DataFrame:
-    return t.lib.facts.select("claim_uid", "chunk_id", "fact_type", "confidence")
+    return hybrid.facts_of(t.source_chunks).select("claim_uid", "chunk_id", "fact_type", "confidence")
 
 
 @query
 def ranked_facts(t: Tables) -> DataFrame:
-    return understanding.distinct_facts(t.lib.facts).select("paper_key", "rank_position", "fact_type", "claim_uid")
+    return understanding.distinct_facts(hybrid.facts_of(t.source_chunks)).select("paper_key", "rank_position", "fact_type", "claim_uid")
 
 
 @query
@@ -342,7 +342,7 @@ def bm25_retrieval(t: Tables) -> DataFrame:
 
 @query
 def fact_retrieval(t: Tables) -> DataFrame:
-    return retrieval.fact_route(t.questions, t.source_chunks, t.lib.facts)
+    return retrieval.fact_route(t.questions, t.source_chunks, hybrid.facts_of(t.source_chunks))
 
 
 @query

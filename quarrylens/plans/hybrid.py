@@ -21,13 +21,18 @@ class Library:
     profiles: DataFrame
 
 
-def library(chunks: DataFrame, papers: DataFrame) -> Library:
-    """Classes, facts and profiles made from the canonical chunk rows, each written once.
+def facts_of(chunks: DataFrame) -> DataFrame:
+    """Classes and facts of the canonical chunk rows, each written once.
 
     Written classes also keep the filter on them from running the whole cascade again.
     """
     classes = cut_lineage(understanding.classify(chunks).select("chunk_id", "chunk_kind", "usefulness_score", "skip_reason"))
-    facts = cut_lineage(understanding.chunk_facts(chunks, classes))
+    return cut_lineage(understanding.chunk_facts(chunks, classes))
+
+
+def library(chunks: DataFrame, papers: DataFrame) -> Library:
+    """Facts and profiles made from the canonical chunk rows."""
+    facts = facts_of(chunks)
     return Library(chunks, facts, cut_lineage(understanding.paper_profiles(facts, papers)))
 
 
