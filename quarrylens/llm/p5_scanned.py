@@ -49,10 +49,7 @@ _HEAD_MARKS = (
     re.compile(r"\d{1,4}\s+\|\s+(?P<core>\S.*\S)"),
 )
 _JOURNAL = re.compile(r"[A-Z]\w+(?: [A-Z]\w+)* (?:letters|journal|annals|transactions|reports|proceedings) (?:of|on) \S.*", re.I)
-_SIGN = re.compile(
-    r"[a-z][-‐­][ \t]*\n|^[ \t]*(?:[—–·•\-~]\s*\d{1,4}\s*[—–·•\-~]|\[\d{1,4}\]|(?:page|p\.)\s*\d{1,4}|[ivxlc]{1,7})[ \t]*$|^~ .* ~$|, page \d{1,4}$|\s\|\s+\d{1,4}$|^\d{1,4} {2,}[A-Za-z]|letters of app",
-    re.M | re.I,
-)
+_DIVIDED = re.compile(r"[^\W\d_][-‐­][^\S\n]*\n")
 _SKELETON = (("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("li", "h"), ("ri", "n"))
 _SKELETON_ONE = str.maketrans("cfqb01!56", "etghoilsh")
 
@@ -238,11 +235,64 @@ def _header_core(line: str) -> tuple[str, bool]:
     return text, False
 
 
+def _shape(core: str) -> str:
+    return skeleton(core.replace("...", "").replace("…", ""))
+
+
+def _shortened(core: str) -> bool:
+    return core.endswith(("...", "…"))
+
+
+def _marks(lines: list[str]) -> Iterator[tuple[int, str, str, bool]]:
+    """``(index, form, core, marked)`` of the lines that can be furniture.
+
+    The form is page_number, bare (a number that its neighbours decide on), header, or title for
+    what is a header only if it repeats the paper's title.
+    """
+    for i, line in enumerate(lines):
+        text = line.strip()
+        if not text or len(text) > 160 or text[0] == "#":
+            continue
+        if _PAGE_SURE.fullmatch(line):
+            yield i, "page_number", text, True
+        elif text[0].islower() and len(text) > 7:
+            continue
+        elif _PAGE_BARE.fullmatch(line):
+            yield i, "bare", text, False
+        elif text[-1] not in ".,;" or text.endswith("..."):
+            core, marked = _header_core(line)
+            sure = _JOURNAL.fullmatch(core) or marked and (text[0] == "~" or re.search(r", page \d+$", text, re.I))
+            yield i, "header" if sure else "title", core, marked
+
+
+def _furnished(lines: list[str]) -> bool:
+    """Whether lines can be a sign of scanning under some title: the tests of ``Page`` with the title left open."""
+    plain = []
+    for _, form, core, marked in _marks(lines):
+        if form == "page_number" or form != "bare" and marked:
+            return True
+        if form == "header":
+            plain.append("")
+        elif form == "title":
+            if _shortened(core):
+                return True
+            plain.append(core)
+    if len(plain) < 2:
+        return False
+    # two lines can begin the same title only if one begins the other
+    shapes = sorted(x[: max(8, len(x) - 1)] for core in plain if not core or len(x := _shape(core)) >= 8) if "" not in plain else [""] * 2
+    return any(b.startswith(a) for a, b in zip(shapes, shapes[1:]))
+
+
+def _split(text: str) -> list[str]:
+    return [x[:-1] if x.endswith("\r") else x for x in text.split("\n")]
+
+
 class Page:
     """One record: its lines by kind, its divided words and its misreadings."""
 
     def __init__(self, text: str, title: str | None, decoder: Decoder):
-        self.lines = [x[:-1] if x.endswith("\r") else x for x in text.split("\n")]
+        self.lines = _split(text)
         self.decoder = decoder
         self.kind = ["blank" if not x.strip() else "text" for x in self.lines]
         self.signs = 0
@@ -251,28 +301,21 @@ class Page:
 
     def _furniture(self, title: str) -> None:
         weak, plain = [], 0
-        for i, line in enumerate(self.lines):
-            text = line.strip()
-            if not text or len(text) > 160 or text[0] == "#" or text[0].islower() and len(text) > 7:
-                continue
-            if _PAGE_SURE.fullmatch(line):
+        for i, form, core, marked in _marks(self.lines):
+            if form == "page_number":
                 self.kind[i] = "page_number"
                 self.signs += 1
-                continue
-            if _PAGE_BARE.fullmatch(line):
+            elif form == "bare":
                 weak.append(i)
-                continue
-            if text[-1] in ".,;" and not text.endswith("..."):
-                continue
-            core, marked = _header_core(line)
-            shape = skeleton(core.replace("...", "").replace("…", ""))
-            of_title = len(shape) >= 8 and title.startswith(shape[: max(8, len(shape) - 1)])
-            if not (of_title or _JOURNAL.fullmatch(core) or marked and (text[0] == "~" or re.search(r", page \d+$", text, re.I))):
-                continue
-            self.kind[i] = "running_header"
-            plain += not marked
-            # a title by itself may be that of a text that was never printed; a second one is not
-            self.signs += marked or plain > 1
+            else:
+                shape = _shape(core)
+                of_title = len(shape) >= 8 and title.startswith(shape[: max(8, len(shape) - 1)])
+                if not (of_title or form == "header"):
+                    continue
+                self.kind[i] = "running_header"
+                plain += not marked
+                # a title by itself may be that of a text that was never printed; a second or a shortened one is not
+                self.signs += marked or plain > 1 or _shortened(core) and len(shape) < len(title)
         # a bare number is a page number if it stands alone, not in a run of values
         for i in weak:
             near = [j for j in (i - 1, i + 1) if 0 <= j < len(self.lines) and self.kind[j] != "blank"]
@@ -405,23 +448,24 @@ class Page:
 
 
 def suspicious(texts: DataFrame, words: Lexicon) -> DataFrame:
-    """The records with a sign of scanning: divided words, page marks, or a word that a confusion explains."""
+    """The records that ``Page`` can find a sign of scanning in, whatever the title: divided words, furniture, or a word that a confusion explains."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        fine: dict[str, bool] = {}
+        fine: set[str] = set()
 
-        def odd(token: str) -> bool:
-            known = fine.get(token)
-            if known is None:
-                if len(fine) > 1_000_000:
-                    fine.clear()
-                known = fine[token] = decoder.correction(decoder.bare(token)) is None
-            return not known
+        def odd(text: str) -> bool:
+            for token in set(text.split()) - fine:
+                if decoder.correction(decoder.bare(token)) is not None:
+                    return True
+                fine.add(token)
+            if len(fine) > 1_000_000:
+                fine.clear()
+            return False
 
         for batch in batches:
-            keep = [_SIGN.search(t) is not None or any(map(odd, t.split())) for t in batch.column(3).to_pylist()]
+            keep = [_DIVIDED.search(t) is not None or odd(t) or _furnished(_split(t)) for t in batch.column(3).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return texts.select("origin", "record_key", "paper_key", "text").mapInArrow(select, "origin string, record_key string, paper_key string, text string")

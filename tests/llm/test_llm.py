@@ -256,6 +256,27 @@ def test_noise_of_scanned_pages(spark):
     assert "page 7" not in mended and "short- and long-term." in mended
 
 
+def test_every_sign_of_a_page_reaches_the_decoder(spark):
+    title = "Effects of temperature on zirconium electrodes"
+    signs = {
+        200: (f"electrode surfaces react.\n{title}\nThe electrode depends.\n{title}\nThe electrode", [2, 4]),  # the title again
+        201: ("electrode surfaces react.\nEFFECTS OF TEMPERATURE ON ZIRCONIUM\n12\nThe electrode", [2, 3]),
+        202: ("electrode surfaces react.\nEffects of temperature on ...\n12\nThe electrode", [2, 3]),
+        203: (f"electrode surfaces react.\n{title}   12\nThe electrode", [2]),
+        204: (f"electrode surfaces react.\n12 | {title}\nThe electrode", [2]),
+        205: ("electrode surfaces react.\nSeite 4\nThe electrode", [2]),
+        206: ("electrode surfaces react.\n3 / 12\nThe electrode", [2]),
+        207: ("electrode surfaces react.\npage 3 of 10\nThe electrode", [2]),
+        208: ("electrode surfaces react.\r\n- 7 -\r\nThe electrode", [2]),
+        209: ("electrode surfaces conduc-\r\ntivity of the electrode", [1]),
+        210: (f"{title}\nThe electrode depends on temperature.\n12\nThe electrode", []),  # a title alone
+    }
+    texts, papers = scanned(spark, [(key, "A/1", text) for key, (text, _) in signs.items()])
+    found = rows(p5.noise(texts, papers), "record_key", "line_no")
+    assert found == sorted((str(key), line) for key, (_, lines) in signs.items() for line in lines)
+    assert set(rows(p5.repaired(texts, papers).where("scanned"), "record_key")) == {(str(key),) for key in signs if key != 210}
+
+
 def test_no_scanned_pages(spark):
     texts, papers = scanned(spark, [])
     assert p5.noise(texts, papers).count() == 0
