@@ -2,7 +2,7 @@
 
 Each line is weighed by its characters and put down as prose, list item, table row or junk by
 combined rules; short lines are read in the light of their neighbours.  The class of a text is
-the kind that holds most of its characters.
+the kind that holds most of its characters; what the repetition figures show as filler is junk.
 """
 
 from __future__ import annotations
@@ -186,13 +186,21 @@ def _resolve(lines: list[str], kinds: list[str]) -> list[str]:
     return out
 
 
-def _top_coverage(words: list[str], width: int) -> float:
-    """Share of the words' characters in occurrences of the n-gram that covers most of them."""
-    if len(words) < 2 * width:
-        return 0.0
-    counts = Counter(zip(*(words[k:] for k in range(width))))
-    gram, n = counts.most_common(1)[0]
-    return min(1.0, n * sum(map(len, gram)) / max(1, sum(map(len, words)))) if n > 1 else 0.0
+def _repetition(words: list[str]) -> tuple[float, float, float, float]:
+    """For 2, 3 and 4 words the share of the words' characters in occurrences of the most frequent n-gram, and the share of repeated 4-grams."""
+    shares, size = [0.0, 0.0, 0.0], sum(map(len, words))
+    for k, width in enumerate((2, 3, 4)):
+        if len(words) < 2 * width:
+            break
+        counts = Counter(zip(*(words[i:] for i in range(width))))
+        n = max(counts.values())
+        if n == 1:
+            break  # nor does any longer one occur again
+        gram = next(g for g, m in counts.items() if m == n)
+        shares[k] = min(1.0, n * sum(map(len, gram)) / max(1, size))
+        if width == 4:
+            return (*shares, 1 - len(counts) / (len(words) - 3))
+    return (*shares, 0.0)
 
 
 #: How lines of something else than running text start or end.
@@ -213,6 +221,36 @@ def _common_share(text: str) -> float:
 
 def text_class(text: str | None) -> str:
     """prose, list, table, junk, or empty for null and blank texts."""
+    return measured(text)[1]
+
+
+def measured(text: str | None) -> tuple[tuple, str]:
+    """The figures of one text and its class, which reads the repetition figures."""
+    figures, repeated = _figures(text)
+    kind = _line_class(text)
+    return figures, "junk" if kind in ("prose", "list") and _filler(text, kind, figures, repeated) else kind
+
+
+#: From how many words on which coverage by one 2-, 3- or 4-gram is filler; few words repeat some by chance.
+FILLER = ((100, (0.20, 0.18, 0.16)), (50, (0.40, 0.36, 0.32)))
+
+
+def _filler(text: str, kind: str, figures: tuple, repeated: float) -> bool:
+    """Whether the same lines, paragraphs or sentences make up most of the text."""
+    n_words, (lines, paragraphs, *grams) = figures[0], figures[7:]
+    if lines > 0.6 and sum(bool(x.strip()) for x in text.split("\n")) >= 6:
+        return True
+    if paragraphs > 0.6 and len([x for x in re.split(r"\n\s*\n", text) if x.strip()]) >= 4:
+        return True
+    if kind == "list":
+        return False  # entries of one form share words
+    for least, bounds in FILLER:
+        if n_words >= least:
+            return repeated > 0.5 or any(share > bound for share, bound in zip(grams, bounds))
+    return False
+
+
+def _line_class(text: str | None) -> str:
     if text is None or not text.strip():
         return "empty"
     lines = [x for x in text.split("\n") if x.strip()]
@@ -234,6 +272,11 @@ def text_class(text: str | None) -> str:
 
 def statistics(text: str | None) -> tuple:
     """The figures of one text; all are 0 for null and blank texts."""
+    return _figures(text)[0]
+
+
+def _figures(text: str | None) -> tuple[tuple, float]:
+    """The figures and the share of repeated 4-grams."""
     text = text or ""
     words = _WORD.findall(text.lower())
     lines = [x.strip() for x in text.split("\n") if x.strip()]
@@ -242,7 +285,8 @@ def statistics(text: str | None) -> tuple:
     letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
     n = len(words)
-    return (
+    *coverage, repeated = _repetition(words)
+    figures = (
         n,
         letters / n if n else 0.0,
         max(0, visible - letters - digits) / visible if visible else 0.0,
@@ -252,10 +296,9 @@ def statistics(text: str | None) -> tuple:
         sum(bool(_BULLET.match(x)) for x in lines) / len(lines) if lines else 0.0,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
         1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
-        _top_coverage(words, 2),
-        _top_coverage(words, 3),
-        _top_coverage(words, 4),
+        *coverage,
     )
+    return figures, repeated
 
 
 STATISTICS = (
@@ -264,7 +307,7 @@ STATISTICS = (
 )
 
 
-def quality(chunks: DataFrame, figures: bool = True) -> DataFrame:
+def quality(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, figures..., text_class)`` of the texts ``(id, text)``, one row per id.
 
     Null, empty and blank texts get figures of 0 and the class ``empty``; repeated rows count
@@ -272,25 +315,20 @@ def quality(chunks: DataFrame, figures: bool = True) -> DataFrame:
     """
     chunks = need(chunks, ["id", "text"], "quality").where("id is not null")
     names = [c.split()[0] for c in STATISTICS.split(", ")]
-    schema = "chunk_id bigint, " + (STATISTICS + ", " if figures else "") + "text_class string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            classes = pa.array([text_class(t) for t in texts], pa.string())
-            if not figures:
-                yield pa.RecordBatch.from_arrays([batch.column(0), classes], names=["chunk_id", "text_class"])
-                continue
-            columns = list(zip(*map(statistics, texts))) or [()] * len(names)
+            figures, classes = zip(*map(measured, batch.column(1).to_pylist())) if batch.num_rows else ((), ())
+            columns = list(zip(*figures)) or [()] * len(names)
             arrays = [pa.array(columns[0], pa.int32())] + [pa.array(c, pa.float64()) for c in columns[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, classes], names=["chunk_id", *names, "text_class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(classes, pa.string())], names=["chunk_id", *names, "text_class"])
 
-    return chunks.mapInArrow(run, schema).dropDuplicates(["chunk_id"])
+    return chunks.mapInArrow(run, f"chunk_id bigint, {STATISTICS}, text_class string").dropDuplicates(["chunk_id"])
 
 
 def found(chunks: DataFrame) -> DataFrame:
     """``p4_found``: (chunk_id, text_class) of the texts that are mostly list, table or junk."""
-    return quality(chunks, figures=False).where("text_class in ('list', 'table', 'junk')")
+    return quality(chunks).select("chunk_id", "text_class").where("text_class in ('list', 'table', 'junk')")
 
 
 def against_classifier(chunks: DataFrame, classifications: DataFrame) -> DataFrame:
@@ -305,7 +343,7 @@ def against_classifier(chunks: DataFrame, classifications: DataFrame) -> DataFra
         F.max_by(F.struct("chunk_kind", "usefulness_score", "skip_reason"), F.struct("classified_at", "classifier_version")).alias("s")
     )
     return (
-        quality(chunks, figures=False)
+        quality(chunks).select("chunk_id", "text_class")
         .join(latest, "chunk_id", "left")
         .groupBy("text_class", F.col("s.chunk_kind").alias("chunk_kind"))
         .agg(

@@ -212,6 +212,26 @@ def test_text_class(text, kind):
     assert p4.text_class(text) == kind
 
 
+def test_filler_is_junk_by_the_repetition_figures(spark):
+    boilerplate = (
+        "By the use of this service you agree to the terms that are given in the notice of the publisher and to all of the rules "
+        "which it may set out for readers at any later time, and you accept that no claim can be made against it for losses of any kind. "
+    )
+    short = "The alloy was heated in the furnace again. "
+    other = "Samples were kept under a flow of dry argon for the night. "
+    data = {
+        1: short * 500,  # inside one line
+        2: boilerplate * 20,  # a long sentence: no single n-gram covers much
+        3: f"{short}\n{other}\n" * 20,  # two lines in turn
+        4: f"{short}\n\n{other}\n\n" * 4,
+        5: (short + other) * 30,
+        6: short + other,
+        7: boilerplate,
+    }
+    chunks = spark.createDataFrame(list(data.items()), "id bigint, text string")
+    assert rows(p4.found(chunks)) == [(i, "junk") for i in range(1, 6)]
+
+
 def test_quality(spark):
     long = "The alloy was heated in the furnace again. " * 5000
     data = [(1, "a b\na b\n\nThe end."), (2, None), (3, ""), (4, long), (1, "a b\na b\n\nThe end.")]
