@@ -141,25 +141,38 @@ class Decoder:
 
     #: Costs in nats: a confusion that leaves no letters, one that does, dividing a word, and a word not in the lexicon.
     SURE, LIKELY, BREAK, UNKNOWN = 1.5, 5.0, 1.0, 2.0
+    #: Occurrences in a million words that are more than stray ones, and that make a part with an own hyphen, a joined word, a split part and a common word.
+    STRAY, PART, JOINED, SPLIT, COMMON = 0.4, 0.8, 1.9, 7.4, 18.4
 
     def __init__(self, lexicon: Lexicon):
         self.counts, self.misread, self.log_total = lexicon.counts, lexicon.misread, log(lexicon.total + 1)
-        self.trigrams: Counter = Counter()
+        self.millions = lexicon.total / 1e6
+        self.trigrams: Counter = Counter()  # occurrences of the words that have them
         for word, n in self.counts.items():
-            if n >= 3 or len(self.counts) < 50_000:
-                if _WORDLIKE.fullmatch(word):
-                    padded = f"^{word}$"
-                    self.trigrams.update({padded[i : i + 3] for i in range(len(padded) - 2)})
+            if _WORDLIKE.fullmatch(word):
+                for part in set(self._trigrams(word)):
+                    self.trigrams[part] += n
         self.reversed = [(read, right, self.SURE if not read.isalpha() else self.LIKELY) for right, read in CONFUSIONS]
         self.memo: dict[str, tuple[str, float] | None] = {}
 
+    @staticmethod
+    def _trigrams(word: str) -> list[str]:
+        padded = f"^{word}$"
+        return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+    def above(self, n: int, rate: float) -> bool:
+        """Whether ``n`` occurrences are more than ``rate`` in a million words, and more than one."""
+        return n > max(1.0, rate * self.millions)
+
+    def frequent(self, word: str, rate: float) -> bool:
+        return self.above(self.counts.get(word, 0), rate)
+
     def cost(self, word: str, seen_here: int = 0) -> float:
         """Nats of a lower-case word; ``seen_here`` occurrences are its own and prove nothing."""
-        n = self.counts.get(word, 0) - seen_here
-        if n > 0:
-            return self.log_total - log(n)
-        padded = f"^{word}$"
-        rare = sum(self.trigrams[padded[i : i + 3]] < 2 for i in range(len(padded) - 2))
+        own = self.counts.get(word, 0)
+        if own > seen_here:
+            return self.log_total - log(own - seen_here)
+        rare = sum(not self.above(self.trigrams[part] - own, self.STRAY) for part in self._trigrams(word))
         return self.log_total + self.UNKNOWN + 2.5 * min(rare, 3)
 
     def correction(self, token: str) -> tuple[str, float] | None:
@@ -188,9 +201,8 @@ class Decoder:
             at = low.find(read)
             while at >= 0:
                 word = low[:at] + right + low[at + len(read) :]
-                known = self.counts.get(word, 0)
                 # with letters read for letters only a word of the lexicon explains the reading
-                if (known > 1 or (price == self.SURE and 0 < at < len(low) - len(read))) and _WORDLIKE.fullmatch(word):
+                if (self.frequent(word, self.STRAY) or (price == self.SURE and 0 < at < len(low) - len(read))) and _WORDLIKE.fullmatch(word):
                     total = price + self.cost(word)
                     if best is None or (total, word) < best:
                         best = (total, word)
@@ -214,7 +226,7 @@ class Decoder:
             right, cost, gain = self.word(joined)
             known = self.counts.get(right.lower(), 0) > 0
             # an own hyphen needs both parts to be words, else the hyphen is the page's
-            parts = own and all(self.counts.get(p.lower(), 0) > 2 for p in (head.split("-")[-1], tail))
+            parts = own and all(self.frequent(p.lower(), self.PART) for p in (head.split("-")[-1], tail))
             options.append((cost + (0 if known else 0 if (own and parts) else 1.0 if not own else 4.0), own, right, gain))
         cost, own, right, gain = min(options)
         return right, not own, gain
@@ -366,7 +378,7 @@ class Page:
         if fixed is None:
             return token
         right, gain = fixed
-        if re.search(r"[!0156]", bare) or gain > 2 and self.decoder.counts.get(right.lower(), 0) > 50:
+        if re.search(r"[!0156]", bare) or gain > 2 and self.decoder.frequent(right.lower(), Decoder.COMMON):
             self.signs += 1
         self.noise.append(Noise(line, "misread", right))
         return token.replace(bare, right, 1)
@@ -388,12 +400,12 @@ class Page:
         best: list[tuple[float, int, str]] = [(0.0, -1, "")] + [(float("inf"), -1, "")] * n
         for i in range(1, n + 1):
             options = [(best[i - 1][0] + decoder.cost(bare[i - 1]), i - 1, words[i - 1])]
-            if i >= 2 and not (known[i - 1] and known[i - 2]) and bare[i - 2] == words[i - 2].lower() and decoder.counts.get(bare[i - 2] + bare[i - 1], 0) > 5:
+            if i >= 2 and not (known[i - 1] and known[i - 2]) and bare[i - 2] == words[i - 2].lower() and decoder.frequent(bare[i - 2] + bare[i - 1], decoder.JOINED):
                 options.append((best[i - 2][0] + decoder.LIKELY + decoder.cost(bare[i - 2] + bare[i - 1]), i - 2, words[i - 2] + words[i - 1]))
             if not known[i - 1] and len(bare[i - 1]) >= 5 and words[i - 1].lower().startswith(bare[i - 1]):
                 for cut in range(2, len(bare[i - 1]) - 1):
                     a, b = bare[i - 1][:cut], bare[i - 1][cut:]
-                    if min(decoder.counts.get(a, 0), decoder.counts.get(b, 0)) > 20:
+                    if decoder.frequent(a, decoder.SPLIT) and decoder.frequent(b, decoder.SPLIT):
                         cost = decoder.LIKELY + decoder.cost(a) + decoder.cost(b)
                         options.append((best[i - 1][0] + cost, i - 1, f"{words[i - 1][:cut]} {words[i - 1][cut:]}"))
             best[i] = min(options)

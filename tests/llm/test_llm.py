@@ -297,6 +297,20 @@ def test_every_sign_of_a_page_reaches_the_decoder(spark):
     assert set(rows(p5.repaired(texts, papers).where("scanned"), "record_key")) == {(str(key),) for key in signs if key != 210}
 
 
+def test_decoder_has_one_rule_at_every_size():
+    words = {"conductivity": 40, "electrode": 30, "membrane": 10, "turbine": 2, "furnace": 1}
+    total = 2_700_000
+    small = p5.Decoder(p5.Lexicon(words, total))
+    large = p5.Decoder(p5.Lexicon({w: 10 * n for w, n in words.items()}, 10 * total))
+    for read in ("conducfivity", "clectrode", "membranc", "furnacc", "qvzxkw"):
+        assert (small.judge(read) is None) == (large.judge(read) is None)
+    assert small.judge("furnacc") is None  # a single occurrence proves no word
+    # more words of other kinds don't change what an unknown word costs
+    many = p5.Decoder(p5.Lexicon(words | {f"s{i}": 1 for i in range(60_000)}, total))
+    for word in ("turbinel", "turbines", "conductive", "qvzxkw"):
+        assert many.cost(word) == small.cost(word)
+
+
 def test_no_scanned_pages(spark):
     texts, papers = scanned(spark, [])
     assert p5.noise(texts, papers).count() == 0
