@@ -373,6 +373,12 @@ def profile_retrieval(t: Tables) -> DataFrame:
     return retrieval.profile_ranking(t.questions, t.lib.profiles)
 
 
+@query
+def profile_claim_retrieval(t: Tables) -> DataFrame:
+    """Profiles ranked by their claims as well."""
+    return retrieval.profile_ranking(t.questions, t.lib.profiles, facts=t.lib.facts)
+
+
 @query
 def fused_lexical(t: Tables) -> DataFrame:
     """Fusion of the lexical and the term-frequency route with lexical seeds."""

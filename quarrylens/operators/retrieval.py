@@ -185,10 +185,24 @@ def best_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return best.select("query_id", "paper_key", F.col("m.id").alias("chunk_id"), (-F.col("m.s")).alias("score"))
 
 
-def profile_ranking(questions: DataFrame, profiles: DataFrame, limit: int = 20) -> DataFrame:
+def claim_scores(questions: DataFrame, profiles: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(query_id, paper_key, claim_score)``: weighted matches in the claims of a paper, each claim once, where there are any."""
+    terms = with_terms(questions).select("query_id", "author", rank_terms(F.col("terms")).alias("terms"))
+    claims = facts.select("paper_key", "fact_type", "claim").distinct().join(profiles.select("paper_key", "author"), "paper_key")
+    weight = F.lit(1)
+    for kind, field in (("result", "key_results"), ("method", "methods"), ("limitation", "limitations")):
+        weight = weight + F.when(F.col("fact_type") == kind, rules.PROFILE_WEIGHTS[field]).otherwise(0)
+    rows = claims.select("paper_key", "author", weight.alias("weight"), rank_text(F.col("claim")).alias("said")).join(terms, "author")
+    scored = rows.select("query_id", "paper_key", (F.col("weight") * total_occurrences(F.col("said"), F.col("terms"))).alias("score")).where("score > 0")
+    return scored.groupBy("query_id", "paper_key").agg(F.sum("score").alias("claim_score"))
+
+
+def profile_ranking(questions: DataFrame, profiles: DataFrame, limit: int = 20, facts: DataFrame | None = None) -> DataFrame:
     """``(query_id, paper_key, position, score)``: profiles by weighted field matches; those without follow by year, title.
 
-    Fields are doi, title, keywords, limitations and summary; the whole profile counts once more.
+    Fields are doi, title, keywords and summary, which count once more for the whole profile.
+    With ``facts`` the claims count as well: results, methods and limitations by their weights,
+    and each claim once more for the whole profile.
     """
     terms = with_terms(questions).select("query_id", "author", rank_terms(F.col("terms")).alias("terms"))
     fields = {"doi": F.col("doi"), "title": F.col("title"), "topic_keywords": F.array_join("topic_keywords", " "), "one_sentence_summary": F.col("one_sentence_summary")}
@@ -197,6 +211,9 @@ def profile_ranking(questions: DataFrame, profiles: DataFrame, limit: int = 20)
     for name in fields:
         score = score + total_occurrences(F.col(f"f_{name}"), F.col("terms")) * (rules.PROFILE_WEIGHTS[name] + 1)
     scored = rows.withColumn("score", score).select("query_id", "paper_key", "year", "title", "score")
+    if facts is not None:
+        scored = scored.join(claim_scores(questions, profiles, facts), ["query_id", "paper_key"], "left")
+        scored = scored.withColumn("score", F.col("score") + F.coalesce("claim_score", F.lit(0))).drop("claim_score")
     order = [F.desc(F.col("score") > 0), F.desc("score"), F.desc("year"), "title", "paper_key"]
     position = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
     return scored.withColumn("position", position).where(F.col("position") <= limit).select("query_id", "paper_key", "position", "score")

@@ -400,6 +400,14 @@ ORACLE = {
     "profile_retrieval": f"""WITH {_PROFILES}, {_RANKED_QUESTIONS}, x AS (SELECT paper_key, author, year, title, {_rank('doi')} AS f1, {_rank('title')} AS f2, {_rank("array_to_string(topic_keywords, ' ')")} AS f3, {_rank('one_sentence_summary')} AS f4 FROM pr),
         y AS (SELECT query_id, paper_key, year, title, coalesce(list_sum(list_transform(rterms, lambda t: 11 * {_occ('f1', 't')} + 6 * {_occ('f2', 't')} + 5 * {_occ('f3', 't')} + 3 * {_occ('f4', 't')})), 0)::BIGINT AS score FROM x JOIN rt USING (author))
         SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position, score FROM y QUALIFY position <= 20""",
+    "profile_claim_retrieval": f"""WITH {_PROFILES}, {_RANKED_QUESTIONS}, parts AS (
+          SELECT paper_key, {_rank('doi')} AS said, 11 AS w FROM pr UNION ALL SELECT paper_key, {_rank('title')}, 6 FROM pr
+          UNION ALL SELECT paper_key, {_rank("array_to_string(topic_keywords, ' ')")}, 5 FROM pr UNION ALL SELECT paper_key, {_rank('one_sentence_summary')}, 3 FROM pr
+          UNION ALL SELECT paper_key, {_rank('claim')}, CASE fact_type WHEN 'result' THEN 5 WHEN 'method' THEN 4 WHEN 'limitation' THEN 4 ELSE 1 END
+            FROM (SELECT DISTINCT paper_key, fact_type, claim FROM facts)),
+        y AS (SELECT query_id, pr.paper_key, pr.year, pr.title, sum(w * coalesce(list_sum(list_transform(rterms, lambda t: {_occ('said', 't')})), 0))::BIGINT AS score
+          FROM pr JOIN rt USING (author) JOIN parts USING (paper_key) GROUP BY ALL)
+        SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position, score FROM y QUALIFY position <= 20""",
     "pdf_normalised": r"""WITH e AS (SELECT DISTINCT ON (extract_id) extract_id, text FROM pdf_extracts)
         SELECT extract_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_hash FROM e""",
     "evidence_paths": """WITH r AS (SELECT DISTINCT m[i] AS a, m[i + 1] AS b FROM (SELECT must_cite AS m, unnest(range(1, len(must_cite))) AS i FROM golden_items))

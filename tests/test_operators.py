@@ -217,3 +217,18 @@ def test_streaming(spark, tmp_path):
     df = spark.createDataFrame([(body, '{"answer": "a\\nb\\"c')], "b string, p string")
     got = df.select(frames.deltas(F.col("b")).alias("d"), frames.partial_string(F.col("p"), "answer").alias("s")).first()
     assert got.d == ["Hi"] and got.s == 'a\nb"c'
+
+
+def test_profiles_are_ranked_by_their_claims(spark):
+    none = "array<string>"
+    profiles = spark.createDataFrame(
+        [("A/1", "A", "2024", "Foam", "", ["foam"], "Foam: sintering"), ("A/2", "A", "2020", "Film", "", ["film"], "Film: casting")],
+        f"paper_key string, author string, year string, title string, doi string, topic_keywords {none}, one_sentence_summary string",
+    )
+    claim = "The zirconium membrane failed."
+    facts = spark.createDataFrame(
+        [("A/2", "limitation", claim), ("A/2", "limitation", claim), ("A/2", "context", claim), ("A/9", "result", claim)], "paper_key string, fact_type string, claim string"
+    )
+    questions = spark.createDataFrame([(1, "A", "zirconium")], "query_id int, author string, question string")
+    assert rows(retrieval.profile_ranking(questions, profiles, facts=facts), "position", "paper_key", "score") == [(1, "A/2", 5), (2, "A/1", 0)]
+    assert rows(retrieval.profile_ranking(questions, profiles, facts=facts.limit(0)), "position", "paper_key", "score") == [(1, "A/1", 0), (2, "A/2", 0)]
