@@ -435,8 +435,11 @@ class Page:
                 gap[k] -= 20.0
         # best[k]: cheapest division of the first k lines; a paragraph of one line costs a little more
         best, start = [0.0] * (n + 1), [0] * (n + 1)
+        least = (float("inf"), 0)  # of all starts but the line before
         for k in range(1, n + 1):
-            best[k], start[k] = min((best[j] + (gap[j] if j else 0.0) + (0.7 if k - j == 1 else 0.0), j) for j in range(max(0, k - 80), k))
+            before = best[k - 1] + gap[k - 1]
+            best[k], start[k] = min(least, (before + 0.7, k - 1))
+            least = min(least, (before, k - 1))
         cuts, k = set(), n
         while k > 0:
             cuts.add(start[k])

@@ -311,6 +311,12 @@ def test_decoder_has_one_rule_at_every_size():
         assert many.cost(word) == small.cost(word)
 
 
+def test_long_paragraphs_are_not_cut():
+    lines = ["the electrode depends on the temperature and"] * 300
+    page = p5.Page("\n".join(lines), None, p5.Decoder(p5.Lexicon({}, 1)))
+    assert page._breaks(list(range(300))) == {0}
+
+
 def test_no_scanned_pages(spark):
     texts, papers = scanned(spark, [])
     assert p5.noise(texts, papers).count() == 0
