@@ -1,15 +1,15 @@
 """Problem 7: mixing sources to target shares of tokens, with capped repetition.
 
-The weights are of the family ``w(x) ~ target * (natural / target) ** x``: exponent 0 is the
-target mix, 1 the natural one.  The least exponent at which no source exceeds its repetitions
-at the budget is found by bisection; without a budget the largest one is taken at which the
-exponent is 0.  ``temperature_weights`` also bisects the plain family ``natural ** x`` for a
-wished entropy.
-
-The weights are realised as block permutations: in each pass over a source every document has
-a place by a seeded hash, places fall into blocks, and whole blocks are taken in order until
-the budget; only the block in which it runs out is cut by document.  Sums are needed by block
-only, so no source, however large, passes through one task.
+Temperature mixing: the source token shares are exponentiated, ``w(x) ~ target ** (1 - x) * share ** x``,
+so exponent 0 is the target mix and 1 the natural one, in which all sources repeat alike.  The
+least exponent at which no source exceeds its repetitions at the budget is found by bisection.
+``temperature_weights`` is the plain family ``share ** x``, bisected for a wished entropy.
+
+The weights are realised as block permutations: in each pass over a source every document falls
+into a block by a seeded hash and has a place in it; blocks are taken in order until the budget
+of the source, and only the block in which it runs out is cut by document.  A block holds a fixed
+number of tokens, whatever the size of the source, and sums over blocks are made in two levels,
+so no source, however large, passes through one task.
 """
 
 from __future__ import annotations
@@ -87,37 +87,60 @@ def temperature_weights(tokens: dict[str, int], target_entropy: float) -> dict[s
 
 @dataclass(frozen=True)
 class MixPlan:
-    """``quota``: tokens to take of each source; ``exponent`` 0 if the targets are met."""
+    """``quota``: tokens to take of each source; ``exponent`` 0 if the targets are met, null for the plain family."""
 
     budget: int
-    exponent: float
+    exponent: float | None
     weights: dict[str, float]
     quota: dict[str, int]
 
 
-def plan_mix(tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | None = None) -> MixPlan:
+#: Budgets by name: the largest at which every target is met, and the tokens of all listed sources.
+MEET_TARGETS, ALL_TOKENS = "meet_targets", "all_tokens"
+
+
+def plan_mix(
+    tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | str | None = None, target_entropy: float | None = None
+) -> MixPlan:
     """Weights and quotas for sources with ``tokens``; targets of sources without tokens fall to the others.
 
-    With a budget beyond what the repetitions of all sources allow, each gives all it may.
+    ``budget`` is in tokens, or ``MEET_TARGETS`` (also for None) or ``ALL_TOKENS``.  With
+    ``target_entropy`` the weights are the plain ``temperature_weights``.  Sources that exceed a
+    repetition limit at that exponent too give all they may and the others share the rest; beyond
+    what the repetitions of all sources allow, each gives all it may.
     """
     usable = {s: t for s, t in targets.items() if t > 0 and tokens.get(s, 0) > 0 and repeats.get(s, 0) > 0}
     if not usable:
         return MixPlan(0, 0.0, {}, {})
-    total_target = sum(usable.values())
+    total_target, total = sum(usable.values()), sum(tokens[s] for s in usable)
     target = {s: t / total_target for s, t in usable.items()}
     limit = {s: tokens[s] * repeats[s] for s in usable}
-    feasible = min(limit[s] / target[s] for s in usable)
-    if budget is None:
-        budget = int(feasible)
-    natural_total = sum(limit.values())
-    ratio = {s: limit[s] / natural_total / target[s] for s in usable}
-    within = lambda x: all(w * budget <= limit[s] * (1 + 1e-12) for s, w in _tempered(target, ratio, x).items())
-    exponent = _bisect(within) if budget <= natural_total else 1.0
-    weights = _tempered(target, ratio, exponent)
-    return MixPlan(budget, exponent, weights, {s: min(limit[s], int(w * budget)) for s, w in weights.items()})
-
-
-def _plan(counts: DataFrame, targets: DataFrame, budget: int | None) -> tuple[MixPlan, DataFrame]:
+    if budget is None or budget == MEET_TARGETS:
+        budget = int(min(limit[s] / target[s] for s in usable))
+    elif budget == ALL_TOKENS:
+        budget = total
+    if target_entropy is not None:
+        weights = temperature_weights({s: tokens[s] for s in usable}, target_entropy)
+        return MixPlan(budget, None, weights, {s: min(limit[s], int(w * budget)) for s, w in weights.items()})
+    ratio = {s: tokens[s] / total / target[s] for s in usable}
+    exponent, quota, free, left = None, {}, set(usable), float(budget)
+    while free:
+        at = lambda x: _tempered({s: target[s] for s in free}, ratio, x)  # noqa: B023, E731
+        over = lambda x: [s for s, w in at(x).items() if w * left > limit[s] * (1 + 1e-12)]  # noqa: B023, E731
+        # tempering relieves the sources whose targets are above their natural shares
+        relieved = {s for s in free if ratio[s] * sum(target[k] for k in free) < sum(target[k] * ratio[k] for k in free)}
+        good = lambda x: not relieved & set(over(x))  # noqa: B023, E731
+        x = _bisect(good) if good(1.0) else 1.0
+        exponent = x if exponent is None else exponent
+        full = over(x)
+        quota |= {s: limit[s] for s in full} if full else {s: min(limit[s], int(w * left)) for s, w in at(x).items()}
+        left -= sum(limit[s] for s in full)
+        free = free - set(full) if full else set()
+    size = max(1, sum(quota.values()))
+    return MixPlan(budget, exponent, {s: q / size for s, q in quota.items()}, quota)
+
+
+def _plan(counts: DataFrame, targets: DataFrame, budget: int | str | None, tempered: bool) -> tuple[MixPlan, DataFrame]:
     """The plan and the targets with tokens; one row for each listed source reaches the driver."""
     targets = need(targets, ["source", "target_share", "max_repeats"], "mix").where("source is not null").dropDuplicates(["source"])
     have = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
@@ -125,56 +148,90 @@ def _plan(counts: DataFrame, targets: DataFrame, budget: int | None) -> tuple[Mi
         targets.select("source", "target_share", "max_repeats").join(have, "source", "left").fillna(0, ["tokens", "documents", "max_repeats"]).fillna(0.0, ["target_share"])
     )
     rows = joined.collect()
+    wanted = entropy({r.source: r.target_share for r in rows if r.tokens}) if tempered else None
     return (
-        plan_mix({r.source: r.tokens for r in rows}, {r.source: r.target_share for r in rows}, {r.source: r.max_repeats for r in rows}, budget),
+        plan_mix({r.source: r.tokens for r in rows}, {r.source: r.target_share for r in rows}, {r.source: r.max_repeats for r in rows}, budget, wanted),
         joined,
     )
 
 
 @dataclass(frozen=True)
 class Mixture:
-    """``rows`` ``(doc_id, source, tokens, pass, block)``, a row for each copy taken; ``plan``; ``targets``."""
+    """``rows``, one for each copy taken (see ``mix``); ``plan``; ``targets``."""
 
     rows: DataFrame
     plan: MixPlan
     targets: DataFrame
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, blocks: int = 4096, tokenizer: str = TOKENIZER) -> Mixture:
+#: Tokens of a block, and blocks whose sizes are summed in one task.
+BLOCK_TOKENS, BLOCKS_AT_ONCE = 1_000_000, 4096
+
+
+def mix(
+    documents: DataFrame,
+    targets: DataFrame,
+    budget: int | str | None = None,
+    seed: int = 7,
+    block_tokens: int = BLOCK_TOKENS,
+    tokenizer: str = TOKENIZER,
+    tempered: bool = False,
+) -> Mixture:
     """Documents of ``(doc_id, source, text)`` taken for the shares of ``(source, target_share, max_repeats)``.
 
+    Rows are ``(source, pass, block, place, doc_id, tokens, running_tokens, running_share)``: the
+    permutation of each source, ``running_tokens`` being those of the source up to the row and
+    ``running_share`` their part of its quota.  In order of ``running_share`` the sources come
+    mixed, and every prefix has the shares of the whole.
+
     Sources are compared by ``source_key``; documents of unlisted or null sources and without
     tokens are not taken.  No source is taken more than ``max_repeats`` times, and none beyond
-    its quota; what a quota is short of is less than one document.
+    its quota; what a quota is short of is less than one document.  ``tempered`` takes the plain
+    family at the entropy of the targets.
     """
     counts = cut_lineage(token_counts(documents, tokenizer))
     targets = targets.withColumn("source", source_key("source"))
-    plan, listed = _plan(counts, targets, budget)
+    plan, listed = _plan(counts, targets, budget, tempered)
     spark = documents.sparkSession
     quotas = spark.createDataFrame([(s, q) for s, q in plan.quota.items()], "source string, quota bigint")
     # as many rows as there are listed sources
-    sized = listed.join(quotas, "source").select(
-        "source", F.expr("quota div tokens").cast("int").alias("whole"), (F.col("quota") % F.col("tokens")).alias("rest")
+    sized = listed.join(quotas, "source").where("quota > 0").select(
+        "source", "quota", F.col("tokens").alias("source_tokens"), F.ceil(F.col("tokens") / block_tokens).alias("blocks")
+    )
+    passes = F.ceil(F.col("quota") / F.col("source_tokens")).cast("int")
+    docs = counts.where("tokens > 0").join(F.broadcast(sized), "source").withColumn("pass", F.explode(F.sequence(F.lit(1), passes)))
+    hashed = F.xxhash64(F.lit(seed), F.col("pass"), F.col("doc_id"))
+    key = ["source", "pass", "block"]
+    docs = docs.withColumn("hash", hashed).withColumn("block", F.pmod("hash", "blocks"))
+    sizes = docs.groupBy(*key).agg(F.sum("tokens").alias("size"), F.min("quota").alias("quota"), F.min("source_tokens").alias("source_tokens"))
+    begins = block_starts(sizes, BLOCKS_AT_ONCE).select(
+        *key, "before", (F.col("quota") - (F.col("pass") - 1) * F.col("source_tokens")).alias("open")
+    ).where("before < open")
+    inside = W.partitionBy(*key).orderBy("hash", "doc_id")
+    taken = docs.select(*key, "hash", "doc_id", "tokens", "quota", "source_tokens").join(begins, key)
+    taken = taken.withColumn("within", F.col("before") + F.sum("tokens").over(inside)).where("within <= open")
+    running = (F.col("pass") - 1) * F.col("source_tokens") + F.col("within")
+    # what is left of a block after its cut has the first places
+    rows = taken.withColumn("place", F.row_number().over(inside)).select(
+        *key, "place", "doc_id", "tokens", running.alias("running_tokens"), (running / F.col("quota")).alias("running_share")
     )
-    docs = counts.where("tokens > 0").join(F.broadcast(sized), "source")
-    place = F.xxhash64(F.lit(seed), F.col("pass"), F.col("doc_id"))
-    placed = lambda df: df.withColumn("place", place).withColumn("block", F.pmod(F.col("place"), F.lit(blocks)).cast("int"))
-    full = placed(docs.where("whole > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), "whole"))))
-    last = placed(docs.where("rest > 0").withColumn("pass", F.col("whole") + 1))
-    # at most blocks rows of a source
-    by_block = last.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
-    before = F.sum("size").over(W.partitionBy("source").orderBy("block")) - F.col("size")
-    by_block = by_block.select("source", "block", "size", before.alias("before"))
-    last = last.join(by_block, ["source", "block"]).where("before < rest")
-    inside = last.where("before + size <= rest")
-    edge = last.where("before + size > rest")
-    upto = F.col("before") + F.sum("tokens").over(W.partitionBy("source", "block").orderBy("place", "doc_id"))
-    edge = edge.withColumn("upto", upto).where("upto <= rest")
-    columns = ["doc_id", "source", "tokens", "pass", "block"]
-    rows = full.select(columns).union(inside.select(columns)).union(edge.select(columns))
     return Mixture(rows, plan, listed)
 
 
+def block_starts(sizes: DataFrame, at_once: int) -> DataFrame:
+    """Block sizes ``(source, pass, block, size, ...)`` with ``before``, the tokens of the pass before the block.
+
+    Summed in groups of ``at_once`` blocks and over the groups, so that no task sums all blocks.
+    """
+    grouped = sizes.withColumn("range", F.floor(F.col("block") / at_once))
+    ranges = grouped.groupBy("source", "pass", "range").agg(F.sum("size").alias("range_size"))
+    over = W.partitionBy("source", "pass").orderBy("range")
+    ranges = ranges.withColumn("range_before", F.sum("range_size").over(over) - F.col("range_size")).drop("range_size")
+    within = W.partitionBy("source", "pass", "range").orderBy("block")
+    placed = grouped.withColumn("in_range", F.sum("size").over(within) - F.col("size"))
+    return placed.join(ranges, ["source", "pass", "range"]).withColumn("before", F.col("range_before") + F.col("in_range")).drop("range", "range_before", "in_range")
+
+
 def report(mixture: Mixture) -> DataFrame:
     """A row for each listed source: target, available, taken, the actual share and repetitions."""
     plan = mixture.plan
@@ -194,6 +251,6 @@ def report(mixture: Mixture) -> DataFrame:
             "source", "target_share", "max_repeats", "documents", "tokens", "weight", "quota", "taken_rows", "taken_tokens", "passes",
             F.coalesce(F.try_divide(F.col("taken_tokens"), all_taken), F.lit(0.0)).alias("actual_share"),
             F.when(F.col("tokens") > 0, F.col("taken_tokens") / F.col("tokens")).otherwise(0.0).alias("repetitions"),
-            F.lit(plan.exponent).alias("exponent"),
+            F.lit(plan.exponent).cast("double").alias("exponent"),
         )
     )

@@ -85,21 +85,28 @@ def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "n_chars")
 
 
+def _p7_mix(spark: SparkSession, sf_dir: str, **how) -> p7.Mixture:
+    return p7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), **how)
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The permutation at a budget of all tokens of the listed sources, a row for each copy taken."""
+    return _p7_mix(spark, sf_dir, budget=p7.ALL_TOKENS).rows
+
+
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actual shares at the largest budget that meets every target."""
-    return p7.report(p7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+    return p7.report(_p7_mix(spark, sf_dir, budget=p7.MEET_TARGETS))
 
 
 def p7_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actual shares at a budget of all tokens: small sources are tempered to their repetitions."""
-    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
-    total = p7.token_counts(documents).agg(F.sum("tokens")).first()[0] or 0
-    return p7.report(p7.mix(documents, targets, budget=total))
+    """Actual shares of ``p7_mixture``: small sources are tempered to their repetitions."""
+    return p7.report(_p7_mix(spark, sf_dir, budget=p7.ALL_TOKENS))
 
 
-def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents taken, a row for each copy."""
-    return p7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).rows
+def p7_report_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual shares of plain temperature mixing at the entropy of the targets."""
+    return p7.report(_p7_mix(spark, sf_dir, budget=p7.ALL_TOKENS, tempered=True))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,7 +373,7 @@ def test_mixture(spark):
     docs = [(i, "Big", passage(20, i)) for i in range(200)] + [(1000 + i, " small ", passage(20, i)) for i in range(12)] + [(2000, None, "x"), (2001, "big", None), (2002, "other", "words here")]
     frame = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
-    mixed = p7.mix(frame, targets, blocks=16)
+    mixed = p7.mix(frame, targets, block_tokens=250)
     taken = mixed.rows.collect()
     assert {r.source for r in taken} == {"big", "small"}
     copies = {}
@@ -383,7 +383,7 @@ def test_mixture(spark):
     report = {r.source: r for r in p7.report(mixed).collect()}
     assert report["small"].actual_share == pytest.approx(1 / 3, abs=0.05) and report["absent"].actual_share == 0
     assert sum(r.tokens for r in taken) == sum(r.taken_tokens for r in report.values())
-    assert {tuple(r) for r in taken} == {tuple(r) for r in p7.mix(frame, targets, blocks=16).rows.collect()}
+    assert {tuple(r) for r in taken} == {tuple(r) for r in p7.mix(frame, targets, block_tokens=250).rows.collect()}
     assert p7.report(p7.mix(frame.limit(0), targets)).where("taken_tokens > 0").count() == 0
 
 
