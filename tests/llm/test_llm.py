@@ -297,6 +297,28 @@ def test_every_sign_of_a_page_reaches_the_decoder(spark):
     assert set(rows(p5.repaired(texts, papers).where("scanned"), "record_key")) == {(str(key),) for key in signs if key != 210}
 
 
+def test_words_are_decoded_jointly(spark):
+    text = (
+        "— 7 —\nThe rneasured conducfivify depends on tempcrafure because\nzirconiumelectrode surfaces react dur ing electrodepositi0n, electr0depositi0n and con-\nducfivity of the electrode"
+    )
+    texts, papers = scanned(spark, [(100, "A/1", text), (101, "A/1", "Because surfacesreact, they")])
+    found = rows(p5.noise(texts, papers).where("noise != 'page_number'"), "line_no", "noise", "token")
+    assert found == sorted([
+        (2, "misread", "measured"), (2, "misread", "conductivity"), (2, "misread", "temperature"), (3, "misread", "zirconium"), (3, "misread", "electrode"),
+        (3, "misread", "during"), (3, "misread", "electrodeposition"), (3, "hyphen_break", "conductivity"), (3, "misread", "conductivity"),
+    ])
+    mended = dict(rows(p5.repaired(texts, papers), "record_key", "text"))
+    assert mended == {"100": "The measured conductivity depends on temperature because zirconium electrode surfaces react during electrodeposition, electrodeposition and conductivity of the electrode"}
+
+
+def test_counts_of_rare_words_reach_the_decoder():
+    words = p5.Lexicon({"electrode": 40_000, "furnace": 30_000}, 30_000_000)
+    decoder = p5.Decoder(words)
+    assert decoder.judge("furnacc")[0] == "furnace"
+    decoder.local = {"furnacc": 12}  # not above the stray rate, but too often for a misreading
+    assert p5.Decoder(words).correction("furnacc") is not None and decoder.correction("furnacc")[1] < p5.Decoder(words).correction("furnacc")[1]
+
+
 def test_decoder_has_one_rule_at_every_size():
     words = {"conductivity": 40, "electrode": 30, "membrane": 10, "turbine": 2, "furnace": 1}
     total = 2_700_000
