@@ -45,15 +45,19 @@ _LEADER = re.compile(r"(?:\.{3,}|(?:\. ){3,}|…{2,}|_{4,})\s*(\S.*)$")
 _REFERENCE = re.compile(r"\(\d{4}[a-z]?\)\.?\s*$|\bdoi\b|\b\d{1,4}\s?[,:]\s?\d{1,5}\s?[–-]\s?\d{1,5}\b|\bet al\.|^\S+,\s(?:[A-Z]\.\s?)+")
 _GLOSS = re.compile(r"^\s*[A-Z][A-Z0-9]{1,7}\s*[—–:=-]\s*\S")
 _CELLS = re.compile(r"\t|\s*\|\s*|</t[dh]>\s*<t[dh]>|\s;\s|(?<=\S)\s{2,}(?=\S)")
+_PARTS = re.compile(r"\s*;\s+|\s+·\s+|\s+•\s+")
+_NOT_SOLID = re.compile(r"[\W_]+")
 _TAG = re.compile(r"</?t(?:r|d|h|able|body|head)\b[^>]*>")
 _END = re.compile(r"[.!?。！？…:][\"'”’)\]]*\s*$")
 _SENTENCE = re.compile(r"[.!?。！？](?:\s|$|[\"'”’)\]])")
 _FURNITURE_SPLIT = re.compile(r"\s*[|·•»>\n\t]\s*|\s{2,}|\s*/\s*")
+_FURNITURE_MARK = re.compile(r"[|·•»>\n\t/]|\s\s")
 _COUNT = re.compile(r"\s*\(\d+\)\s*$|\s+\d+\s*$")
 
 
 def _furniture(line: str) -> bool:
-    parts = [_COUNT.sub("", p).strip().lower().rstrip(".:") for p in _FURNITURE_SPLIT.split(line) if p.strip()]
+    pieces = _FURNITURE_SPLIT.split(line) if _FURNITURE_MARK.search(line) else [line]
+    parts = [_COUNT.sub("", p).strip().lower().rstrip(".:") for p in pieces if p.strip()]
     return bool(parts) and sum(p in FURNITURE for p in parts) >= 0.6 * len(parts)
 
 
@@ -66,22 +70,23 @@ def _garbled(words: list[str]) -> bool:
 
 
 def _junk(line: str) -> bool:
-    size = len(line.replace(" ", "").replace("\t", ""))
+    size = len(line) - line.count(" ") - line.count("\t")
     if not size:
         return False
-    letters = sum(map(len, _WORD.findall(line)))
-    solid = sum(ch.isalnum() for ch in line)
-    cid = sum(map(len, _CID.findall(line)))
-    if cid > 0.3 * len(line) or len(_BAD.findall(line)) + len(_ODD.findall(line)) > 0.12 * size:
-        return True
-    if solid < 0.2 * size and not (_VALUE.fullmatch(line.strip())):
+    # printable ASCII has no odd characters
+    if not (line.isascii() and line.isprintable()) or "(cid:" in line:
+        cid = sum(map(len, _CID.findall(line)))
+        if cid > 0.3 * len(line) or len(_BAD.findall(line)) + len(_ODD.findall(line)) > 0.12 * size:
+            return True
+    if len(_NOT_SOLID.sub("", line)) < 0.2 * size and not (_VALUE.fullmatch(line.strip())):
         return True
     if _HEX.match(line.strip()):
         return True
-    if any(re.search("[a-z]", m) and re.search("[A-Z]", m) and re.search(r"\d|[+/]", m) for m in _CODED.findall(line)) and letters > 0.3 * size:
-        return True
-    symbols = sum(map(len, _LATEX.findall(line)))
-    if symbols > 0.25 * size or sum(ch in "\\{}^_$&" for ch in line) > 0.2 * size:
+    if max(map(len, line.split())) >= 40 and sum(map(len, _WORD.findall(line))) > 0.3 * size:
+        if any(re.search("[a-z]", m) and re.search("[A-Z]", m) and re.search(r"\d|[+/]", m) for m in _CODED.findall(line)):
+            return True
+    marks = sum(map(line.count, "\\{}^_$&"))
+    if marks > 0.2 * size or marks + sum(map(line.count, "%#~")) > 1 and sum(map(len, _LATEX.findall(line))) > 0.25 * size:
         return True
     return _furniture(line)
 
@@ -93,10 +98,11 @@ def _kind(line: str) -> str:
     text = _TAG.sub("\t", line).strip() if "<t" in line else line.strip()
     if text != line.strip():
         return "table"
-    cells = [c for c in _CELLS.split(text.strip("|")) if c.strip()]
-    words = [w.lower() for w in _WORD.findall(text)]
-    common = sum(w in COMMON for w in words)
     tokens = text.split()
+    apart = "|" in text or " ; " in text or " ".join(tokens) != text  # else there is one cell
+    cells = [c for c in _CELLS.split(text.strip("|")) if c.strip()] if apart or "</t" in text else [text]
+    words = _WORD.findall(text.lower())
+    common = sum(map(COMMON.__contains__, words))
     longest = max(cells, key=len) if len(cells) > 1 else ""
     if len(longest) > 60 and len(longest) > 0.5 * len(text):
         inner = _WORD.findall(longest.lower())
@@ -108,8 +114,7 @@ def _kind(line: str) -> str:
         return "table"
     if "\t" in text and len(cells) >= 2:
         return "table"
-    values = sum(bool(_VALUE.fullmatch(t)) for t in tokens)
-    leader = _LEADER.search(text)
+    leader = _LEADER.search(text) if ".." in text or ". ." in text or "…" in text or "__" in text else None
     if leader:
         tail = leader.group(1).strip()
         return "list" if re.fullmatch(r"\d{1,4}|[ivxlc]+", tail) else "table" if _VALUE.match(tail) else "list"
@@ -128,11 +133,11 @@ def _kind(line: str) -> str:
             return "table"
         if len(commas) >= 3 and ", " not in text and "." not in text[-1:]:
             return "table"
-        if values >= (0.2 if common == 0 else 0.3) * len(tokens) and len(tokens) >= 6:
+        if len(tokens) >= 6 and sum(bool(_VALUE.fullmatch(t)) for t in tokens) >= (0.2 if common == 0 else 0.3) * len(tokens):
             return "table"
-    if _REFERENCE.search(text) and common < 0.25 * max(1, len(words)) and len(words) > 3:
+    if len(words) > 3 and common < 0.25 * len(words) and _REFERENCE.search(text):
         return "list"
-    parts = [p for p in re.split(r"\s*;\s+|\s+·\s+|\s+•\s+", text) if p]
+    parts = [p for p in _PARTS.split(text) if p] if ";" in text or "·" in text or "•" in text else ()
     if len(parts) >= 4 and len(text) / len(parts) < 45 and common < 0.12 * max(1, len(words)):
         return "list"
     if re.match(r"(?:keywords?|index terms|key words)\b", text, re.I) and common <= 0.15 * len(words) + 1:
@@ -203,22 +208,6 @@ def _repetition(words: list[str]) -> tuple[float, float, float, float]:
     return (*shares, 0.0)
 
 
-#: How lines of something else than running text start or end.
-_SUSPECT_START = re.compile(
-    r"^[ \t]*(?:[-*•·▪‣–—+|#]\s|\(?\d{1,3}[.)\]]\s|\[\d|\(?[a-zA-Z][.)]\s|\(?[ivx]{1,4}[.)]\s|\d+\.\d+\s|[A-Z]{2,8}\s[—–:=-]\s|(?:Step|Item|Part|No\.?)\s\d|[A-Z]\w+, [A-Z]\.)", re.M
-)
-_SUSPECT_PARTS = ("\t", "</t", " ; ", " | ", "....", ". . . .", "(cid:", "�", "▯", "◊", "¦", "\\mbox", "$$", "    ", "|  |", "==", "~~", "##", "__")
-
-
-def _suspect(text: str) -> bool:
-    return any(part in text for part in _SUSPECT_PARTS) or _SUSPECT_START.search(text) is not None
-
-
-def _common_share(text: str) -> float:
-    words = text.lower().split()
-    return sum(w in COMMON for w in words) / len(words) if words else 0.0
-
-
 def text_class(text: str | None) -> str:
     """prose, list, table, junk, or empty for null and blank texts."""
     return measured(text)[1]
@@ -254,20 +243,14 @@ def _line_class(text: str | None) -> str:
     if text is None or not text.strip():
         return "empty"
     lines = [x for x in text.split("\n") if x.strip()]
-    if _common_share(text) > 0.15 and "." in text and not _suspect(text):
-        repeated = len(set(lines)) if len(lines) >= 6 else len(lines)
-        if repeated > 0.4 * len(lines):
-            return "prose"  # the common case: common words, and no sign of anything else
     kinds = _resolve(lines, [_kind(x) for x in lines])
     share = Counter()
     for line, kind in zip(lines, kinds):
         share[kind] += len(line.strip())
-    total = sum(share.values())
     repeated = Counter(x.strip() for x in lines)
     if len(lines) >= 6 and max(repeated.values()) > 0.6 * len(lines):
         return "junk"  # the same line again and again is filler
-    best = max(("prose", "list", "table", "junk"), key=lambda k: share[k])
-    return best if share[best] * 2 >= total or best != "prose" else "prose"
+    return max(("prose", "list", "table", "junk"), key=lambda k: share[k])
 
 
 def statistics(text: str | None) -> tuple:
