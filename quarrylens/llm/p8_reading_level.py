@@ -1,13 +1,17 @@
 """Problem 8: the reading level of each document, by a latent difficulty model of word occurrences.
 
 Rasch-style: a document has a level ``theta`` and a word a difficulty ``b`` and a frequency
-``a``; the word occurs in the document with a rate proportional to ``exp(a + b * theta)``, so
+``a``; the word occurs in the document with a probability ``exp(a + b * theta) / z(theta)``, so
 documents and words are placed on one scale.  The parameters are estimated by alternating
-between the two sides: given the words each document's level is found on a grid, in parallel;
-given the levels each word's statistics are summed over all documents by Spark and its two
-parameters are solved for.  Rated documents start the scale and cut it into the four levels.
-
-Words are hashed into ``2**bits`` buckets, so the word parameters have a fixed size (1 MB).
+between the two sides, both in tasks: given the words each document's level is found on a grid;
+given the levels each word's statistics are summed over all documents and its two parameters
+are solved for by Newton steps, word by word.  The alternation stops when the levels no longer
+move.  Rated documents start the scale and cut it into the four levels.
+
+Words are told apart by 64-bit hashes.  Those above a rate of ``rate`` in a million, of which
+there can't be more than ``1e6 / rate``, have parameters of their own; rarer ones share those of
+the words with as many letters, since alone they are too few to be placed.  All occurrences of
+all words take part.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, need
-from .words import word_stream
+from .words import sized_word_stream, word_stream
 
 #: ASCII function words that vote for the language of a document.
 VOTERS = {
@@ -35,8 +39,13 @@ _SLICE = 256
 
 @dataclass(frozen=True)
 class LevelModel:
-    bits: int = 17
-    passes: int = 3
+    #: Occurrences in a million from which a word has its own parameters: at most a million words, 12 bytes each at the executors.
+    rate: float = 1.0
+    #: Passes over the documents at most, and the change of the levels (root mean square, half a grid step) that ends them.
+    passes: int = 8
+    still: float = 0.1
+    #: Rounds over the words in a pass, each with the normaliser of the one before.
+    rounds: int = 3
     least_words: int = 60
     #: Rated documents that start the scale and place the cuts; the first by a hash of the id.
     max_rated: int = 20_000
@@ -48,20 +57,23 @@ class LevelModel:
         return np.linspace(-3.0, 3.0, 31)
 
 
+#: Words of as many letters as this and more are alike in length.
+LENGTHS = 16
+
+
 def document_words(documents: DataFrame, model: LevelModel) -> DataFrame:
-    """``(doc_id, words)`` of the English documents of ``least_words`` or more.
+    """``(doc_id, words, distinct)`` of the English documents of ``least_words`` or more.
 
-    ``words`` holds the distinct buckets of the words with their counts, as 32-bit pairs.  The
-    language is that with most function words in the text; null and short texts are left out.
+    ``words`` holds the distinct words as 64-bit hashes, the last four bits of which are the
+    length, and then their counts, in the fewest bytes that hold them all.  The language is that with most function words in the text; null and short texts are left out.
     """
     voters = {k: np.sort(word_stream([w])[0]) for k, w in VOTERS.items()}
-    mask = np.uint64((1 << model.bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), _SLICE):
-                hashes, bounds = word_stream(texts[lo : lo + _SLICE])
+                hashes, bounds, lengths = sized_word_stream(texts[lo : lo + _SLICE])
                 n = len(bounds) - 1
                 owner = np.repeat(np.arange(n), np.diff(bounds))
                 votes = {}
@@ -70,14 +82,17 @@ def document_words(documents: DataFrame, model: LevelModel) -> DataFrame:
                     votes[lang] = np.bincount(owner[known[at] == hashes], minlength=n)
                 other = np.maximum.reduce([v for k, v in votes.items() if k != "en"])
                 keep = np.flatnonzero((np.diff(bounds) >= model.least_words) & (votes["en"] > other))
-                ids, packed = [], []
+                ids, packed, distinct = [], [], []
+                sized = hashes & ~np.uint64(LENGTHS - 1) | np.minimum(lengths, LENGTHS - 1).astype(np.uint64)
                 for i in keep:
-                    buckets, counts = np.unique(hashes[bounds[i] : bounds[i + 1]] & mask, return_counts=True)
-                    packed.append(np.stack([buckets.astype("<u4"), counts.astype("<u4")]).tobytes())
+                    words, counts = np.unique(sized[bounds[i] : bounds[i + 1]], return_counts=True)
+                    packed.append(words.astype("<u8").tobytes() + counts.astype(np.min_scalar_type(int(counts.max()))).tobytes())
+                    distinct.append(len(words))
                     ids.append(lo + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(packed, pa.binary())], names=["doc_id", "words"])
+                columns = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(packed, pa.binary()), pa.array(distinct, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "distinct"])
 
-    return documents.mapInArrow(run, "doc_id bigint, words binary")
+    return documents.mapInArrow(run, "doc_id bigint, words binary, distinct int")
 
 
 def consensus(labels: DataFrame) -> DataFrame:
@@ -87,97 +102,158 @@ def consensus(labels: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.avg("level").alias("rated"))
 
 
-def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, counts and document index of a batch's packed words."""
-    rows = [np.frombuffer(v, dtype="<u4").reshape(2, -1) for v in column.to_pylist()]
-    sizes = [r.shape[1] for r in rows]
-    both = np.concatenate(rows, axis=1) if rows else np.zeros((2, 0), "<u4")
-    return both[0].astype(np.int64), both[1].astype(np.float64), np.repeat(np.arange(len(rows)), sizes)
+def _unpack(column: pa.Array, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and document index of a batch's packed words, ``sizes`` being their distinct words."""
+    hashes, counts = [], []
+    for packed, n in zip(column.to_pylist(), sizes):
+        hashes.append(np.frombuffer(packed, "<u8", n))
+        counts.append(np.frombuffer(packed, f"<u{(len(packed) - 8 * n) // n}", n, 8 * n))
+    none = [np.zeros(0, "<u8")]
+    return np.concatenate(hashes or none), np.concatenate(counts or none).astype(np.float64), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _levels(buckets: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: int, table: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """The most likely level of each document, between grid points by a parabola."""
-    starts = np.searchsorted(owner, np.arange(n))
-    like = np.add.reduceat(table[buckets] * counts[:, None].astype(np.float32), starts, axis=0).astype(np.float64)
-    best = like.argmax(axis=1)
-    inner = np.clip(best, 1, len(grid) - 2)
-    rows = np.arange(n)
-    left, mid, right = like[rows, inner - 1], like[rows, inner], like[rows, inner + 1]
-    bend = left - 2 * mid + right
-    shift = np.where((best == inner) & (bend < 0), 0.5 * (left - right) / np.where(bend < 0, bend, -1.0), 0.0)
-    return grid[best] + np.clip(shift, -1, 1) * (grid[1] - grid[0])
-
+@dataclass(frozen=True)
+class _Scale:
+    """The vocabulary's sorted hashes, the difficulty of each place (words, then lengths), and the log normaliser of each grid level."""
 
-def _solve(total: np.ndarray, moment: np.ndarray, mass: np.ndarray, grid: np.ndarray, model: LevelModel) -> np.ndarray:
-    """Log probabilities ``(bucket, grid)`` of the words, given their counts and summed levels.
+    vocabulary: np.ndarray
+    difficulty: np.ndarray | None
+    log_z: np.ndarray | None
 
-    ``mass`` is the number of words of documents at each grid level.  A few rounds of Newton
-    steps for each word with the normaliser of each level held fixed, then the normaliser.
+    @property
+    def places(self) -> int:
+        return len(self.vocabulary) + LENGTHS
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word: its own in the vocabulary, else that of its length."""
+        rare = len(self.vocabulary) + (hashes & np.uint64(LENGTHS - 1)).astype(np.int64)
+        if not len(self.vocabulary):
+            return rare
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, rare)
+
+    def levels(self, places: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: int, grid: np.ndarray) -> np.ndarray:
+        """The most likely level of each document, between grid points by a parabola."""
+        slope = np.bincount(owner, counts * self.difficulty[places], n)
+        like = slope[:, None] * grid - np.bincount(owner, counts, n)[:, None] * self.log_z
+        best = like.argmax(axis=1)
+        inner = np.clip(best, 1, len(grid) - 2)
+        rows = np.arange(n)
+        left, mid, right = like[rows, inner - 1], like[rows, inner], like[rows, inner + 1]
+        bend = left - 2 * mid + right
+        shift = np.where((best == inner) & (bend < 0), 0.5 * (left - right) / np.where(bend < 0, bend, -1.0), 0.0)
+        return grid[best] + np.clip(shift, -1, 1) * (grid[1] - grid[0])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of the batches ``(doc_id, words, distinct, ...)`` with their hashes, counts and document indices."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            part = whole.slice(lo, 500)
+            yield part, *_unpack(part.column(1), part.column(2).to_pylist())
+
+
+def vocabulary(words: DataFrame, model: LevelModel) -> np.ndarray:
+    """The sorted hashes of the words above ``model.rate``: at most ``1e6 / rate`` of 8 bytes reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return keys, np.bincount(inverse, np.concatenate([c for _, c in held]), len(keys))
+
+        for _, hashes, counts, _ in _slices(batches):
+            held.append((hashes, counts))
+            if len(held) >= 64:
+                held[:] = [merged()]
+                if len(held[0][0]) > 2_000_000:
+                    yield _word_sums(*held.pop())
+        if held:
+            yield _word_sums(*merged())
+
+    def _word_sums(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["word", "n"])
+
+    counted = cut_lineage(words.select("doc_id", "words", "distinct").mapInArrow(count, "word bigint, n double").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0.0
+    known = counted.where(F.col("n") > max(1.0, model.rate * total / 1e6)).select("word").toArrow()
+    return np.sort(known.column("word").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _statistics(words: DataFrame, model: LevelModel, scale: _Scale, level_column: str | None) -> DataFrame:
+    """``(place, total, moment)``: of each place the words and their summed levels over all documents.
+
+    Places from -1 down are the grid levels with the words of the documents there.  Each task
+    sums its own documents first.
     """
-    words = max(total.sum(), 1.0)
-    a = np.log((total + 0.02) / words)
-    b = np.zeros_like(a)
-    seen = np.flatnonzero(total > 0)
-    n, s = total[seen], moment[seen]
-    x, y = a[seen].copy(), b[seen].copy()
-    log_z = np.zeros(len(grid))
-    for _ in range(12):
+    grid = model.grid
+    shared = words.sparkSession.sparkContext.broadcast(scale)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = shared.value
+        total, moment, mass = np.zeros(scale.places), np.zeros(scale.places), np.zeros(len(grid))
+        for part, hashes, counts, owner in _slices(batches):
+            n, places = part.num_rows, scale.place(hashes)
+            theta = scale.levels(places, counts, owner, n, grid) if level_column is None else part.column(3).to_numpy(zero_copy_only=False) - 2.5
+            total += np.bincount(places, counts, scale.places)
+            moment += np.bincount(places, counts * theta[owner], scale.places)
+            near = np.clip(np.rint((theta - grid[0]) / (grid[1] - grid[0])).astype(int), 0, len(grid) - 1)
+            mass += np.bincount(near, np.bincount(owner, counts, n), len(grid))
+        at, level = np.flatnonzero(total), np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((at, -1 - level))), pa.array(np.concatenate((total[at], mass[level]))), pa.array(np.concatenate((moment[at], np.zeros(len(level)))))],
+            names=["place", "total", "moment"],
+        )
+
+    columns = ["doc_id", "words", "distinct"] + ([level_column] if level_column else [])
+    sums = words.select(*columns).mapInArrow(run, "place bigint, total double, moment double")
+    return cut_lineage(sums.groupBy("place").agg(F.sum("total").alias("total"), F.sum("moment").alias("moment")))
+
+
+def _newton(n: np.ndarray, s: np.ndarray, x: np.ndarray, y: np.ndarray, mass: np.ndarray, log_z: np.ndarray, model: LevelModel) -> tuple[np.ndarray, np.ndarray]:
+    """A few Newton steps for words that occur ``n`` times at summed levels ``s``, from frequency ``x`` and difficulty ``y``."""
+    grid = model.grid
+    for _ in range(6):
         rate = mass[None, :] * np.exp(np.clip(x[:, None] + y[:, None] * grid[None, :] - log_z[None, :], -40, 8))
         r0, r1, r2 = rate.sum(1), rate @ grid, rate @ grid**2
         g0, g1 = n - r0, s - r1 - model.ridge * y
         h00, h01, h11 = r0 + 1e-6, r1, r2 + model.ridge
         det = np.maximum(h00 * h11 - h01**2, 1e-9)
-        x += np.clip((h11 * g0 - h01 * g1) / det, -1, 1)
-        y += np.clip((h00 * g1 - h01 * g0) / det, -1, 1)
-        log_z = np.log(np.exp(np.clip(x[:, None] + y[:, None] * grid[None, :], -60, 20)).sum(0))
-    a[seen], b[seen] = x, y
-    unseen = np.full(len(total), True)
-    unseen[seen] = False
-    a[unseen] = np.log(0.02 / words)
-    return np.clip(a[:, None] + b[:, None] * grid[None, :] - log_z[None, :], -25, 0).astype(np.float32)
+        x = x + np.clip((h11 * g0 - h01 * g1) / det, -1, 1)
+        y = y + np.clip((h00 * g1 - h01 * g0) / det, -1, 1)
+    return x, y
 
 
-def _statistics(words: DataFrame, model: LevelModel, table: np.ndarray | None, level_column: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per bucket the count and the summed levels, and the words at each grid level, over all documents.
+def _solved(sums: DataFrame, scale: _Scale, model: LevelModel) -> _Scale:
+    """The scale with the parameters of all words solved for in tasks, given their sums.
 
-    Each task sums its own documents; at most ``2**bits + 31`` rows reach the driver.
+    Words are solved one by one with the normaliser of each grid level held fixed; the
+    normaliser is then summed over them, and so on for ``model.rounds`` rounds.
     """
     grid = model.grid
-    size = 1 << model.bits
-    shared = words.sparkSession.sparkContext.broadcast(table)
+    found = sums.where("place < 0").select("place", "total").toArrow()
+    mass = np.zeros(len(grid))
+    mass[-1 - found.column("place").to_numpy()] = found.column("total").to_numpy()
+    words = max(mass.sum(), 1.0)
+    log_z = np.zeros(len(grid))
+    solved = sums.where("place >= 0").select("place", "total", "moment", F.log((F.col("total") + 0.02) / words).alias("a"), F.lit(0.0).alias("b"))
+    schema = "place bigint, total double, moment double, a double, b double"
+    for _ in range(model.rounds):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, moment, mass = np.zeros(size), np.zeros(size), np.zeros(len(grid))
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                buckets, counts, owner = _unpack(batch.column(1))
-                n = batch.num_rows
-                if level_column is None:
-                    theta = _levels(buckets, counts, owner, n, shared.value, grid)
-                else:
-                    theta = batch.column(2).to_numpy(zero_copy_only=False) - 2.5
-                total += np.bincount(buckets, counts, size)
-                moment += np.bincount(buckets, counts * theta[owner], size)
-                place = np.clip(np.rint((theta - grid[0]) / (grid[1] - grid[0])).astype(int), 0, len(grid) - 1)
-                mass += np.bincount(place, np.bincount(owner, counts, n), len(grid))
-        at = np.flatnonzero(total)
-        level = np.flatnonzero(mass)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((at, -1 - level))), pa.array(np.concatenate((total[at], mass[level]))), pa.array(np.concatenate((moment[at], np.zeros(len(level)))))],
-            names=["bucket", "total", "moment"],
-        )
+        def step(batches: Iterator[pa.RecordBatch], log_z: np.ndarray = log_z) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, s, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+                x, y = _newton(n, s, x, y, mass, log_z, model)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x), pa.array(y)], names=["place", "total", "moment", "a", "b"])
 
-    columns = ["doc_id", "words"] + ([level_column] if level_column else [])
-    sums = words.select(*columns).mapInArrow(run, "bucket bigint, total double, moment double")
-    rows = sums.groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("moment").alias("moment")).toArrow()
-    bucket = rows.column("bucket").to_numpy()
-    out = np.zeros(size), np.zeros(size), np.zeros(len(grid))
-    word = bucket >= 0
-    out[0][bucket[word]] = rows.column("total").to_numpy()[word]
-    out[1][bucket[word]] = rows.column("moment").to_numpy()[word]
-    out[2][-1 - bucket[~word]] = rows.column("total").to_numpy()[~word]
-    return out
+        solved = cut_lineage(solved.mapInArrow(step, schema))
+        z = solved.select(*[F.sum(F.exp(F.col("a") + F.col("b") * float(g))).alias(f"z{i}") for i, g in enumerate(grid)]).first()
+        log_z = np.log(np.array([max(v or 0.0, 1e-300) for v in z]))
+    table = solved.select("place", "b").toArrow()
+    difficulty = np.zeros(scale.places, dtype=np.float32)
+    difficulty[table.column("place").to_numpy()] = table.column("b").to_numpy()
+    return _Scale(scale.vocabulary, difficulty, log_z)
 
 
 def _cuts(theta: np.ndarray, rated: np.ndarray) -> list[float]:
@@ -208,33 +284,41 @@ def reading_levels(documents: DataFrame, labels: DataFrame, model: LevelModel =
     """``(doc_id, theta, reading_level int)`` of every English document of ``least_words`` or more.
 
     ``documents`` ``(doc_id, text)``; ``labels`` ``(doc_id, rater, level)``.  Without any rated
-    document the scale starts at the middle for all and every document gets one level.
+    document nothing tells the direction of the scale, and every document gets level 2.
     """
     documents = need(documents, ["doc_id", "text"], "reading_levels").where("doc_id is not null")
     words = cut_lineage(document_words(documents, model))
     spark = words.sparkSession
     rated = words.join(consensus(labels), "doc_id").dropDuplicates(["doc_id"])
     rated = cut_lineage(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(model.max_rated))
+    if rated.isEmpty():
+        return words.groupBy("doc_id").agg(F.lit(0.0).alias("theta")).select("doc_id", "theta", F.lit(2).alias("reading_level"))
     grid = model.grid
-    table = _solve(*_statistics(rated, model, None, "rated"), grid, model)
-    for _ in range(model.passes - 1):
-        table = _solve(*_statistics(words, model, table, None), grid, model)
-    shared = spark.sparkContext.broadcast(table)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                buckets, counts, owner = _unpack(batch.column(1))
-                theta = _levels(buckets, counts, owner, batch.num_rows, shared.value, grid)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(theta)], names=["doc_id", "theta"])
-
-    placed = words.select("doc_id", "words").mapInArrow(place, "doc_id bigint, theta double")
-    # at most max_rated rows of 24 bytes
-    known = rated.select("doc_id", "words").mapInArrow(place, "doc_id bigint, theta double").join(rated.select("doc_id", "rated"), "doc_id").toArrow()
-    cuts = _cuts(known.column("theta").to_numpy(), known.column("rated").to_numpy())
+
+    def placed(rows: DataFrame, scale: _Scale) -> DataFrame:
+        shared = spark.sparkContext.broadcast(scale)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, hashes, counts, owner in _slices(batches):
+                theta = shared.value.levels(shared.value.place(hashes), counts, owner, part.num_rows, grid)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(theta)], names=["doc_id", "theta"])
+
+        return rows.select("doc_id", "words", "distinct").mapInArrow(place, "doc_id bigint, theta double")
+
+    scale = _Scale(vocabulary(words, model), None, None)
+    scale = _solved(_statistics(rated, model, scale, "rated"), scale, model)
+    before = None
+    for _ in range(model.passes):
+        scale = _solved(_statistics(words, model, scale, None), scale, model)
+        # at most max_rated rows of 24 bytes: the rated documents, on which the movement is measured too
+        known = placed(rated, scale).join(rated.select("doc_id", "rated"), "doc_id").orderBy("doc_id").toArrow()
+        theta = known.column("theta").to_numpy()
+        if before is not None and np.sqrt(np.mean((theta - before) ** 2)) <= model.still:
+            break
+        before = theta
+    cuts = _cuts(theta, known.column("rated").to_numpy())
     level = sum(((F.col("theta") > c).cast("int") for c in cuts), F.lit(1))
-    return placed.groupBy("doc_id").agg(F.min("theta").alias("theta")).select("doc_id", "theta", level.cast("int").alias("reading_level"))
+    return placed(words, scale).groupBy("doc_id").agg(F.min("theta").alias("theta")).select("doc_id", "theta", level.cast("int").alias("reading_level"))
 
 
 def found(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -43,6 +43,12 @@ def word_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     ``None`` and texts without words yield an empty range.
     """
+    hashes, bounds, _ = sized_word_stream(texts)
+    return hashes, bounds
+
+
+def sized_word_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes, bounds, lengths)``: ``word_stream`` with the letters of each word counted."""
     joined = "\n".join([t or "" for t in texts]) + "\n"
     # one text per segment: newlines inside a text are blanks, so mark the ends by length
     parts = [len((t or "").lower().encode("utf-8", "replace")) + 1 for t in texts]
@@ -54,14 +60,14 @@ def word_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(is_word & ~np.concatenate(([False], is_word[:-1]))) if len(raw) else np.zeros(0, np.int64)
     bounds = np.concatenate(([0], np.searchsorted(starts, ends))).astype(np.int64)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), bounds
+        return np.zeros(0, dtype=np.uint64), bounds, np.zeros(0, dtype=np.int64)
     chars = np.flatnonzero(is_word)
     first = np.searchsorted(chars, starts)
     lengths = np.diff(np.append(first, len(chars)))
     position = np.arange(len(chars)) - np.repeat(first, lengths)
     with np.errstate(over="ignore"):
         weighted = raw[chars].astype(np.uint64) * _powers(int(lengths.max()))[position]
-        return mix(np.add.reduceat(weighted, first)), bounds
+        return mix(np.add.reduceat(weighted, first)), bounds, lengths
 
 
 def shingle_stream(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
