@@ -3,9 +3,14 @@
 Pivots are a bounded sample of the vectors (``pivots_for``).  A vector is represented by its
 ``depth`` nearest pivots in order and posted in the inverted file of each of them.  Within a
 pivot's file the members are ranked for each other by the Spearman footrule distance of their
-pivot orders (a missing pivot has rank ``depth``), and the nearest ``rerank`` by footrule are
-reranked by exact cosine.  All vectors are indexed; long files are split into blocks of which
-every pair is compared in a task of its own, so none is capped and none must fit one task.
+pivot orders (a missing pivot has rank ``depth``), and the nearest ``rerank`` by footrule, with
+all that tie with the last of them, are reranked by cosine.
+
+Postings carry vectors as half floats, so cosines are right to about 0.0001.  A file of more
+than ``direct`` members is a collection of its own: it has pivots of its own, chosen among its
+members, and inverted files under them, so that work a vector stays the same when there are far
+more vectors than pivots.  A file of more than ``block`` members is split into blocks of which
+every pair is compared in a task of its own.  All vectors are indexed and no file is capped.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import cut_lineage, need
 
@@ -28,7 +34,8 @@ class PermutationIndex:
     per_pivot: int = 50
     max_pivots: int = 8192
     rerank: int = 96
-    block: int = 3000
+    direct: int = 3000
+    block: int = 40_000
 
     def pivots_for(self, n: int) -> int:
         """One pivot for ``per_pivot`` vectors, 16 at least and ``max_pivots`` (4 MB at 128 numbers) at most."""
@@ -71,8 +78,18 @@ def _matrix(column: pa.Array, dtype: str = "<f4") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), -1)
 
 
+def _nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` nearest pivots of each vector, in order."""
+    out = np.empty((len(vectors), depth), dtype=np.int32)
+    for lo in range(0, len(vectors), 1000):
+        likeness = vectors[lo : lo + 1000] @ pivots.T
+        near = np.argpartition(-likeness, depth - 1, axis=1)[:, :depth]
+        out[lo : lo + 1000] = np.take_along_axis(near, np.argsort(-np.take_along_axis(likeness, near, 1), axis=1, kind="stable"), 1)
+    return out
+
+
 def _postings(vectors: DataFrame, pivots: np.ndarray, spec: PermutationIndex) -> DataFrame:
-    """``(pivot, id, ranks, vector)``: a row for each of a vector's nearest pivots."""
+    """``(pivot, id, ranks, vector)``: a row for each of a vector's nearest pivots, the vector as half floats."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
     depth = min(spec.depth, len(pivots))
 
@@ -80,13 +97,13 @@ def _postings(vectors: DataFrame, pivots: np.ndarray, spec: PermutationIndex) ->
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                likeness = _matrix(batch.column(1)) @ shared.value.T
-                near = np.argpartition(-likeness, depth - 1, axis=1)[:, :depth]
-                order = np.take_along_axis(near, np.argsort(-np.take_along_axis(likeness, near, 1), axis=1, kind="stable"), 1)
+                x = _matrix(batch.column(1))
+                order = _nearest_pivots(x, shared.value, depth)
                 ranks = pa.array([r.tobytes() for r in order.astype("<i2")], pa.binary())
+                halves = pa.array([v.tobytes() for v in x.astype("<f2")], pa.binary())
                 where = pa.array(np.repeat(np.arange(batch.num_rows), depth))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(order.ravel().astype(np.int32)), batch.column(0).take(where), ranks.take(where), batch.column(1).take(where)],
+                    [pa.array(order.ravel()), batch.column(0).take(where), ranks.take(where), halves.take(where)],
                     names=["pivot", "id", "ranks", "vector"],
                 )
 
@@ -109,44 +126,82 @@ def _blocks(postings: DataFrame, spec: PermutationIndex) -> DataFrame:
     )
 
 
+def _ranked(ranks: np.ndarray, vectors: np.ndarray, part: np.ndarray | None, spec: PermutationIndex, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, cosine)`` of up to ``k`` nearest members ``j`` of each member ``i``, footrule first.
+
+    With ``part`` only members of different parts are compared.
+    """
+    n, depth = ranks.shape
+    used, local = np.unique(ranks, return_inverse=True)
+    local = local.reshape(n, depth)
+    # depth - rank for the pivots of a member, else 0: the footrule is a constant less twice the shared minimum
+    level = np.zeros((len(used), n), dtype=np.uint8)
+    for r in range(depth):
+        level[local[:, r], np.arange(n)] = depth - r
+    keep, k = min(spec.rerank, n - 1), min(k, n - 1)
+    found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)]
+    for start in range(0, n if keep > 0 else 0, 128):
+        rows = np.arange(start, min(n, start + 128))
+        shared = np.zeros((len(rows), n), dtype=np.uint8)
+        for r in range(depth):
+            shared += np.minimum(level[local[rows, r]], np.uint8(depth - r))
+        shared[np.arange(len(rows)), rows] = 0
+        if part is not None:
+            shared[part[rows][:, None] == part[None, :]] = 0
+        last = np.maximum(np.partition(shared, n - keep, axis=1)[:, n - keep], 1)
+        cosine = vectors[rows] @ vectors.T
+        cosine[shared < last[:, None]] = -2
+        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(cosine, near, 1)
+        q, c = np.nonzero(best >= max(least, -1.5))
+        found.append((rows[q], near[q, c], best[q, c]))
+    i, j, c = zip(*found)
+    return np.concatenate(i), np.concatenate(j), np.concatenate(c)
+
+
+def _indexed(vectors: np.ndarray, part: np.ndarray | None, spec: PermutationIndex, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a large file: a permutation index of its own, with evenly spread members as pivots."""
+    n = len(vectors)
+    pivots = vectors[np.linspace(0, n - 1, max(16, n // spec.per_pivot)).astype(int)]
+    ranks = _nearest_pivots(vectors, pivots, min(spec.depth, len(pivots)))
+    member = np.repeat(np.arange(n), ranks.shape[1])
+    order = np.argsort(ranks.ravel(), kind="stable")
+    found = []
+    for file in np.split(member[order], np.cumsum(np.bincount(ranks.ravel(), minlength=len(pivots)))[:-1]):
+        if len(file) < 2:
+            continue
+        inner = part[file] if part is not None else None
+        # equal ranks can make a file as long as the whole; its blocks are compared pair by pair
+        pieces = np.array_split(np.arange(len(file)), -(-len(file) // (2 * spec.direct)))
+        for a in range(len(pieces)):
+            for b in range(a, len(pieces)):
+                at = pieces[a] if a == b else np.concatenate((pieces[a], pieces[b]))
+                i, j, c = _ranked(ranks[file[at]], vectors[file[at]], inner[at] if inner is not None else None, spec, k, least)
+                found.append((file[at[i]], file[at[j]], c))
+    i, j, c = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    # the k best of each member over its files
+    _, once = np.unique(i * n + j, return_index=True)
+    i, j, c = i[once], j[once], c[once]
+    order = np.lexsort((j, -c, i))
+    i, j, c = i[order], j[order], c[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k], c[place < k]
+
+
 def _neighbours_in(spec: PermutationIndex, k: int, least: float):
     def nearest(block: pa.Table) -> pa.Table:
         ids = block.column("id").combine_chunks().to_numpy()
         order = np.argsort(ids)
         ids = ids[order]
         block = block.take(pa.array(order))
-        ranks = _matrix(block.column("ranks").combine_chunks(), "<i2")
-        vectors = _matrix(block.column("vector").combine_chunks())
-        part = block.column("part").combine_chunks().to_numpy()
-        lo, hi = block.column("lo")[0].as_py(), block.column("hi")[0].as_py()
-        n, depth = ranks.shape
-        used, local = np.unique(ranks, return_inverse=True)
-        local = local.reshape(n, depth)
-        # depth - rank for the pivots of a member, else 0: the footrule is a constant less twice the shared minimum
-        level = np.zeros((len(used), n), dtype=np.uint8)
-        for r in range(depth):
-            level[local[:, r], np.arange(n)] = depth - r
-        keep = min(spec.rerank, n - 1)
-        out_i, out_j, out_c = [], [], []
-        for start in range(0, n if keep > 0 else 0, 64):
-            rows = np.arange(start, min(n, start + 64))
-            shared = np.zeros((len(rows), n), dtype=np.uint8)
-            for r in range(depth):
-                shared += np.minimum(level[local[rows, r]], np.uint8(depth - r))
-            shared[np.arange(len(rows)), rows] = 0
-            if lo != hi:  # pairs within a block belong to that block's own task
-                shared[part[rows][:, None] == part[None, :]] = 0
-            near = np.argpartition(shared, n - keep, axis=1)[:, n - keep :]
-            cosine = np.einsum("qd,qkd->qk", vectors[rows], vectors[near])
-            cosine[np.take_along_axis(shared, near, 1) == 0] = -2
-            top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(cosine, top, 1)
-            q, c = np.nonzero(best >= least)
-            out_i.append(ids[rows[q]])
-            out_j.append(ids[near[q, top[q, c]]])
-            out_c.append(best[q, c])
-        flat = (lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t))
-        return pa.table({"id": flat(out_i, np.int64), "other": flat(out_j, np.int64), "cosine": flat(out_c, np.float64)})
+        vectors = _matrix(block.column("vector").combine_chunks(), "<f2").astype(np.float32)
+        # pairs within a block belong to that block's own task
+        part = block.column("part").combine_chunks().to_numpy() if block.column("lo")[0].as_py() != block.column("hi")[0].as_py() else None
+        if len(ids) > spec.direct:
+            i, j, c = _indexed(vectors, part, spec, k, least)
+        else:
+            i, j, c = _ranked(_matrix(block.column("ranks").combine_chunks(), "<i2"), vectors, part, spec, k, least)
+        return pa.table({"id": ids[i], "other": ids[j], "cosine": c.astype(np.float64)})
 
     return nearest
 
@@ -164,10 +219,13 @@ def similar_classes(vectors: DataFrame, spec: PermutationIndex, k: int, least: f
 
     Equal vectors form one class, named by its least id; an empty table gives none.
     """
-    vectors = cut_lineage(vectors)
-    members = vectors.join(vectors.groupBy("vector").agg(F.min("id").alias("class_id")), "vector").select("id", "class_id")
-    members = cut_lineage(members)
-    distinct = vectors.join(members.where("id = class_id").select("id"), "id", "left_semi")
+    # equal vectors are told by 128 bits
+    print_of = F.struct(F.xxhash64("vector").alias("x"), F.xxhash64(F.lit("second"), "vector").alias("y"))
+    vectors = cut_lineage(vectors.withColumn("print", print_of))
+    classes = vectors.groupBy("print").agg(F.min("id").alias("class_id"))
+    members = cut_lineage(vectors.select("id", "print").join(classes, "print").select("id", "class_id"))
+    again = members.where("id != class_id").select("id")
+    distinct = vectors.drop("print").join(again, "id", "left_anti")
     n = vectors.count()
     # the index is fitted on a bounded sample: pivots_for(n) vectors, the first by a hash of the id
     sample = distinct.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(spec.pivots_for(n)).collect()
@@ -192,11 +250,10 @@ def neighbours(vectors: DataFrame, spec: PermutationIndex = PermutationIndex(),
     """
     found = similar_classes(vectors, spec, k, least)
     links = cut_lineage(found.neighbours)
-    # the k + 1 least members of each class: no vector needs more of them
-    first = (
-        found.members.groupBy("class_id")
-        .agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    )
+    # the k + 1 least members of each class, which no vector needs more of; the limit holds before the shuffle
+    place = F.row_number().over(W.partitionBy("class_id").orderBy("id"))
+    least_members = found.members.withColumn("place", place).where(F.col("place") <= k + 1)
+    first = least_members.groupBy("class_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     to = links.join(first.select(F.col("class_id").alias("other"), "ids"), "other").select(F.col("id").alias("class_id"), "ids", "cosine")
     own = first.where(F.size("ids") > 1).select("class_id", "ids", F.lit(1.0).alias("cosine"))
     options = to.union(own).select("class_id", "cosine", F.explode("ids").alias("other"))
