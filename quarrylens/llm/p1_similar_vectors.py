@@ -88,26 +88,25 @@ def _nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, depth: int) -> np.n
     return out
 
 
-def _postings(vectors: DataFrame, pivots: np.ndarray, spec: PermutationIndex) -> DataFrame:
-    """``(pivot, id, ranks, vector)``: a row for each of a vector's nearest pivots, the vector as half floats."""
+def _represented(vectors: DataFrame, pivots: np.ndarray, spec: PermutationIndex) -> DataFrame:
+    """``(id, ranks, vector)``: the nearest pivots of each vector in order, and the vector as half floats."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
     depth = min(spec.depth, len(pivots))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                x = _matrix(batch.column(1))
-                order = _nearest_pivots(x, shared.value, depth)
-                ranks = pa.array([r.tobytes() for r in order.astype("<i2")], pa.binary())
-                halves = pa.array([v.tobytes() for v in x.astype("<f2")], pa.binary())
-                where = pa.array(np.repeat(np.arange(batch.num_rows), depth))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(order.ravel()), batch.column(0).take(where), ranks.take(where), halves.take(where)],
-                    names=["pivot", "id", "ranks", "vector"],
-                )
+    def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            order = _nearest_pivots(x, shared.value, depth) if len(x) else np.zeros((0, depth))
+            ranks = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * depth, pa.int32()), pa.array(order.ravel().astype(np.int16)))
+            halves = pa.array([v.tobytes() for v in x.astype("<f2")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ranks, halves], names=["id", "ranks", "vector"])
+
+    return vectors.select("id", "vector").mapInArrow(represent, "id bigint, ranks array<smallint>, vector binary")
+
 
-    return vectors.select("id", "vector").mapInArrow(post, "pivot int, id bigint, ranks binary, vector binary")
+def _postings(represented: DataFrame) -> DataFrame:
+    """``(pivot, id, ranks, vector)``: a row for each of a vector's nearest pivots."""
+    return represented.select(F.explode("ranks").alias("pivot"), "id", "ranks", "vector")
 
 
 def _blocks(postings: DataFrame, spec: PermutationIndex) -> DataFrame:
@@ -200,7 +199,7 @@ def _neighbours_in(spec: PermutationIndex, k: int, least: float):
         if len(ids) > spec.direct:
             i, j, c = _indexed(vectors, part, spec, k, least)
         else:
-            i, j, c = _ranked(_matrix(block.column("ranks").combine_chunks(), "<i2"), vectors, part, spec, k, least)
+            i, j, c = _ranked(block.column("ranks").combine_chunks().flatten().to_numpy().reshape(len(ids), -1), vectors, part, spec, k, least)
         return pa.table({"id": ids[i], "other": ids[j], "cosine": c.astype(np.float64)})
 
     return nearest
@@ -233,7 +232,7 @@ def similar_classes(vectors: DataFrame, spec: PermutationIndex, k: int, least: f
         empty = vectors.sparkSession.createDataFrame([], "id bigint, other bigint, cosine double")
         return SimilarVectors(empty, members)
     pivots = np.frombuffer(b"".join(r.vector for r in sample), dtype="<f4").reshape(len(sample), -1)
-    blocks = _blocks(_postings(distinct, pivots, spec), spec)
+    blocks = _blocks(_postings(cut_lineage(_represented(distinct, pivots, spec))), spec)
     near = blocks.groupBy("pivot", "lo", "hi").applyInArrow(_neighbours_in(spec, k, least), "id bigint, other bigint, cosine double")
     # a pair met in several files has nearly the same cosine in each; the k best of each vector
     pairs = near.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
