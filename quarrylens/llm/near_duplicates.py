@@ -163,29 +163,73 @@ def _match_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
         yield batch.select([0, 1]).filter(pa.array(near))
 
 
-def candidate_pairs(prints: DataFrame, spec: Covering, extra: str | None = None) -> DataFrame:
+#: Postings of a partition, so that partitions stay as large however many records there are.
+POSTINGS_AT_ONCE = 2_000_000
+#: Records at an anchor from which its pairs are compared block by block instead of joined.
+HOT_ANCHOR = 1000
+
+
+def candidate_pairs(prints: DataFrame, spec: Covering, extra: str | None = None, hot: int = HOT_ANCHOR) -> DataFrame:
     """Pairs ``(a, b)`` of class representatives that share an anchor and whose fingerprints agree.
 
     ``prints`` has one row ``(key, symbols, print[, extra])`` per class; ``extra`` names a boolean
-    column of which at least one side of a pair must be true.
+    column of which at least one side of a pair must be true.  Records at an anchor of more than
+    ``hot`` are split into blocks, and every pair of blocks is compared in a task of its own, which
+    gives out only pairs whose fingerprints agree.
     """
     kind = _key_type(prints)
-    postings = prints.select("key", "symbols", *([extra] if extra else [])).mapInArrow(
+    flag = [extra] if extra else []
+    partitions = max(8, prints.count() * spec.blocks * spec.symbols // POSTINGS_AT_ONCE)
+    postings = prints.select("key", "symbols", *flag).mapInArrow(
         lambda it: _posting_batches(it, spec), f"anchor bigint, key {kind}" + (f", {extra} boolean" if extra else "")
-    )
-    left = postings.select("anchor", F.col("key").alias("a"), *([F.col(extra).alias("xa")] if extra else []))
-    right = postings.select("anchor", F.col("key").alias("b"), *([F.col(extra).alias("xb")] if extra else []))
-    met = left.join(right, "anchor").where("a < b")
+    ).repartition(partitions, "anchor")
+    sizes = postings.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = postings.join(sizes.where(F.col("size") <= hot), "anchor")
+    left = met.select("anchor", F.col("key").alias("a"), *[F.col(c).alias("xa") for c in flag])
+    right = met.select("anchor", F.col("key").alias("b"), *[F.col(c).alias("xb") for c in flag])
+    pairs = left.join(right, "anchor").where("a < b")
     if extra:
-        met = met.where("xa or xb")
-    pairs = met.select("a", "b").distinct()
+        pairs = pairs.where("xa or xb")
+    pairs = pairs.select("a", "b").distinct()
     side = prints.select("key", "print")
-    return (
+    joined = (
         pairs.join(side.select(F.col("key").alias("a"), F.col("print").alias("pa")), "a")
         .join(side.select(F.col("key").alias("b"), F.col("print").alias("pb")), "b")
         .select("a", "b", "pa", "pb")
         .mapInArrow(lambda it: _match_batches(it, spec.least_matches), f"a {kind}, b {kind}")
     )
+    crowded = postings.join(sizes.where(F.col("size") > hot), "anchor").select("anchor", "key", F.ceil(F.col("size") / hot).cast("int").alias("parts"), *flag)
+    crowded = crowded.join(side, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    blocks = crowded.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "anchor", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "print", *flag
+    )
+    agreeing = blocks.groupBy("anchor", "lo", "hi").applyInArrow(_agreeing_in(spec.least_matches, extra), f"a {kind}, b {kind}")
+    return joined.union(agreeing).distinct()
+
+
+def _agreeing_in(least: int, extra: str | None):
+    """Compares the fingerprints of a block, or of two blocks with each other."""
+
+    def agreeing(block: pa.Table) -> pa.Table:
+        block = block.sort_by("key")
+        keys = block.column("key").combine_chunks()
+        prints = _rows_of(block.column("print").combine_chunks(), "u1")
+        part = block.column("part").to_numpy()
+        across = block.column("lo")[0].as_py() != block.column("hi")[0].as_py()
+        flags = np.array(block.column(extra).to_pylist(), dtype=bool) if extra else np.ones(len(keys), dtype=bool)
+        a, b = [], []
+        for i in range(len(keys) - 1):
+            near = (prints[i + 1 :] == prints[i]).sum(axis=1) >= least
+            near &= flags[i] | flags[i + 1 :]
+            if across:  # pairs within a block belong to that block's own task
+                near &= part[i + 1 :] != part[i]
+            j = np.flatnonzero(near) + i + 1
+            a.append(np.full(len(j), i))
+            b.append(j)
+        index = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)]
+        return pa.table({"a": keys.take(index[0]), "b": keys.take(index[1])})
+
+    return agreeing
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], spec: Covering) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from quarrylens.llm import p5_scanned as p5
 from quarrylens.llm import p6_leaks as p6
 from quarrylens.llm import p7_mixture as p7
 from quarrylens.llm import p8_reading_level as p8
-from quarrylens.llm.near_duplicates import Covering, features
+from quarrylens.llm.near_duplicates import Covering, candidate_pairs, features, fingerprints
 from quarrylens.llm.words import shingle_stream, word_stream
 
 WORD = re.compile("[a-z0-9]+")
@@ -138,6 +138,16 @@ def test_paper_duplicates(spark):
     assert found == {("a", "b"), ("a", "g"), ("b", "g"), ("a", "c"), ("a", "d"), ("c", "d"), ("c", "e"), ("d", "e")}
 
 
+def test_hot_anchors_are_compared_in_blocks(spark):
+    texts = [passage(90, k // 4) + " " + " ".join(f"w{k}x{i}" for i in range(2)) for k in range(40)]
+    records = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string")
+    prints = fingerprints(records, p2.CHUNKS)
+    joined = rows(candidate_pairs(prints, p2.CHUNKS), "a", "b")
+    assert joined == rows(candidate_pairs(prints, p2.CHUNKS, hot=2), "a", "b") and len(joined) == 60
+    flagged = prints.selectExpr("*", "key % 4 = 0 as marked")
+    assert rows(candidate_pairs(flagged, p2.CHUNKS, "marked"), "a", "b") == rows(candidate_pairs(flagged, p2.CHUNKS, "marked", hot=2), "a", "b")
+
+
 def test_features_are_distinct():
     values, owner = features(["a b c a b c", None, ""], Covering(width=3))
     assert len(values) == 3 and set(owner) == {0}
