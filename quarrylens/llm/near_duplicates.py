@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .words import mix, shingle_stream, unique_by_owner, word_stream
 
@@ -164,7 +165,7 @@ def _match_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
 
 
 #: Postings of a partition, so that partitions stay as large however many records there are.
-POSTINGS_AT_ONCE = 2_000_000
+POSTINGS_AT_ONCE = 400_000
 #: Records at an anchor from which its pairs are compared block by block instead of joined.
 HOT_ANCHOR = 1000
 
@@ -182,9 +183,12 @@ def candidate_pairs(prints: DataFrame, spec: Covering, extra: str | None = None,
     partitions = max(8, prints.count() * spec.blocks * spec.symbols // POSTINGS_AT_ONCE)
     postings = prints.select("key", "symbols", *flag).mapInArrow(
         lambda it: _posting_batches(it, spec), f"anchor bigint, key {kind}" + (f", {extra} boolean" if extra else "")
-    ).repartition(partitions, "anchor")
-    sizes = postings.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = postings.join(sizes.where(F.col("size") <= hot), "anchor")
+    )
+    # the filter is what the join would put there; with it all uses share the shuffle
+    postings = postings.where("anchor is not null").repartition(partitions, "anchor")
+    # one shuffle serves the sizes, both sides of the join and the blocks; most records meet nobody
+    sized = postings.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("anchor"))).where("size > 1")
+    met = sized.where(F.col("size") <= hot)
     left = met.select("anchor", F.col("key").alias("a"), *[F.col(c).alias("xa") for c in flag])
     right = met.select("anchor", F.col("key").alias("b"), *[F.col(c).alias("xb") for c in flag])
     pairs = left.join(right, "anchor").where("a < b")
@@ -198,7 +202,7 @@ def candidate_pairs(prints: DataFrame, spec: Covering, extra: str | None = None,
         .select("a", "b", "pa", "pb")
         .mapInArrow(lambda it: _match_batches(it, spec.least_matches), f"a {kind}, b {kind}")
     )
-    crowded = postings.join(sizes.where(F.col("size") > hot), "anchor").select("anchor", "key", F.ceil(F.col("size") / hot).cast("int").alias("parts"), *flag)
+    crowded = sized.where(F.col("size") > hot).select("anchor", "key", F.ceil(F.col("size") / hot).cast("int").alias("parts"), *flag)
     crowded = crowded.join(side, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     blocks = crowded.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "anchor", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "print", *flag
