@@ -1,7 +1,8 @@
 """Problem 3: logged question and answer pairs that are unusable, with the kind of defect.
 
 Per pair: the suffix automaton of the question is traversed with the answer to measure how much
-of the answer is copied; refusals are found by an Aho-Corasick automaton of phrases; a stack of
+of the answer is copied; refusals are found by an Aho-Corasick automaton of phrases and, in short
+answers, by how a refusal is built in each language; a stack of
 delimiters tells strings, objects and brackets that were cut; and stopwords vote on languages.
 """
 
@@ -37,7 +38,19 @@ REFUSALS = [
     "je ne peux pas répondre", "je ne suis pas en mesure", "je ne peux pas aider",
     "无法回答", "不能提供这方面", "不能回答", "不便回答", "无法提供", "不能提供", "无可奉告", "拒绝回答",
 ]
-#: Polite words that surround a refusal, in which nothing is answered.
+#: How a refusal is built in each language: who speaks, that it is not done, and the verb of answering.
+REFUSING = {
+    "en": r"\b(?:i|we)\b[^.!?]{0,25}\b(?:not|never|unable|rather|decline|declining|refuse|refusing)\b[^.!?]{0,45}\b(?:answer|respond|repl|help|assist|discuss|comment|disclos|speculat|weigh in|engage|talk|opinion|advi[sc]e|answering)"
+    r"|\b(?:against|outside|beyond) (?:my|our) (?:guidelines?|polic|principles|rules|remit|scope)|\b(?:i|we)\b[^.!?]{0,30}\bleave[^.!?]{0,20}\bunanswered|\bas an? (?:ai|language model|assistant)\b",
+    "de": r"\b(?:ich|mir|wir|uns)\b[^.!?]{0,40}\b(?:nicht|keine?n?)\b[^.!?]{0,50}\b(?:beantwort|antwort|eingeh|einzugehen|äußer|helf|auskunft|stellung|meinung|besprech|weitergeb)|\bals sprachmodell\b",
+    "es": r"\bno\b[^.!?]{0,12}\b(?:puedo|podemos|debo|me|nos|estoy|quiero|voy)\b[^.!?]{0,40}\b(?:respond|contest|ayud|hablar|coment|opin|tratar|facilit)|\bcomo modelo de lenguaje\b",
+    "fr": r"\bje\b[^.!?]{0,15}\b(?:peux|puis|dois|souhaite|veux|suis)\b[^.!?]{0,10}\bpas\b[^.!?]{0,40}\b(?:répond|aider|comment|parler|discut|avis)",
+    "zh": r"(?:我|本人|抱歉|对不起)[^。！？]{0,14}(?:不|无法|没有办法|拒绝)[^。！？]{0,10}(?:回答|答复|讨论|评论|协助|帮助|透露|发表意见)|作为(?:一个)?(?:语言模型|人工智能)",
+}
+#: Up to how many words, or CJK characters, an answer is nothing but a refusal; longer ones answer something as well.
+REFUSAL_WORDS = 40
+
+#: Labels and placeholders, in which nothing is answered.
 LABELS = ["answer", "antwort", "respuesta", "réponse", "答案", "回答", "frage", "question", "pregunta", "问题", "n/a", "na", "null", "none", "nil", "unknown", "tbd", "-"]
 
 _CITATION = re.compile(r"\[\d+(?:\s*[,;–-]\s*\d+)*\]")
@@ -45,6 +58,7 @@ _CJK = re.compile(r"[㐀-鿿]")
 _LATIN = re.compile(r"[^\W\d_]+")
 _FENCE = re.compile(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$")
 _INVISIBLE = re.compile(r"[​-‏﻿⁠­]")
+_REFUSING = [re.compile(form) for form in REFUSING.values()]
 _VOTES = {word: [lang for lang, words in STOPWORDS.items() if word in words.split()] for words in STOPWORDS.values() for word in words.split()}
 
 
@@ -190,9 +204,6 @@ def ends_open(answer: str) -> bool:
     text = _INVISIBLE.sub("", answer).rstrip()
     cited = _CITATION.sub("", text).rstrip()
     if text != cited and text.endswith("]"):
-        text = cited
-        if not text:
-            return False
         return False
     last = text.split("\n")[-1].strip()
     if re.match(r"^(?:[-*•·]|\d+[.)])\s", last):
@@ -219,8 +230,12 @@ class PairJudge:
         self.refusals.make_automaton()
 
     def refuses(self, text: str) -> bool:
-        plain = text.lower().replace("’", "'")
-        return next(self.refusals.iter(plain), None) is not None
+        plain = text.lower().replace("’", "'").replace("n't", " not")
+        if next(self.refusals.iter(text.lower().replace("’", "'")), None) is not None:
+            return True
+        if _CITATION.search(text) or len(_CJK.findall(plain)) + len(_LATIN.findall(_CJK.sub(" ", plain))) > REFUSAL_WORDS:
+            return False
+        return any(form.search(plain) for form in _REFUSING)
 
     def defect(self, question: str | None, raw: str | None) -> str | None:
         question = question or ""

@@ -2,8 +2,8 @@
 
 Each shard of documents is turned into one word stream.  Its suffix array holds the suffixes
 that start with ``least`` consecutive words of one document; suffixes with a word that no test
-item has are left out, because no test suffix can match there.  The array is sorted by the
-first ``least`` words, every test suffix is looked up in it by binary search, and each hit is
+item has are left out, because no test suffix can match there.  The array covers ``_SLICE``
+documents and is sorted by the first ``least`` words, more of which no search needs; every test suffix is looked up in it by binary search, and each hit is
 extended word by word in both directions to the longest verbatim match.  A match is never cut
 by a shard, since a shard holds whole documents.
 """
@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import cut_lineage, need
 from .words import word_stream
 
 _SLICE = 256
-#: Words of test items that are sent to the executors at once: 8 bytes each, 16 MB at most.
-MAX_TEST_WORDS = 2_000_000
+#: Words of test items that are sent to the executors at once: about 80 bytes each with their sorted suffixes, 16 MB.
+MAX_TEST_WORDS = 200_000
 
 
 def _test_blocks(items: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -102,19 +102,23 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
 
     ``documents`` ``(doc_id, text)``, ``items`` ``(item_id, passage)``.  ``start`` counts words of
     the document from 0.  Null and short texts and passages match nothing; repeated rows of a
-    document or item give one row; copies under other ids each have theirs.
+    document or item give one row; copies under other ids each have theirs.  Items beyond
+    ``MAX_TEST_WORDS`` go over the documents in further blocks, one after another.
     """
     documents = need(documents, ["doc_id", "text"], "leaks")
     items = need(items, ["item_id", "passage"], "leaks").dropDuplicates(["item_id"])
     spark = documents.sparkSession
-    parts = []
+    parts, sent = [], None
     for ids, words, bounds in _test_blocks(items):
+        if sent is not None:  # the block before is searched and released
+            parts[-1] = cut_lineage(parts[-1])
+            sent.destroy()
         vocabulary, codes = np.unique(words, return_inverse=True)
         codes = codes + 1
         item_owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
         suffixes = _runs(np.ones(len(words), dtype=bool), item_owner, least)
         prefixes = _prefixes(codes, suffixes, least) if len(suffixes) else np.zeros(0, dtype=f"S{4 * least}")
-        shared = spark.sparkContext.broadcast(((vocabulary, codes, item_owner, suffixes, prefixes), ids, bounds))
+        shared = sent = spark.sparkContext.broadcast(((vocabulary, codes, item_owner, suffixes, prefixes), ids, bounds))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             test, item_ids, _ = shared.value

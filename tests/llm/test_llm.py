@@ -184,6 +184,20 @@ def test_broken_pairs(spark):
     assert p3.broken_pairs(logs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("answer", [
+    "I do not feel comfortable discussing this topic.", "That goes against my guidelines.", "This is something I must leave unanswered.",
+    "As a language model I do not have an opinion.", "Leider ist es mir nicht erlaubt, darauf einzugehen.", "No me está permitido hablar de eso.", "抱歉，我没有办法就此发表意见。",
+])
+def test_refusals_outside_the_list(answer):
+    judge = p3.PairJudge()
+    assert judge.defect("Which catalyst was used for the reaction?", json.dumps({"answer": answer})) == "refusal"
+
+
+@pytest.mark.parametrize("answer", ["We did not find an effect of temperature on the yield.", "The authors do not discuss the yield.", "I would not use nickel; we measured higher yields with copper."])
+def test_answers_with_a_negation_are_no_refusals(answer):
+    assert p3.PairJudge().defect("Which catalyst was used for the reaction?", json.dumps({"answer": answer})) is None
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="abc", max_size=20), st.text(alphabet="abc", max_size=20))
 def test_suffix_automaton_against_search(text, other):
@@ -387,6 +401,15 @@ def test_leaks_against_brute_force(spark):
     assert p6.leaks(frame.limit(0), test).count() == 0 and p6.leaks(frame, test.limit(0)).count() == 0
 
 
+def test_leaks_in_blocks(spark, monkeypatch):
+    docs = [(i, passage(30, i)) for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, t) for i, t in docs], "item_id bigint, passage string")
+    whole = rows(p6.leaks(frame, items))
+    monkeypatch.setattr(p6, "MAX_TEST_WORDS", 40)
+    assert rows(p6.leaks(frame, items)) == whole and len(whole) == 6
+
+
 # --- 7 ----------------------------------------------------------------------
 
 
