@@ -38,6 +38,10 @@ class Tables:
     def source_chunks(self) -> DataFrame:
         return library.source_chunks(self.chunks, self.papers)
 
+    @cached_property
+    def sourced(self) -> DataFrame:
+        return library.with_source(self.articles)
+
     @cached_property
     def questions(self) -> DataFrame:
         return self.golden_items.select(F.col("item_id").alias("query_id"), "author", "question")
@@ -156,7 +160,20 @@ def redacted_keys(t: Tables) -> DataFrame:
 
 @query
 def cleaned_bodies(t: Tables) -> DataFrame:
-    return t.articles.where("raw_body is not null").select("paper_key", clean.clean_text(F.col("raw_body")).alias("text"))
+    rows, layers = clean.with_layers(t.sourced.where("raw_body is not null"))
+    return rows.select("paper_key", clean.clean_text(F.col("raw_body"), layers).alias("text"))
+
+
+@query
+def article_sources(t: Tables) -> DataFrame:
+    return library.article_sources(t.articles)
+
+
+@query
+def article_chunks(t: Tables) -> DataFrame:
+    """Articles cut into chunks: sections, captions, overlapping pieces, one running index."""
+    made = sections.article_chunks(t.sourced)
+    return made.select("paper_key", "chunk_index", "section", "section_kind", "caption_label", "object_type", "object_label", F.length("text").alias("characters"), "chunk_hash")
 
 
 @query
@@ -167,18 +184,18 @@ def noise_lines(t: Tables) -> DataFrame:
 
 @query
 def article_sections(t: Tables) -> DataFrame:
-    return sections.sections(t.articles)
+    return sections.sections(t.sourced)
 
 
 @query
 def section_facts(t: Tables) -> DataFrame:
-    kinded = sections.sections(t.articles).withColumn("kind", sections.section_fact_type(F.col("title"), sections.section_kind(F.col("title"))))
+    kinded = sections.sections(t.sourced).withColumn("kind", sections.section_fact_type(F.col("title"), sections.section_kind(F.col("title"))))
     return kinded.where("kind is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).alias("characters"))
 
 
 @query
 def analysis_contexts(t: Tables) -> DataFrame:
-    return sections.analysis_context(sections.sections(t.articles))
+    return sections.analysis_context(sections.sections(t.sourced))
 
 
 @query

@@ -17,7 +17,21 @@ NOISE_LINES = [
 ]
 COUNT_PREFIX_LINES = ["download pdf", "metrics"]
 
-#: Further layers of a publisher, chosen by a test on the lower-cased source: (test, replacements, lines, count prefixes, prefixes).
+#: Which sources a layer is for: parts of the lower-cased source, and whole tokens of it.
+SOURCE_TESTS = {
+    "acs": (["acs", "american chemical society"], []),
+    "elsevier": (["elsevier", "sciencedirect"], []),
+    "rsc": (["royal society of chemistry", "rsc publishing"], ["rsc"]),
+    "wiley": (["wiley"], []),
+    "springer": (["springer"], []),
+    "nature": (["nature"], []),
+}
+#: Prefixes of noise lines that two publishers share.
+SPRINGER_PREFIXES = [
+    "description of additional supplementary files", "publisher's note springer nature remains neutral", "publisher’s note springer nature remains neutral",
+    "springer nature remains neutral with regard", "supplementary file", "supplementary movie", "supplementary video",
+]
+#: Further layers of a publisher; more can be passed as a parameter in the same form.
 SOURCE_LAYERS = {
     "acs": {
         "replacements": [
@@ -45,6 +59,31 @@ SOURCE_LAYERS = {
         "counts": [],
         "prefixes": ["this journal is © the royal society of chemistry"],
     },
+    "wiley": {
+        "replacements": [],
+        "lines": ["citing literature", "email alerts", "figures", "get access", "sections", "share", "supporting information", "tools"],
+        "counts": ["citing literature", "figures", "sections"],
+        "prefixes": ["article metrics"],
+    },
+    "springer": {
+        "replacements": [],
+        "lines": [
+            "about this article", "access this article", "article metrics", "about nature portfolio", "nature awards", "nature careers", "nature index",
+            "nature masterclasses", "nature portfolio policies", "provided by the springer nature sharedit content-sharing initiative", "publisher's note",
+            "reprints and permissions", "rights and permissions", "share this article", "supplementary information",
+        ],
+        "counts": ["about this article", "article metrics"],
+        "prefixes": SPRINGER_PREFIXES,
+    },
+    "nature": {
+        "replacements": [],
+        "lines": [
+            "about this article", "access through your institution", "provided by the springer nature sharedit content-sharing initiative",
+            "rights and permissions", "share this article", "subjects", "supplementary information",
+        ],
+        "counts": ["about this article", "subjects"],
+        "prefixes": SPRINGER_PREFIXES,
+    },
 }
 REFERENCE_TITLES = ["references", "reference", "bibliography", "literature cited", "cited literature", "参考文献"]
 

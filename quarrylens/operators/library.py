@@ -40,9 +40,12 @@ def paper_counts(papers: DataFrame) -> DataFrame:
     return papers.groupBy("author").agg(F.count(F.lit(1)).alias("papers"))
 
 
-def _scalar(json: Column, path: str) -> Column:
-    """A string, number or boolean at a path of a JSON text as a string, else null."""
-    return F.get_json_object(json, path)
+def _scalar(json: Column, path: str, kinds: list[str] | None = None) -> Column:
+    """A string, number or boolean at a path of a JSON text as a string, else null; ``kinds`` narrows the types."""
+    value = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    kind = F.schema_of_variant(value)
+    fits = kind.isin(kinds) if kinds else ~(kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "VOID"))
+    return F.when(fits, F.get_json_object(json, path))
 
 
 def resolved_metadata(articles: DataFrame) -> DataFrame:
@@ -64,15 +67,31 @@ def resolved_metadata(articles: DataFrame) -> DataFrame:
     )
 
 
+def article_sources(articles: DataFrame) -> DataFrame:
+    """``(paper_key, source)`` of each article; see ``with_source``."""
+    return with_source(articles).select("paper_key", "source")
+
+
+def with_source(articles: DataFrame) -> DataFrame:
+    """The articles with their publisher: from the frontmatter, else a string of the fetched record, else empty."""
+    fetched = F.when(F.try_parse_json("fetch_result").isNotNull(), F.col("fetch_result"))
+    return articles.withColumn("source", F.coalesce(F.element_at("metadata", "source"), _scalar(fetched, "$.source", ["STRING"]), F.lit("")))
+
+
 def fetch_result_state(articles: DataFrame) -> DataFrame:
-    """``(paper_key, state)``: missing, broken (no JSON), not_object, or ok."""
+    """``(paper_key, state)``: missing, broken (no JSON), not_object, bad_field (a title, doi, year or source that is no string, number or null), or ok."""
     parsed = F.try_parse_json("fetch_result")
     kind = F.schema_of_variant(parsed)
+    bad = F.lit(False)
+    for name in ("title", "doi", "year", "source"):
+        of_field = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+        bad = bad | F.coalesce(of_field.rlike("^(ARRAY|OBJECT|BOOLEAN)"), F.lit(False))
     return articles.select(
         "paper_key",
         F.when(F.col("fetch_result").isNull(), "missing")
         .when(parsed.isNull(), "broken")
         .when(~kind.startswith("OBJECT"), "not_object")
+        .when(bad, "bad_field")
         .otherwise("ok")
         .alias("state"),
     )

@@ -2,52 +2,98 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import rules
-from ..functions.clean import clean_text, is_reference_title, primary_body, without_frontmatter
-from ..functions.text import squash, strip
+from ..functions.clean import clean_text, primary_body, with_layers, without_frontmatter
+from ..functions.text import strip
 
-_HEADING = r"^\s*(#{1,6})\s*([^#\s].*)$"
+_HEADING_LINE = re.compile(r"\s*(#{1,6})\s*([^#\s].*)")
+_BLANKS = re.compile(r"\n{3,}")
+_EDGE_SIGNS = re.compile(r"^[\W_]+|[\W_]+$")
 _CAPTION_LABEL = r"[\p{IsAlphabetic}\p{N}-]*[0-9][\p{IsAlphabetic}\p{N}-]*(?:,[\p{IsAlphabetic}\p{N}-]+)*"
 
 
-def article_lines(articles: DataFrame) -> DataFrame:
-    """``(paper_key, line_no, line, level, heading)``: the body's lines with their heading, if they are one."""
-    body = primary_body(without_frontmatter(F.col("raw_body")))
-    rows = articles.where("raw_body is not null").select("paper_key", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
-    level = F.length(F.regexp_extract("line", _HEADING, 1))
-    return rows.select("paper_key", "line_no", "line", level.alias("level"), strip(F.regexp_extract("line", _HEADING, 2)).alias("heading"))
+def cleaned_bodies(articles: DataFrame) -> DataFrame:
+    """``(paper_key, body)``: primary bodies cleaned by the row's ``source``, if there is one; null bodies are left out."""
+    rows, layers = with_layers(articles.where("raw_body is not null"))
+    rows = rows.withColumn("_body", primary_body(without_frontmatter(F.col("raw_body"))))
+    return rows.select("paper_key", clean_text(F.col("_body"), layers).alias("body"))
 
 
-def sections(articles: DataFrame, source: str = "") -> DataFrame:
-    """``(paper_key, position, title, level, content)`` of ``(paper_key, raw_body)``, positions from 0.
+def split_sections(body: str) -> list[tuple[str, int, str]]:
+    """``(title, level, content)`` of a cleaned body; see ``sections``."""
+    heads: list[tuple[str, int]] = []
+    contents: list[list[str]] = [[]]
+    for line in body.split("\n"):
+        head = _HEADING_LINE.match(line)
+        if head is None:
+            contents[-1].append(line)
+            continue
+        heads.append((head[2].strip(), len(head[1])))
+        if len(heads) > 1:  # text before the first heading joins its section
+            contents.append([])
+    found = [(title, level, _BLANKS.sub("\n\n", "\n".join(c)).strip()) for (title, level), c in zip(heads or [("Body", 1)], contents)]
+    return [s for s in found if s[2] and _EDGE_SIGNS.sub("", s[0]).lower() not in rules.REFERENCE_TITLES]
 
-    ``#`` headings open sections; text before the first joins it; a body without headings is one
-    ``Body``.  Sections are cleaned; empty ones and reference sections are left out, and so are
-    null bodies.
+
+def sections(articles: DataFrame) -> DataFrame:
+    """``(paper_key, position, title, level, content)`` of ``(paper_key, raw_body[, source])``, positions from 0.
+
+    The body is cleaned by the rules of its source, then ``#`` headings open sections; text
+    before the first joins it; a body without headings is one ``Body``.  Empty sections and
+    reference sections are left out, and so are null bodies.  An article is cut within its row.
     """
-    numbered = article_lines(articles).withColumn("is_head", F.col("level") > 0)
-    order = W.partitionBy("paper_key").orderBy("line_no")
-    numbered = numbered.withColumn("section", F.greatest(F.sum(F.col("is_head").cast("int")).over(order), F.lit(1)))
-    grouped = numbered.groupBy("paper_key", "section").agg(
-        F.max(F.when(F.col("is_head"), F.struct("heading", "level"))).alias("head"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n"
-        ).alias("content"),
-    )
-    titled = grouped.select(
-        "paper_key", "section", F.coalesce("head.heading", F.lit("Body")).alias("title"),
-        F.coalesce("head.level", F.lit(1)).cast("int").alias("level"), clean_text(F.col("content"), source).alias("content"),
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, i, *s) for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, s in enumerate(split_sections(body))]
+            yield _batch(rows, "paper_key string, position int, title string, level int, content string")
+
+    return cleaned_bodies(articles).mapInArrow(cut, "paper_key string, position int, title string, level int, content string")
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of strings and ints as a batch."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if kind == "int" else pa.string()) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
+
+
+def article_chunks(articles: DataFrame, size: int = rules.CHUNK_CHARS, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
+    """``(paper_key, chunk_index, section, section_kind, caption_label, object_type, object_label, text, chunk_hash)``.
+
+    The sections of each article, then its figure captions and its table captions as sections of
+    their own, are split into overlapping pieces, numbered through the article.  An article is
+    cut within its row.
+    """
+    found = F.array_compact(F.transform(F.split("body", "\n"), caption_of_line))
+    bodies = cleaned_bodies(articles).select("paper_key", "body", found.alias("captions"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, body, captions in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = [(title, content) for title, _, content in split_sections(body)]
+                for tables in (False, True):
+                    own = [c for c in captions if c["label"].startswith(("Table ", "表 ")) == tables]
+                    parts += [(f"{c['label']} Caption", f"{c['label']}: {c['text']}" if c["text"] else c["label"]) for c in own]
+                pieces = [(title, piece) for title, content in parts for piece in split_text(content, size, overlap)]
+                rows.extend((key, i, title, piece) for i, (title, piece) in enumerate(pieces))
+            yield _batch(rows, "paper_key string, chunk_index int, section string, text string")
+
+    pieces = bodies.mapInArrow(cut, "paper_key string, chunk_index int, section string, text string")
+    label = F.when(F.col("section").endswith(" Caption"), F.regexp_replace("section", " Caption$", ""))
+    labelled = pieces.withColumn("section_kind", section_kind(F.col("section"))).withColumn("caption_label", label)
+    return labelled.withColumn("c", caption_object(F.col("caption_label"))).select(
+        "paper_key", "chunk_index", "section", "section_kind", "caption_label", F.col("c.object_type").alias("object_type"),
+        F.col("c.object_label").alias("object_label"), "text", F.sha2("text", 256).alias("chunk_hash"),
     )
-    kept = titled.where((F.col("content") != "") & ~is_reference_title(F.col("title")))
-    position = F.row_number().over(W.partitionBy("paper_key").orderBy("section")) - 1
-    return kept.select("paper_key", position.alias("position"), "title", "level", "content")
 
 
 def section_kind(title: Column) -> Column:
@@ -243,6 +289,6 @@ def analysis_context(parts: DataFrame, limit: int = 12_000) -> DataFrame:
 
 
 __all__ = [
-    "analysis_context", "article_lines", "caption_object", "caption_of_line", "caption_values", "captions", "message_pages", "page_text", "relation_paths", "section_fact_type",
-    "section_kind", "sections", "split_chunks", "split_text", "squash",
+    "analysis_context", "article_chunks", "cleaned_bodies", "caption_object", "caption_of_line", "caption_values", "captions", "message_pages", "page_text", "relation_paths", "section_fact_type",
+    "section_kind", "sections", "split_chunks", "split_sections", "split_text",
 ]

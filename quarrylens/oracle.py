@@ -227,6 +227,11 @@ _VERDICTS = f"""fe AS (SELECT log_id, 0 AS part, position, 'evidence:' || error
   UNION ALL SELECT log_id, 2, position, 'claim:' || error FROM ce WHERE error IS NOT NULL),
 ff AS (SELECT log_id, error FROM fe QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY part, position, error) = 1)"""
 #: The end of a window of 800 from ``start``: after the last line or sentence end of its second half, else its end.
+def _cut(start: str, size: int) -> str:
+    half = size // 2
+    return f"""(SELECT CASE WHEN m >= 0 THEN {start} + {half} + m + 1 ELSE {start} + {size} END FROM (SELECT {half} - length(regexp_extract(t[{start} + {half + 1}:{start} + {size}], '[^\\n。.]*$')) - 1 AS m))"""
+
+
 _CUT = """(SELECT CASE WHEN m >= 0 THEN start + 400 + m + 1 ELSE start + 800 END FROM (SELECT 400 - length(regexp_extract(t[start + 401:start + 800], '[^\\n。.]*$')) - 1 AS m))"""
 _RANKED_QUESTIONS = f"{_QUESTIONS}, {_terms('questions', 'query_id', ', author')}, rt AS (SELECT query_id, author, {_RANKED_TERMS} AS rterms FROM terms)"
 
@@ -260,7 +265,8 @@ def _clean(x: str) -> str:
 _PLAIN = rf"""{_strip(r"regexp_replace(regexp_replace(raw_body, '\r\n?', chr(10), 'g'), '(?s)\A---[ \t]*\n(?:.*?\n)??---[ \t]*(?:\n|\z)', '')")}"""
 _HEAD = r"'^\s*(#{1,6})\s*([^#\s].*)$'"
 _SECTIONS = rf"""pb AS (SELECT paper_key, {_PLAIN} AS b FROM articles WHERE raw_body IS NOT NULL),
-pm AS (SELECT paper_key, CASE WHEN instr(b, chr(10) || '## Article Body') > 0 THEN b[instr(b, chr(10) || '## Article Body') + 1:] ELSE b END AS b FROM pb),
+po AS (SELECT paper_key, CASE WHEN instr(b, chr(10) || '## Article Body') > 0 THEN b[instr(b, chr(10) || '## Article Body') + 1:] ELSE b END AS b FROM pb),
+pm AS (SELECT paper_key, {_clean('b')} AS b FROM po),
 ln AS (SELECT paper_key, unnest(range(len(string_split(b, chr(10))))) AS line_no, unnest(string_split(b, chr(10))) AS line FROM pm),
 hd AS (SELECT *, length(regexp_extract(line, {_HEAD}, 1)) AS level, {_strip(f"regexp_extract(line, {_HEAD}, 2)")} AS heading FROM ln),
 nm AS (SELECT *, greatest(sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_key ORDER BY line_no), 1) AS sec FROM hd),
@@ -415,6 +421,24 @@ ORACLE = {
     "cleaned_bodies": f"SELECT paper_key, {_clean('raw_body')} AS text FROM articles WHERE raw_body IS NOT NULL",
     "noise_lines": f"""WITH {_CHUNKS}, x AS (SELECT id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM c),
         y AS (SELECT id, line_no, {_normal_line('line')} AS line FROM x) SELECT id, line_no, line FROM y WHERE {_noise('line', ['acs', 'elsevier', 'rsc'])}""",
+    "article_sources": """SELECT paper_key, coalesce(metadata['source'], CASE WHEN json_valid(fetch_result) AND json_type(fetch_result, '$.source') = 'VARCHAR' THEN fetch_result ->> '$.source' END, '') AS source FROM articles""",
+    "article_chunks": f"""WITH RECURSIVE {_SECTIONS},
+        cy AS (SELECT paper_key, line_no, {_strip(r"regexp_replace(replace(replace(translate(line, ' ‐‑–—', ' ----'), '**', ''), '__', ''), '^[-* ]+', '')")} AS p FROM ln),
+        cz AS (SELECT paper_key, line_no, p, regexp_matches(p, '{_CAP_EN}') AS en FROM cy),
+        cc AS (SELECT paper_key, line_no, CASE WHEN en THEN CASE WHEN lower(regexp_extract(p, '{_CAP_EN}', 1)) = 'table' THEN 'Table ' ELSE 'Figure ' END || regexp_extract(p, '{_CAP_EN}', 2) ELSE regexp_extract(p, '{_CAP_CJK}', 1) || ' ' || regexp_extract(p, '{_CAP_CJK}', 2) END AS label,
+          CASE WHEN en THEN regexp_extract(p, '{_CAP_EN}', 3) ELSE regexp_extract(p, '{_CAP_CJK}', 3) END AS caption FROM cz WHERE en OR regexp_matches(p, '{_CAP_CJK}')),
+        every AS (SELECT paper_key, 0 AS part, position AS ord, title, content, NULL AS label FROM sections
+          UNION ALL SELECT paper_key, CASE WHEN label LIKE 'Table %' OR label LIKE '表 %' THEN 2 ELSE 1 END, line_no, label || ' Caption', {_clean("CASE WHEN caption = '' THEN label ELSE label || ': ' || caption END")}, label FROM cc),
+        d AS (SELECT paper_key, part, ord, title, label, {_strip('content')} AS t FROM every),
+        w AS (SELECT *, length(t) AS n, 0 AS start FROM d WHERE length(t) > 0),
+        cut AS (SELECT paper_key, part, ord, title, label, t, n, start, 0 AS step, CASE WHEN n <= 3200 THEN n ELSE {_cut('start', 3200)} END AS stop FROM w
+          UNION ALL SELECT paper_key, part, ord, title, label, t, n, nstart, step + 1, CASE WHEN nstart + 3200 >= n THEN n ELSE {_cut('nstart', 3200)} END
+          FROM (SELECT *, greatest(stop - 350, start + 1) AS nstart FROM cut WHERE stop < n)),
+        p AS (SELECT paper_key, part, ord, step, title, label, {_strip('t[start + 1:stop]')} AS piece FROM cut)
+        SELECT paper_key, (row_number() OVER (PARTITION BY paper_key ORDER BY part, ord, step) - 1)::INT AS chunk_index, title AS section,
+          CASE part WHEN 1 THEN 'figure_caption' WHEN 2 THEN 'table_caption' ELSE 'body' END AS section_kind, label AS caption_label,
+          CASE part WHEN 1 THEN 'figure' WHEN 2 THEN 'table' END AS object_type, regexp_replace(string_split(label, ' ')[2], '([0-9])[A-Za-z]$', '\\1') AS object_label,
+          length(piece)::INT AS characters, sha256(piece) AS chunk_hash FROM p WHERE piece <> ''""",
     "article_sections": f"WITH {_SECTIONS} SELECT * FROM sections",
     "section_facts": f"WITH {_SECTIONS}, x AS (SELECT {_SECTION_FACT} AS kind, content FROM sections) SELECT kind, count(*) AS sections, sum(length(content))::BIGINT AS characters FROM x WHERE kind IS NOT NULL GROUP BY 1",
     "analysis_contexts": f"""WITH {_SECTIONS}, x AS (SELECT paper_key, string_agg(content, chr(10) || chr(10) ORDER BY position) AS whole,

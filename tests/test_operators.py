@@ -232,3 +232,21 @@ def test_profiles_are_ranked_by_their_claims(spark):
     questions = spark.createDataFrame([(1, "A", "zirconium")], "query_id int, author string, question string")
     assert rows(retrieval.profile_ranking(questions, profiles, facts=facts), "position", "paper_key", "score") == [(1, "A/2", 5), (2, "A/1", 0)]
     assert rows(retrieval.profile_ranking(questions, profiles, facts=facts.limit(0)), "position", "paper_key", "score") == [(1, "A/1", 0), (2, "A/2", 0)]
+
+
+def test_article_chunks_by_source(spark):
+    body = "Lead.\n# Results\nShow more\nText of results.\nFigure 2A-C: Rates\n## Share\nTable S1 Values\n# References\n1. X"
+    frame = spark.createDataFrame(
+        [("A/1", body, {"source": "ScienceDirect"}, None), ("A/2", body, None, '{"source": "vellum"}'), ("A/3", None, None, '{"source": ["x"]}'), ("A/4", " ", None, "broken")],
+        "paper_key string, raw_body string, metadata map<string,string>, fetch_result string",
+    )
+    sourced = library.with_source(frame)
+    assert rows(sourced, "paper_key", "source") == [("A/1", "ScienceDirect"), ("A/2", "vellum"), ("A/3", ""), ("A/4", "")]
+    made = sections.article_chunks(sourced)
+    assert rows(made.where("paper_key = 'A/1'"), "chunk_index", "section", "section_kind", "object_label", "text") == [
+        (0, "Results", "body", None, "Lead.\n\nText of results.\nFigure 2A-C: Rates\nTable S1 Values"), (1, "Figure 2A-C Caption", "figure_caption", "2", "Figure 2A-C: Rates"),
+        (2, "Table S1 Caption", "table_caption", "S1", "Table S1: Values"),
+    ]
+    assert "Show more" in rows(made.where("paper_key = 'A/2' and chunk_index = 0"), "text")[0][0]
+    assert {r[0] for r in rows(made, "paper_key")} == {"A/1", "A/2"}
+    assert library.fetch_result_state(frame).where("state = 'ok'").count() == 1
