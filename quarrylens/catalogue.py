@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .functions import clean, rules, terms, text
 from .operators import answers, embeddings, evaluation, library, logs, retrieval, sections, understanding
@@ -219,11 +220,12 @@ def caption_values(t: Tables) -> DataFrame:
 
 @query
 def evidence_paths(t: Tables) -> DataFrame:
-    """Two-hop paths between papers that golden items want cited one after the other."""
-    cited = t.golden_items.select("item_id", F.posexplode("must_cite").alias("position", "paper"))
-    following = cited.select("item_id", (F.col("position") - 1).alias("position"), F.col("paper").alias("object"))
-    pairs = cited.join(following, ["item_id", "position"]).select(F.lit("cited").alias("key"), F.col("paper").alias("subject"), F.lit("then").alias("relation"), "object")
-    return sections.relation_paths(pairs.distinct()).select("start", "via", "end")
+    """Two-hop paths between the papers that the answers of an author cite one after the other in a month."""
+    cited = t.parsed.select(F.col("log_id").alias("id"), F.posexplode("a.evidence").alias("place", "e")).where("e.paper_key is not null")
+    trail = cited.join(t.logs_once.select("id", "author", "created_at"), "id").withColumn("month", F.date_trunc("month", "created_at"))
+    following = F.lead("e.paper_key").over(W.partitionBy("author", "month").orderBy("created_at", "id", "place"))
+    pairs = trail.select(F.struct("author", "month").alias("key"), F.col("e.paper_key").alias("subject"), F.lit("then").alias("relation"), following.alias("object"))
+    return sections.relation_paths(pairs.where("object is not null").distinct()).select(F.col("key.author").alias("author"), "start", "via", "end").distinct()
 
 
 @query
@@ -243,7 +245,7 @@ def question_terms(t: Tables) -> DataFrame:
 
 @query
 def question_match_strings(t: Tables) -> DataFrame:
-    return terms.with_terms(t.questions, "question").select("query_id", terms.match_string(F.col("terms")).alias("match"))
+    return terms.with_terms(t.logs_once.select("id", "question"), "question").select("id", terms.match_string(F.col("terms")).alias("match"))
 
 
 @query
@@ -254,7 +256,7 @@ def question_intents(t: Tables) -> DataFrame:
 
 @query
 def question_rank_terms(t: Tables) -> DataFrame:
-    return terms.with_terms(t.questions, "question").select("query_id", F.array_join(terms.rank_terms(F.col("terms")), "|").alias("terms"))
+    return terms.with_terms(t.logs_once.select("id", "question"), "question").select("id", F.array_join(terms.rank_terms(F.col("terms")), "|").alias("terms"))
 
 
 @query
@@ -284,6 +286,48 @@ def pending_classification(t: Tables) -> DataFrame:
     return understanding.pending_classification(library.distinct_chunks(t.chunks), t.chunk_classifications)
 
 
+@query
+def class_states(t: Tables) -> DataFrame:
+    """How many chunks have a current class, by author; else why not."""
+    states = understanding.class_states(library.distinct_chunks(t.chunks), t.papers, t.chunk_classifications, "chunk-classifier-v1")
+    owned = t.source_chunks.select(F.col("id").alias("chunk_id"), "author")
+    return states.join(owned, "chunk_id").groupBy("author", "state").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query
+def fact_report(t: Tables) -> DataFrame:
+    """Facts, papers and authors by type of fact."""
+    facts = hybrid.facts_of(t.source_chunks).join(t.papers.select("paper_key", "author"), "paper_key")
+    # distinct papers first, so that a type held by a third of all rows is counted in parts
+    by_paper = facts.groupBy("fact_type", "author", "paper_key").agg(F.count(F.lit(1)).alias("n"))
+    return by_paper.groupBy("fact_type").agg(F.sum("n").alias("facts"), F.count(F.lit(1)).alias("papers"), F.countDistinct("author").alias("authors"))
+
+
+@query
+def extraction_outcomes(t: Tables) -> DataFrame:
+    """What became of each class of chunks: facts, skipped, or too little useful."""
+    classes = understanding.classify(library.distinct_chunks(t.chunks))
+    outcome = F.when(F.coalesce("skip_reason", F.lit("")) != "", "skipped").when(F.col("usefulness_score") < 0.5, "low_score").otherwise("eligible")
+    return classes.groupBy("chunk_kind", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query
+def profile_gate(t: Tables) -> DataFrame:
+    """Per author: papers, profiles, their facts, and how many profiles cite facts."""
+    profiles = t.lib.profiles.select("paper_key", "facts", (F.size("contributions") + F.size("limitations") > 0).alias("cites"))
+    joined = t.papers.select("paper_key", "author").join(profiles, "paper_key", "left")
+    return joined.groupBy("author").agg(
+        F.count(F.lit(1)).alias("papers"), F.count("facts").alias("profiles"), F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"), F.count_if("cites").alias("citing")
+    )
+
+
+@query
+def paper_chunk_counts(t: Tables) -> DataFrame:
+    """Every paper with its chunks, or none."""
+    counted = library.distinct_chunks(t.chunks).groupBy("paper_key").agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk_index").alias("last_index"))
+    return t.papers.select("paper_key", "author").join(counted, "paper_key", "left").fillna(0, ["chunks"])
+
+
 @query
 def class_agreement(t: Tables) -> DataFrame:
     """How often the rules and the latest stored class agree, by kind."""
@@ -375,6 +419,13 @@ def dense_retrieval(t: Tables) -> DataFrame:
     return retrieval.dense_route(wanted, rows, 10).select("query_id", "position", "chunk_id", F.round("route_score", 5).alias("route_score"))
 
 
+@query
+def logged_bm25_retrieval(t: Tables) -> DataFrame:
+    """The lexical route for every logged question."""
+    asked = t.logs_once.select(F.col("id").alias("query_id"), "author", "question")
+    return retrieval.bm25_route(asked, t.source_chunks).select("query_id", "position", "chunk_id", F.round("route_score", 6).alias("route_score"))
+
+
 @query
 def representative_chunks(t: Tables) -> DataFrame:
     return retrieval.representative_chunks(t.source_chunks)
@@ -387,7 +438,7 @@ def best_chunks(t: Tables) -> DataFrame:
 
 @query
 def profile_retrieval(t: Tables) -> DataFrame:
-    return retrieval.profile_ranking(t.questions, t.lib.profiles)
+    return retrieval.profile_ranking(t.questions, t.lib.profiles, facts=t.lib.facts)
 
 
 @query
@@ -439,6 +490,13 @@ def pending_embeddings(t: Tables) -> DataFrame:
     return embeddings.pending(t.chunks, have, "pe-wide", "v2")
 
 
+@query
+def vector_coverage(t: Tables) -> DataFrame:
+    """Per author and model version the chunks with a current vector: vectors joined with chunks and papers."""
+    have = embeddings.latest_vectors(t.embedding_responses, 128).select(F.col("chunk_id").alias("id"), "model", "model_version")
+    return have.join(t.source_chunks.select("id", "author"), "id").groupBy("author", "model", "model_version").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 @query
 def vector_norms(t: Tables) -> DataFrame:
     unit = t.embeddings.select("vec_id", embeddings.normalised(F.col("embedding")).alias("v"))
@@ -490,6 +548,15 @@ def golden_summary(t: Tables) -> DataFrame:
     return evaluation.summary(evaluation.cases(hybrid.hybrid(t.questions, t.lib), t.golden, t.source_chunks))
 
 
+@query
+def log_modes(t: Tables) -> DataFrame:
+    """Logged answers by planned mode and reason, with how many are readable and cite evidence."""
+    rows = t.logs_once.select("id", "qa_mode", "route_reason").join(t.parsed.select(F.col("log_id").alias("id"), "a"), "id")
+    return rows.groupBy("qa_mode", "route_reason").agg(
+        F.count(F.lit(1)).alias("answers"), F.count("a").alias("readable"), F.count_if(F.size("a.evidence") > 0).alias("citing")
+    )
+
+
 @query
 def golden_route_rates(t: Tables) -> DataFrame:
     return evaluation.route_rates(hybrid.routes(t.questions, t.lib), t.golden, t.source_chunks)

@@ -219,10 +219,10 @@ def profile_ranking(questions: DataFrame, profiles: DataFrame, limit: int = 20,
     return scored.withColumn("position", position).where(F.col("position") <= limit).select("query_id", "paper_key", "position", "score")
 
 
-def profile_route(questions: DataFrame, chunks: DataFrame, profiles: DataFrame, limit: int = 20) -> DataFrame:
-    """The best chunk of each of the highest ranked profiles, in their order."""
-    ranked = profile_ranking(questions, profiles, limit).drop("score")
-    found = ranked.join(best_chunks(questions, chunks), ["query_id", "paper_key"])
+def profile_route(questions: DataFrame, chunks: DataFrame, profiles: DataFrame, facts: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """The representative chunk of each of the highest ranked profiles, in their order."""
+    ranked = profile_ranking(questions, profiles, limit, facts)
+    found = ranked.join(representative_chunks(chunks), "paper_key")
     return found.select("query_id", F.lit("profile").alias("route"), "position", "chunk_id", F.col("score").cast("double").alias("route_score"))
 
 

@@ -51,6 +51,28 @@ def classify(chunks: DataFrame) -> DataFrame:
     )
 
 
+def class_states(chunks: DataFrame, papers: DataFrame, classes: DataFrame, version: str) -> DataFrame:
+    """``(chunk_id, state)``: whether a chunk has a class of this version, of its paper's source and of its text.
+
+    The states are current, other_text (another chunk hash), other_source, other_version and
+    missing, the best of several rows; hashes are compared with nulls alike.
+    """
+    own = chunks.select(F.col("id").alias("chunk_id"), "paper_key", F.col("chunk_hash").alias("own_hash")).join(
+        papers.select("paper_key", F.col("source_hash").alias("own_source")), "paper_key"
+    )
+    stored = classes.select("chunk_id", "classifier_version", "source_hash", "chunk_hash", F.lit(True).alias("stored"))
+    level = (
+        F.when(F.col("stored").isNull(), 4)
+        .when(~F.col("classifier_version").eqNullSafe(version), 3)
+        .when(~F.col("source_hash").eqNullSafe(F.col("own_source")), 2)
+        .when(~F.col("chunk_hash").eqNullSafe(F.col("own_hash")), 1)
+        .otherwise(0)
+    )
+    best = own.join(stored, "chunk_id", "left").groupBy("chunk_id").agg(F.min(level).alias("level"))
+    names = F.array(*map(F.lit, ["current", "other_text", "other_source", "other_version", "missing"]))
+    return best.select("chunk_id", F.get(names, F.col("level")).alias("state"))
+
+
 def class_counts(classes: DataFrame) -> DataFrame:
     """``(chunk_kind, skip_reason, chunks)``."""
     return classes.groupBy("chunk_kind", F.coalesce("skip_reason", F.lit("")).alias("skip_reason")).agg(F.count(F.lit(1)).alias("chunks"))
@@ -101,11 +123,29 @@ def distinct_facts(facts: DataFrame) -> DataFrame:
     return first.withColumn("rank_position", F.row_number().over(order))
 
 
+def _keyword_words(texts: Column) -> Column:
+    """The words of 4 bytes and more of an array of texts, without stop words, in order."""
+    words = F.flatten(F.transform(texts, lambda t: F.split(t, r"[^\p{IsAlphabetic}\p{N}-]+")))
+    return F.filter(words, lambda w: (F.octet_length(w) >= 4) & ~F.lower(w).isin(rules.KEYWORD_STOP))
+
+
 def topic_keywords(title: Column, claims: Column, limit: int = 12) -> Column:
     """The first distinct words of 4 bytes and more of the title and the claims, then sorted."""
-    words = F.flatten(F.transform(F.concat(F.array(title), claims), lambda t: F.split(t, r"[^\p{IsAlphabetic}\p{N}-]+")))
-    good = F.filter(words, lambda w: (F.octet_length(w) >= 4) & ~F.lower(w).isin(rules.KEYWORD_STOP))
-    return F.array_sort(F.slice(F.array_distinct(good), 1, limit))
+    return F.array_sort(F.slice(F.array_distinct(_keyword_words(F.concat(F.array(title), claims))), 1, limit))
+
+
+def all_fact_keywords(facts: DataFrame, papers: DataFrame, limit: int = 12) -> DataFrame:
+    """``(paper_key, every)``: ``topic_keywords`` over all facts of the papers ``(paper_key, title)``.
+
+    The first place of each word is an aggregate, so no paper's facts are gathered.
+    """
+    titles = papers.select("paper_key", F.lit(-1000).alias("r"), F.lit(-1).alias("chunk_index"), F.lit("").alias("claim_uid"), F.col("title").alias("said"))
+    claims = facts.join(papers.select("paper_key"), "paper_key", "left_semi")
+    claims = claims.select("paper_key", (-fact_rank(F.col("fact_type"))).alias("r"), "chunk_index", "claim_uid", F.col("claim").alias("said"))
+    words = titles.unionByName(claims).select("paper_key", "r", "chunk_index", "claim_uid", F.posexplode(_keyword_words(F.array("said"))).alias("at", "word"))
+    first = words.groupBy("paper_key", "word").agg(F.min(F.struct("r", "chunk_index", "claim_uid", "at")).alias("place"))
+    ranked = first.withColumn("n", F.row_number().over(W.partitionBy("paper_key").orderBy("place"))).where(F.col("n") <= limit)
+    return ranked.groupBy("paper_key").agg(F.array_sort(F.collect_list("word")).alias("every"))
 
 
 def first_facts(facts: DataFrame, limit: int) -> DataFrame:
@@ -120,9 +160,10 @@ def first_facts(facts: DataFrame, limit: int) -> DataFrame:
 def paper_profiles(facts: DataFrame, papers: DataFrame) -> DataFrame:
     """One row per paper with facts: summary, contribution types, keywords, contributions, limitations, digest.
 
-    Only the 12 first facts of a paper are gathered for keywords, 6 for contributions and
-    limitations each, and the first of a kind for the summary; all else are aggregates, so a
-    paper with very many facts fits as well.  ``fact_digest`` identifies the set of facts.
+    The 12 first facts of a paper are gathered for keywords, 6 for contributions and limitations
+    each, and the first of a kind for the summary; all else are aggregates, so a paper with very
+    many facts fits as well.  Where the 12 first facts have too few words, those of all facts are
+    ranked (``all_fact_keywords``).  ``fact_digest`` identifies the set of facts.
     """
     distinct = facts.groupBy("paper_key", "fact_type", "claim").agg(F.min(F.struct("chunk_index", "claim_uid")).alias("m"))
     distinct = distinct.select("paper_key", "fact_type", "claim", "m.chunk_index", "m.claim_uid")
@@ -147,12 +188,15 @@ def paper_profiles(facts: DataFrame, papers: DataFrame) -> DataFrame:
         .join(listed(distinct.where("fact_type not in ('limitation', 'context')"), 6, "claim_uid", "contributions"), "paper_key", "left")
         .join(listed(distinct.where("fact_type = 'limitation'"), 6, "claim_uid", "limitations"), "paper_key", "left")
     )
+    joined = joined.withColumn("words", topic_keywords(F.col("title"), F.col("leading")))
+    short = joined.where("facts > 12 and size(words) < 12").select("paper_key", "title")
+    joined = joined.join(all_fact_keywords(distinct, short), "paper_key", "left")
     none = F.array().cast("array<string>")
     ranks = F.transform(F.array_sort(F.transform("kinds", lambda k: F.struct((-fact_rank(k)).alias("r"), k.alias("k")))), lambda x: x["k"])
     return joined.select(
         "paper_key", "author", "title", "doi", "year", "facts",
         F.concat("title", F.lit(": "), F.coalesce("context.claim", "result.claim", "any.claim")).alias("one_sentence_summary"),
-        ranks.alias("contribution_types"), topic_keywords(F.col("title"), F.col("leading")).alias("topic_keywords"),
+        ranks.alias("contribution_types"), F.coalesce("every", "words").alias("topic_keywords"),
         F.coalesce("contributions", none).alias("contributions"), F.coalesce("limitations", none).alias("limitations"), "fact_digest",
     )
 

@@ -139,13 +139,15 @@ _PROFILES = (
     _FACTS
     + f""", w0 AS (SELECT p.paper_key, p.author, p.title, coalesce(p.doi, '') AS doi, coalesce(p.year, '') AS year, count(*) AS facts,
   coalesce(arg_min(claim, rank_position) FILTER (fact_type = 'context'), arg_min(claim, rank_position) FILTER (fact_type = 'result'), arg_min(claim, rank_position)) AS lead,
-  list(claim ORDER BY rank_position) FILTER (rank_position <= 12) AS firsts,
+  list(claim ORDER BY rank_position) AS every,
   least(count(*) FILTER (fact_type NOT IN ('limitation', 'context')), 6)::INT AS contributions, least(count(*) FILTER (fact_type = 'limitation'), 6)::INT AS limitations
   FROM r JOIN papers p USING (paper_key) GROUP BY ALL),
 kinds AS (SELECT paper_key, string_agg(fact_type, ',' ORDER BY {_RANK_CASE} DESC, fact_type) AS contribution_types FROM (SELECT DISTINCT paper_key, fact_type FROM r WHERE fact_type <> 'context') GROUP BY 1),
-w1 AS (SELECT *, list_filter(flatten(list_transform(list_concat([title], firsts), lambda t: regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}-]+'))), lambda w: strlen(w) >= 4 AND lower(w) NOT IN ({_KSTOP})) AS ws FROM w0),
+w1 AS (SELECT *, list_filter(flatten(list_transform(list_concat([title], every), lambda t: regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}-]+'))), lambda w: strlen(w) >= 4 AND lower(w) NOT IN ({_KSTOP})) AS ws FROM w0),
+kw0 AS (SELECT paper_key, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w1), kw1 AS (SELECT paper_key, w, min(i) AS i FROM kw0 GROUP BY ALL),
+kw AS (SELECT paper_key, list_sort(list(w)) AS topic_keywords FROM (SELECT * FROM kw1 QUALIFY row_number() OVER (PARTITION BY paper_key ORDER BY i) <= 12) GROUP BY 1),
 pr AS (SELECT w1.*, title || ': ' || lead AS one_sentence_summary, coalesce(contribution_types, '') AS contribution_types,
-  list_sort(list_filter(ws, lambda w, i: list_position(ws, w) = i)[:12]) AS topic_keywords FROM w1 LEFT JOIN kinds USING (paper_key))"""
+  coalesce(topic_keywords, []) AS topic_keywords FROM w1 LEFT JOIN kinds USING (paper_key) LEFT JOIN kw USING (paper_key))"""
 )
 
 _QUESTIONS = "questions AS (SELECT item_id AS query_id, author, question FROM golden_items)"
@@ -338,6 +340,13 @@ local AS (SELECT query_id, 'local_embedding' AS route, row_number() OVER (PARTIT
 
 _S_OF_C = """s AS (SELECT c.id, c.paper_key, p.author, p.title, coalesce(p.doi, '') AS doi, coalesce(p.year, '') AS year, c.chunk_index, c.section,
   coalesce(c.section_kind, 'body') AS section_kind, p.source_hash, c.text FROM c JOIN papers p USING (paper_key))"""
+_PROFILE_SCORES = f"""parts AS (
+  SELECT paper_key, {_rank('doi')} AS said, 11 AS w FROM pr UNION ALL SELECT paper_key, {_rank('title')}, 6 FROM pr
+  UNION ALL SELECT paper_key, {_rank("array_to_string(topic_keywords, ' ')")}, 5 FROM pr UNION ALL SELECT paper_key, {_rank('one_sentence_summary')}, 3 FROM pr
+  UNION ALL SELECT paper_key, {_rank('claim')}, CASE fact_type WHEN 'result' THEN 5 WHEN 'method' THEN 4 WHEN 'limitation' THEN 4 ELSE 1 END
+    FROM (SELECT DISTINCT paper_key, fact_type, claim FROM facts)),
+py AS (SELECT query_id, pr.paper_key, pr.year, pr.title, sum(w * coalesce(list_sum(list_transform(rterms, lambda t: {_occ('said', 't')})), 0))::BIGINT AS score
+  FROM pr JOIN rt USING (author) JOIN parts USING (paper_key) GROUP BY ALL)"""
 _HYBRID = f"""{_PROFILES}, {_S_OF_C}, {_RANKED_QUESTIONS}, {_LIKE_BODY}, {_BM25}, {_LOCAL},
 tz AS (SELECT query_id, author, terms, lower(array_to_string(terms, ' ')) AS low FROM terms), ty AS (SELECT query_id, author, terms, low, regexp_split_to_array(low, '[^a-z0-9_-]+') AS w FROM tz),
 ti AS (SELECT query_id, author, terms, {_intents()} AS intents FROM ty),
@@ -345,14 +354,11 @@ fb AS (SELECT s.id, s.author, fact_type, lower(concat_ws(' ', fact_type, claim,
 fs AS (SELECT query_id, fb.id, fact_type, list_sum(list_transform(terms, lambda x: {_occ('t', 'lower(x)')})) + CASE WHEN list_contains(intents, fact_type) THEN 3 ELSE 0 END AS score
   FROM fb JOIN ti USING (author) WHERE len(intents) = 0 OR list_contains(intents, fact_type)),
 fact AS (SELECT query_id, 'fact' AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, fact_type)::INT AS position, id AS chunk_id, score::DOUBLE AS route_score FROM fs WHERE score > 0 QUALIFY position <= {rules.ROUTE_LIMIT}),
-bx AS (SELECT *, {_rank("concat_ws(' ', title, section, text)")} AS said2, {_rank("concat_ws(' ', section, text)")} AS said FROM s),
-bj AS (SELECT query_id, paper_key, id, chunk_index, {_level(False)} AS level, said2, list_sum(list_transform(rterms, lambda t: {_occ('said2', 't')} * CASE WHEN contains(t, ' ') THEN 4 ELSE 1 END)) AS raw FROM bx JOIN rt USING (author)),
-bz AS (SELECT *, CASE WHEN {_occ('said2', "'google scholar'")} >= 2 OR {_occ('said2', "'pubmed'")} >= 2 OR {_occ('said2', "'article cas'")} >= 2 THEN raw // 8 ELSE raw END AS score FROM bj),
-best AS (SELECT query_id, paper_key, id AS chunk_id, score FROM bz QUALIFY row_number() OVER (PARTITION BY query_id, paper_key ORDER BY score DESC, level, chunk_index, id) = 1),
-px AS (SELECT paper_key, author, year, title, {_rank('doi')} AS f1, {_rank('title')} AS f2, {_rank("array_to_string(topic_keywords, ' ')")} AS f3, {_rank('one_sentence_summary')} AS f4 FROM pr),
-py AS (SELECT query_id, paper_key, year, title, coalesce(list_sum(list_transform(rterms, lambda t: 11 * {_occ('f1', 't')} + 6 * {_occ('f2', 't')} + 5 * {_occ('f3', 't')} + 3 * {_occ('f4', 't')})), 0) AS score FROM px JOIN rt USING (author)),
-pz AS (SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position FROM py QUALIFY position <= 20),
-profile AS (SELECT query_id, 'profile' AS route, position, chunk_id, score::DOUBLE AS route_score FROM pz JOIN best USING (query_id, paper_key)),
+{_PROFILE_SCORES},
+pz AS (SELECT query_id, paper_key, score, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position FROM py QUALIFY position <= 20),
+bx AS (SELECT *, {_rank("concat_ws(' ', section, text)")} AS said FROM s), bl AS (SELECT paper_key, id, chunk_index, {_level(True)} AS level FROM bx),
+rep AS (SELECT paper_key, id AS chunk_id FROM bl QUALIFY row_number() OVER (PARTITION BY paper_key ORDER BY level, chunk_index, id) = 1),
+profile AS (SELECT query_id, 'profile' AS route, position, chunk_id, score::DOUBLE AS route_score FROM pz JOIN rep USING (paper_key)),
 allr AS (SELECT * FROM fts UNION ALL SELECT * FROM liked UNION ALL SELECT * FROM fact UNION ALL SELECT * FROM local UNION ALL SELECT * FROM profile),
 fo AS (SELECT query_id, route, chunk_id, min(position) AS position FROM allr GROUP BY 1, 2, 3),
 fx AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / ({rules.RRF_OFFSET} + position)), 12) AS rrf_score, min(position) FILTER (route = 'fts' AND position <= {rules.LEXICAL_SEEDS}) AS seed FROM fo GROUP BY 1, 2),
@@ -378,7 +384,8 @@ lexical AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s
 ORACLE = {
     "article_metadata": f"WITH {_META} {_RESOLVED}",
     "fetch_result_states": """SELECT paper_key, CASE WHEN fetch_result IS NULL THEN 'missing' WHEN NOT json_valid(fetch_result) THEN 'broken'
-        WHEN json_type(fetch_result) <> 'OBJECT' THEN 'not_object' ELSE 'ok' END AS state FROM articles""",
+        WHEN json_type(fetch_result) <> 'OBJECT' THEN 'not_object'
+        WHEN len(list_filter(['$.title', '$.doi', '$.year', '$.source'], lambda f: coalesce(json_type(fetch_result, f), 'NULL') IN ('ARRAY', 'OBJECT', 'BOOLEAN'))) > 0 THEN 'bad_field' ELSE 'ok' END AS state FROM articles""",
     "article_fingerprints": f"SELECT paper_key, {_FINGERPRINT} AS source_hash FROM articles",
     "changed_papers": f"""SELECT a.paper_key, CASE WHEN p.source_hash IS NULL THEN 'new' ELSE 'changed' END AS change
         FROM (SELECT paper_key, {_FINGERPRINT} AS h FROM articles) a LEFT JOIN papers p USING (paper_key) WHERE p.source_hash IS DISTINCT FROM a.h""",
@@ -403,21 +410,30 @@ ORACLE = {
         y AS (SELECT query_id, paper_key, id, chunk_index, {_level(False)} AS level, said2, list_sum(list_transform(rterms, lambda t: {_occ('said2', 't')} * CASE WHEN contains(t, ' ') THEN 4 ELSE 1 END)) AS raw FROM x JOIN rt USING (author)),
         z AS (SELECT *, CASE WHEN {_occ('said2', "'google scholar'")} >= 2 OR {_occ('said2', "'pubmed'")} >= 2 OR {_occ('said2', "'article cas'")} >= 2 THEN raw // 8 ELSE raw END AS score FROM y)
         SELECT query_id, paper_key, id AS chunk_id, score::BIGINT AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id, paper_key ORDER BY score DESC, level, chunk_index, id) = 1""",
-    "profile_retrieval": f"""WITH {_PROFILES}, {_RANKED_QUESTIONS}, x AS (SELECT paper_key, author, year, title, {_rank('doi')} AS f1, {_rank('title')} AS f2, {_rank("array_to_string(topic_keywords, ' ')")} AS f3, {_rank('one_sentence_summary')} AS f4 FROM pr),
-        y AS (SELECT query_id, paper_key, year, title, coalesce(list_sum(list_transform(rterms, lambda t: 11 * {_occ('f1', 't')} + 6 * {_occ('f2', 't')} + 5 * {_occ('f3', 't')} + 3 * {_occ('f4', 't')})), 0)::BIGINT AS score FROM x JOIN rt USING (author))
-        SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position, score FROM y QUALIFY position <= 20""",
-    "profile_claim_retrieval": f"""WITH {_PROFILES}, {_RANKED_QUESTIONS}, parts AS (
-          SELECT paper_key, {_rank('doi')} AS said, 11 AS w FROM pr UNION ALL SELECT paper_key, {_rank('title')}, 6 FROM pr
-          UNION ALL SELECT paper_key, {_rank("array_to_string(topic_keywords, ' ')")}, 5 FROM pr UNION ALL SELECT paper_key, {_rank('one_sentence_summary')}, 3 FROM pr
-          UNION ALL SELECT paper_key, {_rank('claim')}, CASE fact_type WHEN 'result' THEN 5 WHEN 'method' THEN 4 WHEN 'limitation' THEN 4 ELSE 1 END
-            FROM (SELECT DISTINCT paper_key, fact_type, claim FROM facts)),
-        y AS (SELECT query_id, pr.paper_key, pr.year, pr.title, sum(w * coalesce(list_sum(list_transform(rterms, lambda t: {_occ('said', 't')})), 0))::BIGINT AS score
-          FROM pr JOIN rt USING (author) JOIN parts USING (paper_key) GROUP BY ALL)
-        SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position, score FROM y QUALIFY position <= 20""",
+    "profile_retrieval": f"""WITH {_PROFILES}, {_RANKED_QUESTIONS}, {_PROFILE_SCORES}
+        SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position, score FROM py QUALIFY position <= 20""",
+    "profile_claim_retrieval": f"""WITH {_PROFILES}, {_RANKED_QUESTIONS}, {_PROFILE_SCORES}
+        SELECT query_id, paper_key, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0) DESC, score DESC, year DESC, title, paper_key)::INT AS position, score FROM py QUALIFY position <= 20""",
     "pdf_normalised": r"""WITH e AS (SELECT DISTINCT ON (extract_id) extract_id, text FROM pdf_extracts)
         SELECT extract_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_hash FROM e""",
-    "evidence_paths": """WITH r AS (SELECT DISTINCT m[i] AS a, m[i + 1] AS b FROM (SELECT must_cite AS m, unnest(range(1, len(must_cite))) AS i FROM golden_items))
-        SELECT x.a AS start, x.b AS via, y.b AS \"end\" FROM r x JOIN r y ON x.b = y.a WHERE x.a <> y.b""",
+    "evidence_paths": f"""WITH {_EVIDENCE}, who AS (SELECT DISTINCT ON (id) id AS log_id, author, created_at FROM qa_logs WHERE id IS NOT NULL),
+        tr AS (SELECT author, date_trunc('month', created_at) AS month, e.paper_key AS a, lead(e.paper_key) OVER (PARTITION BY author, date_trunc('month', created_at) ORDER BY created_at, log_id, position) AS b FROM er JOIN who USING (log_id) WHERE e.paper_key IS NOT NULL),
+        r AS (SELECT DISTINCT * FROM tr WHERE b IS NOT NULL)
+        SELECT DISTINCT x.author, x.a AS start, x.b AS via, y.b AS \"end\" FROM r x JOIN r y ON x.author = y.author AND x.month = y.month AND x.b = y.a WHERE x.a <> y.b""",
+    "class_states": f"""WITH {_SOURCE}, st AS (SELECT s.id, s.author, min(CASE WHEN k.chunk_id IS NULL THEN 4 WHEN k.classifier_version IS DISTINCT FROM 'chunk-classifier-v1' THEN 3
+          WHEN k.source_hash IS DISTINCT FROM s.source_hash THEN 2 WHEN k.chunk_hash IS DISTINCT FROM c.chunk_hash THEN 1 ELSE 0 END) AS level
+          FROM s JOIN c USING (id) LEFT JOIN chunk_classifications k ON k.chunk_id = s.id GROUP BY 1, 2)
+        SELECT author, (['current', 'other_text', 'other_source', 'other_version', 'missing'])[level + 1] AS state, count(*) AS chunks FROM st GROUP BY ALL""",
+    "fact_report": f"WITH {_FACTS} SELECT fact_type, count(*) AS facts, count(DISTINCT paper_key) AS papers, count(DISTINCT author) AS authors FROM facts JOIN papers USING (paper_key) GROUP BY 1",
+    "extraction_outcomes": f"WITH {_CLASSES} SELECT chunk_kind, CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN usefulness_score < 0.5 THEN 'low_score' ELSE 'eligible' END AS outcome, count(*) AS chunks FROM k GROUP BY ALL",
+    "profile_gate": f"""WITH {_PROFILES} SELECT p.author, count(*) AS papers, count(pr.facts) AS profiles, coalesce(sum(pr.facts), 0)::BIGINT AS facts, count(*) FILTER (pr.contributions + pr.limitations > 0) AS citing
+        FROM papers p LEFT JOIN pr USING (paper_key) GROUP BY 1""",
+    "paper_chunk_counts": f"WITH {_CHUNKS} SELECT p.paper_key, p.author, count(c.id) AS chunks, max(c.chunk_index) AS last_index FROM papers p LEFT JOIN c USING (paper_key) GROUP BY 1, 2",
+    "logged_bm25_retrieval": f"WITH {_SOURCE}, questions AS (SELECT DISTINCT ON (id) id AS query_id, author, question FROM qa_logs WHERE id IS NOT NULL), {_terms('questions', 'query_id', ', author')}, {_BM25} SELECT query_id, position, chunk_id, round(route_score, 6) AS route_score FROM fts",
+    "vector_coverage": f"""WITH {_SOURCE}, {_ITEMS}, ok AS (SELECT DISTINCT chunk_id, model, model_version FROM it WHERE len(vector) = 128 AND chunk_id IS NOT NULL AND len(list_filter(vector, lambda x: x <> 0)) > 0)
+        SELECT author, model, model_version, count(*) AS chunks FROM ok JOIN s ON s.id = ok.chunk_id GROUP BY ALL""",
+    "log_modes": f"""WITH {_ANSWERS}, ql AS (SELECT DISTINCT ON (id) id, qa_mode, route_reason FROM qa_logs WHERE id IS NOT NULL)
+        SELECT qa_mode, route_reason, count(*) AS answers, count(j) AS readable, count(*) FILTER (json_array_length(j, '$.evidence') > 0) AS citing FROM ql JOIN v ON v.log_id = ql.id GROUP BY ALL""",
     "cleaned_bodies": f"SELECT paper_key, {_clean('raw_body')} AS text FROM articles WHERE raw_body IS NOT NULL",
     "noise_lines": f"""WITH {_CHUNKS}, x AS (SELECT id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM c),
         y AS (SELECT id, line_no, {_normal_line('line')} AS line FROM x) SELECT id, line_no, line FROM y WHERE {_noise('line', ['acs', 'elsevier', 'rsc'])}""",
@@ -452,8 +468,10 @@ ORACLE = {
         un AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY position, chunk_id) AS n FROM profile WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM hybrid) QUALIFY n <= 2),
         tc AS (SELECT query_id, count(*) AS tails FROM un GROUP BY 1),
         kp AS (SELECT query_id, chunk_id, position, 'hybrid' AS origin FROM hybrid LEFT JOIN tc USING (query_id) WHERE position <= 8 - coalesce(tails, 0) UNION ALL SELECT query_id, chunk_id, n + 1000, 'profile' FROM un),
-        tl AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY position, chunk_id)::INT AS position, chunk_id, origin FROM kp)
-        SELECT * FROM fi UNION ALL SELECT * FROM tl WHERE query_id NOT IN (SELECT query_id FROM fi)""",
+        tl AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY position, chunk_id)::INT AS position, chunk_id, origin FROM kp),
+        fd AS (SELECT * FROM fi UNION ALL SELECT * FROM tl WHERE query_id NOT IN (SELECT query_id FROM fi)),
+        rc AS (SELECT author, id, row_number() OVER (PARTITION BY author ORDER BY year DESC, title, chunk_index, id)::INT AS position FROM s QUALIFY position <= 8)
+        SELECT * FROM fd UNION ALL SELECT query_id, position, rc.id, 'recent' FROM questions JOIN rc USING (author) WHERE query_id NOT IN (SELECT query_id FROM fd)""",
     "golden_cases": f"WITH {_HYBRID}, {_cases('hybrid', 'ca')} SELECT * FROM ca",
     "golden_summary": f"WITH {_HYBRID}, {_cases('hybrid', 'ca')} SELECT {_SUMMARY} FROM ca",
     "golden_route_rates": f"""WITH {_HYBRID}, rr AS (SELECT route, query_id, count(*) AS n, bool_or(list_contains(must_cite, paper_key) OR len(must_cite) = 0) AS hit
@@ -480,11 +498,11 @@ ORACLE = {
         , p AS (SELECT doc_id, step, {_strip('t[start + 1:stop]')} AS piece FROM cut)
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS piece, length(piece)::INT AS characters, sha256(piece) AS chunk_hash FROM p WHERE piece <> ''""",
     "question_terms": f"WITH {_LOGS}, {_terms('l', 'id')} SELECT id, array_to_string(terms, '|') AS terms FROM terms",
-    "question_match_strings": f"""WITH {_QUESTIONS}, {_terms('questions', 'query_id')}
-        SELECT query_id, array_to_string(list_transform(terms[:12], lambda t: '"' || replace(t, '"', '""') || '"'), ' OR ') AS match FROM terms""",
+    "question_match_strings": f"""WITH {_LOGS}, {_terms('l', 'id')}
+        SELECT id, array_to_string(list_transform(terms[:12], lambda t: '"' || replace(t, '"', '""') || '"'), ' OR ') AS match FROM terms""",
     "question_intents": f"""WITH {_LOGS}, {_terms('l', 'id')}, z AS (SELECT id, lower(array_to_string(terms, ' ')) AS low FROM terms),
         y AS (SELECT id, low, regexp_split_to_array(low, '[^a-z0-9_-]+') AS w FROM z) SELECT id, array_to_string({_intents()}, ',') AS intents FROM y""",
-    "question_rank_terms": f"WITH {_QUESTIONS}, {_terms('questions', 'query_id')} SELECT query_id, array_to_string({_RANKED_TERMS}, '|') AS terms FROM terms",
+    "question_rank_terms": f"WITH {_LOGS}, {_terms('l', 'id')} SELECT id, array_to_string({_RANKED_TERMS}, '|') AS terms FROM terms",
     "question_plans": f"""WITH {_LOGS}, n AS (SELECT author, count(*) AS papers FROM papers GROUP BY 1),
         x AS (SELECT id, question, coalesce(papers, 0) AS papers, {_any('lower(question)', rules.DETAIL_KEYWORDS)} AS detail FROM l LEFT JOIN n USING (author))
         SELECT id, CASE WHEN papers = 0 OR detail THEN 'source_evidence' ELSE 'profile_first' END AS qa_mode,

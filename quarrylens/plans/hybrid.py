@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import route_mode
 from ..operators import retrieval, understanding
+from ..operators.library import top_per_author
 from ..sources.tables import cut_lineage
 
 
@@ -32,6 +33,7 @@ def facts_of(chunks: DataFrame) -> DataFrame:
 
 def library(chunks: DataFrame, papers: DataFrame) -> Library:
     """Facts and profiles made from the canonical chunk rows."""
+    chunks = cut_lineage(chunks)  # every route reads them
     facts = facts_of(chunks)
     return Library(chunks, facts, cut_lineage(understanding.paper_profiles(facts, papers)))
 
@@ -43,7 +45,7 @@ def routes(questions: DataFrame, lib: Library) -> DataFrame:
         retrieval.like_route(questions, lib.chunks),
         retrieval.fact_route(questions, lib.chunks, lib.facts),
         retrieval.local_vector_route(questions, lib.chunks),
-        retrieval.profile_route(questions, lib.chunks, lib.profiles),
+        retrieval.profile_route(questions, lib.chunks, lib.profiles, lib.facts),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -60,7 +62,8 @@ def context(questions: DataFrame, lib: Library, limit: int = 8, reserve: int = 2
     """``(query_id, position, chunk_id, origin)``: what a question is answered from.
 
     Questions planned as profile first take the chunks of their profiles if there are any; all
-    others the fused ones with profile chunks in the tail.
+    others the fused ones with profile chunks in the tail.  Where nothing is found, the most
+    recent chunks of the author stand in.
     """
     profiled = lib.profiles.groupBy("author").agg(F.count(F.lit(1)).alias("profiles"))
     planned = questions.join(profiled, "author", "left").select(
@@ -72,4 +75,7 @@ def context(questions: DataFrame, lib: Library, limit: int = 8, reserve: int = 2
     first = first.select("query_id", "position", "chunk_id", F.lit("profile").alias("origin"))
     fused = retrieval.with_tail(retrieval.fuse(found, limit), grounding, limit, reserve)
     rest = fused.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    return first.unionByName(rest)
+    found = first.unionByName(rest)
+    empty = questions.select("query_id", "author").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    recent = top_per_author(lib.chunks, limit).select("author", "position", F.col("id").alias("chunk_id"))
+    return found.unionByName(empty.join(recent, "author").select("query_id", "position", "chunk_id", F.lit("recent").alias("origin")))

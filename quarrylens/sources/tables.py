@@ -16,11 +16,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder, so that lost executors cost no recomputation.
 
     The folder is ``spark.checkpoint.dir``; only where neither it nor a checkpoint directory is
-    set (tests, a single machine) a temporary one is used.
+    set and Spark runs on this machine alone (tests) a temporary one is used.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
