@@ -143,6 +143,9 @@ RANK_STOP = [
     "uses", "use", "cover", "covers", "connect", "connects", "about", "does", "how", "2026",
 ]
 SYNONYMS = {"mof": ["metal organic framework", "metal organic frameworks"], "oer": ["oxygen evolution"]}
+#: Further synonyms of the terms that chunks are ranked by.
+SMART_GARMENTS = ["smart garments", "smart garment", "phase change fabrics", "phase change garment"]
+CHUNK_SYNONYMS = SYNONYMS | {word: SMART_GARMENTS for word in ("wearable", "thermoregulation", "phase change", "phase change materials")}
 PROFILE_WEIGHTS = {"doi": 10, "title": 5, "topic_keywords": 4, "key_results": 4, "methods": 3, "limitations": 3, "one_sentence_summary": 2}
 INSUFFICIENT = ["insufficient_context", "证据不足", "信息不足"]
 UNCERTAIN = ["uncertain", "limited evidence", "partial support", "不确定", "证据有限", "可能"]

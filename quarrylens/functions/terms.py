@@ -81,7 +81,7 @@ def fact_intents(terms: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def rank_terms(terms: Column) -> Column:
+def rank_terms(terms: Column, alike: dict[str, list[str]] = rules.SYNONYMS) -> Column:
     """Terms for ranking: normalised, 3 characters and more, no stop words, with synonyms and a plural or singular."""
     normal = F.transform(terms, rank_text)
     normal = F.filter(normal, lambda t: (F.length(t) >= 3) & ~t.isin(rules.RANK_STOP))
@@ -93,8 +93,8 @@ def rank_terms(terms: Column) -> Column:
             .otherwise(F.array().cast("array<string>"))
         )
         synonyms = F.array().cast("array<string>")
-        for word, alike in rules.SYNONYMS.items():
-            synonyms = F.when(t == word, F.array(*map(F.lit, alike))).otherwise(synonyms)
+        for word, others in alike.items():
+            synonyms = F.when(t == word, F.array(*map(F.lit, others))).otherwise(synonyms)
         return F.concat(F.array(t), synonyms, number)
 
     return F.array_distinct(F.flatten(F.transform(normal, spread)))

@@ -59,16 +59,28 @@ def grouping_report(logs: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(logs: DataFrame) -> DataFrame:
-    """``(qa_mode, p50, p95)`` of the latency, exact and interpolated."""
-    return logs.where("latency_ms is not null").groupBy("qa_mode").agg(
-        F.round(F.expr("percentile(latency_ms, 0.5)"), 6).alias("p50"), F.round(F.expr("percentile(latency_ms, 0.95)"), 6).alias("p95")
+    """``(qa_mode, p50, p95)`` of the latency, exact and interpolated; equal values are counted first."""
+    counted = logs.where("latency_ms is not null").groupBy("qa_mode", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("qa_mode").agg(
+        F.round(F.expr("percentile(latency_ms, 0.5, n)"), 6).alias("p50"), F.round(F.expr("percentile(latency_ms, 0.95, n)"), 6).alias("p95")
     )
 
 
 def gaps(logs: DataFrame, minutes: int = 30) -> DataFrame:
-    """``(author, session, started, questions)``: an author's logs in sessions, cut where ``minutes`` pass without one."""
-    order = W.partitionBy("author").orderBy("created_at", "id")
-    gap = F.unix_timestamp("created_at") - F.unix_timestamp(F.lag("created_at").over(order))
-    marked = logs.withColumn("opens", F.when(gap.isNull() | (gap > minutes * 60), 1).otherwise(0))
-    numbered = marked.withColumn("session", F.sum("opens").over(order))
+    """``(author, session, started, questions)``: an author's logs in sessions, cut where ``minutes`` pass without one.
+
+    Logs are compared within a day, and days by their ends, so that no task has all logs of an author.
+    """
+    rows = logs.select("author", "id", "created_at").withColumn("day", F.to_date("created_at"))
+    within = W.partitionBy("author", "day").orderBy("created_at", "id")
+    days = rows.groupBy("author", "day").agg(F.max("created_at").alias("last"))
+    # a row for each day of an author
+    by_day = W.partitionBy("author").orderBy("day")
+    days = days.select("author", "day", F.lag("last").over(by_day).alias("day_before"))
+    joined = rows.withColumn("before", F.lag("created_at").over(within)).join(days, ["author", "day"])
+    gap = F.unix_timestamp("created_at") - F.unix_timestamp(F.coalesce("before", "day_before"))
+    marked = joined.withColumn("opens", F.when(gap.isNull() | (gap > minutes * 60), 1).otherwise(0))
+    opened = marked.groupBy("author", "day").agg(F.sum("opens").alias("of_day"))
+    opened = opened.select("author", "day", (F.sum("of_day").over(by_day) - F.col("of_day")).alias("earlier"))
+    numbered = marked.join(opened, ["author", "day"]).withColumn("session", F.col("earlier") + F.sum("opens").over(within))
     return numbered.groupBy("author", "session").agg(F.min("created_at").alias("started"), F.count(F.lit(1)).alias("questions"))

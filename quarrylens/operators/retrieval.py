@@ -172,7 +172,7 @@ def best_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     Phrases weigh 4; chunks that look like reference lists count an eighth; without a match the
     fallback level decides, then the lower index.
     """
-    terms = with_terms(questions).select("query_id", "author", rank_terms(F.col("terms")).alias("terms"))
+    terms = with_terms(questions).select("query_id", "author", rank_terms(F.col("terms"), rules.CHUNK_SYNONYMS).alias("terms"))
     said = rank_text(F.concat_ws(" ", "title", "section", "text"))
     level = _fallback_levels(F.col("section"), F.col("text"), F.col("section_kind"), F.col("chunk_index"), False)
     rows = chunks.select("id", "author", "paper_key", "chunk_index", level.alias("level"), said.alias("said")).join(terms, "author")

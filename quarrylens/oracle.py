@@ -85,16 +85,22 @@ def _intents() -> str:
     return "list_filter([" + ", ".join(cases) + "], lambda t: t IS NOT NULL)"
 
 
-def _synonym_case() -> str:
-    return "CASE " + " ".join(f"WHEN t = {_q(k)} THEN [{', '.join(map(_q, v))}]" for k, v in rules.SYNONYMS.items()) + " ELSE [] END"
+def _synonym_case(alike: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join(f"WHEN t = {_q(k)} THEN [{', '.join(map(_q, v))}]" for k, v in alike.items()) + " ELSE [] END"
 
 
 _STOP = ", ".join(map(_q, rules.RANK_STOP))
 _RANK_TERMS = (
     f"list_filter(list_transform(terms, lambda t: {_rank('t')}), lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))"
 )
-_SPREAD = f"flatten(list_transform({_RANK_TERMS}, lambda t: list_concat(list_concat([t], {_synonym_case()}), CASE WHEN NOT ends_with(t, 's') THEN [t || 's'] WHEN length(t) >= 5 THEN [t[:-2]] ELSE [] END)))"
-_RANKED_TERMS = f"list_filter({_SPREAD}, lambda t, i: list_position({_SPREAD}, t) = i)"
+
+
+def _ranked_terms(alike: dict[str, list[str]]) -> str:
+    spread = f"flatten(list_transform({_RANK_TERMS}, lambda t: list_concat(list_concat([t], {_synonym_case(alike)}), CASE WHEN NOT ends_with(t, 's') THEN [t || 's'] WHEN length(t) >= 5 THEN [t[:-2]] ELSE [] END)))"
+    return f"list_filter({spread}, lambda t, i: list_position({spread}, t) = i)"
+
+
+_RANKED_TERMS = _ranked_terms(rules.SYNONYMS)
 
 
 def _class_case(field: int) -> str:
@@ -406,7 +412,7 @@ ORACLE = {
     "evidence_errors": f"WITH {_EVIDENCE} SELECT log_id, position, chunk_id, error FROM ee",
     "claim_errors": f"WITH {_ANSWERS}, {_CLAIMS} SELECT log_id, position, error FROM ce",
     "answer_verdicts": f"WITH {_EVIDENCE}, {_CLAIMS}, {_VERDICTS} SELECT v.log_id, CASE WHEN j IS NULL THEN 'unreadable' ELSE coalesce(error, 'valid') END AS verdict FROM v LEFT JOIN ff USING (log_id)",
-    "best_chunks": f"""WITH {_SOURCE}, {_RANKED_QUESTIONS}, x AS (SELECT *, {_rank("concat_ws(' ', title, section, text)")} AS said2, {_rank("concat_ws(' ', section, text)")} AS said FROM s),
+    "best_chunks": f"""WITH {_SOURCE}, {_QUESTIONS}, {_terms('questions', 'query_id', ', author')}, rt AS (SELECT query_id, author, {_ranked_terms(rules.CHUNK_SYNONYMS)} AS rterms FROM terms), x AS (SELECT *, {_rank("concat_ws(' ', title, section, text)")} AS said2, {_rank("concat_ws(' ', section, text)")} AS said FROM s),
         y AS (SELECT query_id, paper_key, id, chunk_index, {_level(False)} AS level, said2, list_sum(list_transform(rterms, lambda t: {_occ('said2', 't')} * CASE WHEN contains(t, ' ') THEN 4 ELSE 1 END)) AS raw FROM x JOIN rt USING (author)),
         z AS (SELECT *, CASE WHEN {_occ('said2', "'google scholar'")} >= 2 OR {_occ('said2', "'pubmed'")} >= 2 OR {_occ('said2', "'article cas'")} >= 2 THEN raw // 8 ELSE raw END AS score FROM y)
         SELECT query_id, paper_key, id AS chunk_id, score::BIGINT AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id, paper_key ORDER BY score DESC, level, chunk_index, id) = 1""",

@@ -58,6 +58,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{4,}", "\n\n\n"), r"(?U)^\s+|\s+$", "")
 
 
+#: Ids whose equal names are numbered in one task.
+_IDS_AT_ONCE = 100_000
+
+
 def metadata(extracts: DataFrame) -> DataFrame:
     """``(extract_id, doi, year, title)`` of ``(extract_id, text)``, each extract once."""
     once = extracts.select("extract_id", "text").dropDuplicates(["extract_id"])
@@ -65,8 +69,15 @@ def metadata(extracts: DataFrame) -> DataFrame:
 
 
 def paper_ids(found: DataFrame) -> DataFrame:
-    """``(extract_id, paper_id)``: year and slug of the DOI or title; the n-th of equal ones gets ``-n``."""
+    """``(extract_id, paper_id)``: year and slug of the DOI or title; the n-th of equal ones gets ``-n``.
+
+    Equal ones are numbered in ranges of ids, so that those without metadata, however many, don't meet in one task.
+    """
     name = F.coalesce(F.nullif(slug(F.when(F.col("doi") != "", F.col("doi")).otherwise(F.col("title"))), F.lit("")), F.lit("paper"))
     base = found.select("extract_id", F.concat_ws("-", F.coalesce(F.nullif("year", F.lit("")), F.lit("undated")), name).alias("base"))
-    n = F.row_number().over(W.partitionBy("base").orderBy("extract_id"))
+    base = base.withColumn("range", F.floor(F.col("extract_id") / _IDS_AT_ONCE))
+    ranges = base.groupBy("base", "range").agg(F.count(F.lit(1)).alias("size"))
+    ranges = ranges.select("base", "range", (F.sum("size").over(W.partitionBy("base").orderBy("range")) - F.col("size")).alias("earlier"))
+    base = base.join(ranges, ["base", "range"])
+    n = F.col("earlier") + F.row_number().over(W.partitionBy("base", "range").orderBy("extract_id"))
     return base.select("extract_id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("paper_id"))

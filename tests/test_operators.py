@@ -250,3 +250,39 @@ def test_article_chunks_by_source(spark):
     assert "Show more" in rows(made.where("paper_key = 'A/2' and chunk_index = 0"), "text")[0][0]
     assert {r[0] for r in rows(made, "paper_key")} == {"A/1", "A/2"}
     assert library.fetch_result_state(frame).where("state = 'ok'").count() == 1
+
+
+def test_keywords_of_all_facts(spark):
+    papers = spark.createDataFrame([("p", "A", "Title words", None, None)], "paper_key string, author string, title string, doi string, year string")
+    facts = spark.range(20).selectExpr(
+        "concat('u', lpad(id, 2, '0')) AS claim_uid", "'p' AS paper_key", "id AS chunk_index", "'result' AS fact_type", "concat('same claim ', if(id < 14, concat(' ', repeat('ab', int(id) % 2 + 2), repeat('-', int(id))), concat('later', id))) AS claim"
+    )
+    words = understanding.paper_profiles(facts, papers).first().topic_keywords
+    assert {"Title", "words", "same", "claim"} < set(words) and len(words) == 12
+    few = understanding.paper_profiles(facts.where("chunk_index > 16"), papers).first().topic_keywords
+    assert few == sorted(["Title", "words", "same", "claim", "later17", "later18", "later19"])
+
+
+def test_class_states(spark):
+    chunks = spark.createDataFrame([(i, "p", None if i == 5 else f"h{i}") for i in range(1, 7)], "id bigint, paper_key string, chunk_hash string")
+    papers = spark.createDataFrame([("p", "s")], "paper_key string, source_hash string")
+    stored = [(1, "v1", "s", "h1"), (1, "v0", "s", "x"), (2, "v1", "s", "x"), (3, "v1", None, "h3"), (4, "v0", "s", "h4"), (5, "v1", "s", None)]
+    classes = spark.createDataFrame(stored, "chunk_id bigint, classifier_version string, source_hash string, chunk_hash string")
+    found = dict(rows(understanding.class_states(chunks, papers, classes, "v1"), "chunk_id", "state"))
+    assert found == {1: "current", 2: "other_text", 3: "other_source", 4: "other_version", 5: "current", 6: "missing"}
+
+
+def test_sessions_across_midnight(spark):
+    at = [dt.datetime(2024, 1, 1, 23, 50), dt.datetime(2024, 1, 2, 0, 10), dt.datetime(2024, 1, 2, 0, 50), dt.datetime(2024, 1, 4, 1, 0)]
+    frame = spark.createDataFrame([(i, "a", t) for i, t in enumerate(at)] + [(9, "b", at[0])], "id bigint, author string, created_at timestamp")
+    assert rows(logs.gaps(frame), "author", "session", "questions") == [("a", 1, 2), ("a", 2, 1), ("a", 3, 1), ("b", 1, 1)]
+
+
+def test_publisher_layers(spark):
+    from quarrylens.functions import clean
+
+    frame = spark.createDataFrame([("American Chemical Society",), ("RSC",), ("rscx",), ("Springer Nature",), (None,)], "source string")
+    named, columns = clean.with_layers(frame)
+    assert [tuple(k for k, v in r.asDict().items() if v is True) for r in named.collect()] == [
+        ("_for_acs",), ("_for_rsc",), (), ("_for_springer", "_for_nature"), ()
+    ] and set(columns) == {"acs", "elsevier", "rsc", "wiley", "springer", "nature"}
