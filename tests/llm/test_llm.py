@@ -442,6 +442,34 @@ def test_mixture(spark):
     assert p7.report(p7.mix(frame.limit(0), targets)).where("taken_tokens > 0").count() == 0
 
 
+def test_permutation_of_the_mixture(spark):
+    docs = [(i, "big" if i < 150 else "small", passage(5 + i % 30, i)) for i in range(180)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
+    for how in ({"budget": p7.ALL_TOKENS}, {"budget": p7.MEET_TARGETS}, {"budget": p7.ALL_TOKENS, "tempered": True}):
+        mixed = p7.mix(frame, targets, block_tokens=300, **how)
+        sizes = dict(rows(p7.token_counts(frame), "doc_id", "tokens"))
+        of_source = {name: sum(sizes[d] for d, s, _ in docs if s == name) for name in ("big", "small")}
+        for name, quota in mixed.plan.quota.items():
+            assert quota <= of_source[name] * {"big": 1, "small": 3}[name]
+            taken = sorted((r for r in mixed.rows.collect() if r.source == name), key=lambda r: (r["pass"], r.block, r.place))
+            running = 0
+            for r in taken:  # the order of blocks and places adds up, document by document
+                running += r.tokens
+                assert r.tokens == sizes[r.doc_id] and r.running_tokens == running and r.running_share == pytest.approx(running / quota)
+            assert quota - max(sizes.values()) < running <= quota
+            for k in range(1, quota // of_source[name] + 1):  # whole passes have every document once
+                assert sorted(r.doc_id for r in taken if r["pass"] == k) == sorted(d for d, s, _ in docs if s == name)
+            assert len({r.block for r in taken}) > 1 or quota < 300
+
+
+def test_block_starts_in_two_levels(spark):
+    sizes = spark.createDataFrame([("a", 1, b, 10 * b + 1) for b in range(23)], "source string, pass int, block bigint, size bigint")
+    for at_once in (4, 5, 100):
+        found = dict(rows(p7.block_starts(sizes, at_once), "block", "before"))
+        assert found == {b: sum(10 * k + 1 for k in range(b)) for b in range(23)}
+
+
 # --- 8 ----------------------------------------------------------------------
 
 
