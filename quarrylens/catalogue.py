@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .functions import clean, rules, terms, text
-from .operators import answers, embeddings, evaluation, library, logs, retrieval, sections, understanding
+from .operators import answers, embeddings, evaluation, library, log_retrieval, logs, retrieval, sections, understanding
 from .oracle import ORACLE
 from .plans import hybrid
 from .sources import pdf
@@ -423,7 +423,8 @@ def dense_retrieval(t: Tables) -> DataFrame:
 def logged_bm25_retrieval(t: Tables) -> DataFrame:
     """The lexical route for every logged question."""
     asked = t.logs_once.select(F.col("id").alias("query_id"), "author", "question")
-    return retrieval.bm25_route(asked, t.source_chunks).select("query_id", "position", "chunk_id", F.round("route_score", 6).alias("route_score"))
+    score = F.round(F.col("route_score") * 1e6) / 1e6  # binary halves as the SQL rounds them
+    return log_retrieval.bm25_log_route(asked, t.source_chunks).select("query_id", "position", "chunk_id", score.alias("route_score"))
 
 
 @query

@@ -286,3 +286,26 @@ def test_publisher_layers(spark):
     assert [tuple(k for k, v in r.asDict().items() if v is True) for r in named.collect()] == [
         ("_for_acs",), ("_for_rsc",), (), ("_for_springer", "_for_nature"), ()
     ] and set(columns) == {"acs", "elsevier", "rsc", "wiley", "springer", "nature"}
+
+
+def test_the_route_for_logs_equals_the_route_for_batches(spark):
+    """Shared and rare phrases, ties, several tasks an author; by ids, scores and places."""
+    import random
+
+    from quarrylens.operators import log_retrieval
+
+    random.seed(5)
+    common, rare = "the of alloy foam in x-ray pores water after cycles".split(), [f"name{i}ene" for i in range(40)]
+    texts = [" ".join(random.choices(common, k=random.randint(1, 12)) + random.choices(rare, k=random.randint(0, 2))) for _ in range(400)]
+    texts = [f"Which alloy foam? {t}" if i % 7 == 0 else t for i, t in enumerate(texts)] + [None, "", "?!", texts[0], texts[0]]
+    chunks = spark.createDataFrame([(i, None if i == 9 else "AAAB"[i % 4], t) for i, t in enumerate(texts)], "id long, author string, text string")
+    asked = [f"Which {random.choice(common)} {random.choice(common)} of {random.choice(rare)} after {i % 5} cycles" for i in range(120)]
+    asked += ['the "alloy foam" in water', "which alloy foam", "x-ray", "the alloy", "the alloy", "", None, "nothing here", "氧空位", f"{rare[0]} {rare[1]} foam"]
+    questions = spark.createDataFrame([(i, None if i == 3 else "AB"[i % 2], q) for i, q in enumerate(asked)], "query_id long, author string, question string")
+    expected = rows(retrieval.bm25_route(questions, chunks, 7))
+    assert len(expected) > 700
+    for more in ({"block": 60, "slices": 20}, {"frequent": 0.0}):
+        found = rows(log_retrieval.bm25_log_route(questions, chunks, 7, **more))
+        assert [r[:4] for r in found] == [r[:4] for r in expected]
+        assert all(abs(a[4] - b[4]) < 1e-8 for a, b in zip(found, expected))
+    assert not log_retrieval.bm25_log_route(questions.limit(0), chunks).count()
