@@ -46,6 +46,7 @@ _REFERENCE = re.compile(r"\(\d{4}[a-z]?\)\.?\s*$|\bdoi\b|\b\d{1,4}\s?[,:]\s?\d{1
 _GLOSS = re.compile(r"^\s*[A-Z][A-Z0-9]{1,7}\s*[—–:=-]\s*\S")
 _CELLS = re.compile(r"\t|\s*\|\s*|</t[dh]>\s*<t[dh]>|\s;\s|(?<=\S)\s{2,}(?=\S)")
 _PARTS = re.compile(r"\s*;\s+|\s+·\s+|\s+•\s+")
+_BLANK = re.compile(r"\n\s*\n")
 _NOT_SOLID = re.compile(r"[\W_]+")
 _TAG = re.compile(r"</?t(?:r|d|h|able|body|head)\b[^>]*>")
 _END = re.compile(r"[.!?。！？…:][\"'”’)\]]*\s*$")
@@ -53,17 +54,36 @@ _SENTENCE = re.compile(r"[.!?。！？](?:\s|$|[\"'”’)\]])")
 _FURNITURE_SPLIT = re.compile(r"\s*[|·•»>\n\t]\s*|\s{2,}|\s*/\s*")
 _FURNITURE_MARK = re.compile(r"[|·•»>\n\t/]|\s\s")
 _COUNT = re.compile(r"\s*\(\d+\)\s*$|\s+\d+\s*$")
+_KEYWORDS = re.compile(r"(?:keywords?|index terms|key words)\b", re.I)
+_NO_END = re.compile(r"[.!?。！？][\"'”’)\]]*$")
+#: The first letters of the furniture; no label is shorter.
+_STARTS = frozenset(label[:4] for label in FURNITURE)
+_PLAIN = frozenset(c for c in map(chr, range(128)) if not _BAD.search(c) and not _ODD.search(c))
+_ASCII_NOT_SOLID = bytes(c for c in range(128) if not chr(c).isalnum())
+_ASCII_WORDS = bytes(ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)) + bytes([32]) * 128
 
 
-def _furniture(line: str) -> bool:
-    pieces = _FURNITURE_SPLIT.split(line) if _FURNITURE_MARK.search(line) else [line]
-    parts = [_COUNT.sub("", p).strip().lower().rstrip(".:") for p in pieces if p.strip()]
-    return bool(parts) and sum(p in FURNITURE for p in parts) >= 0.6 * len(parts)
+def _words(text: str) -> list[str]:
+    """The lower-cased words of a line."""
+    if text.isascii():
+        return text.encode().translate(_ASCII_WORDS).decode().split()
+    return _WORD.findall(text.lower())
 
 
-def _garbled(words: list[str]) -> bool:
-    """Whether words look like random letters: no common word and many odd clusters."""
-    if len(words) < 4 or sum(w in COMMON for w in words) > 0.1 * len(words):
+def _furniture(line: str) -> bool:
+    if line.isascii() and line.isprintable():
+        marked = "|" in line or ">" in line or "/" in line or "  " in line
+    else:
+        marked = _FURNITURE_MARK.search(line)
+    pieces = _FURNITURE_SPLIT.split(line) if marked else [line]
+    pieces = [p for p in pieces if p.strip()]
+    named = [p for p in pieces if p.lstrip()[:4].lower()[:4] in _STARTS]
+    return bool(named) and sum(_COUNT.sub("", p).strip().lower().rstrip(".:") in FURNITURE for p in named) >= 0.6 * len(pieces)
+
+
+def _garbled(words: list[str], common: int) -> bool:
+    """Whether words, so many of them common, look like random letters: no common word and many odd clusters."""
+    if len(words) < 4 or common > 0.1 * len(words):
         return False
     plain = [w for w in words if len(w) > 1]
     return bool(plain) and sum(bool(_CLUSTER.search(w)) for w in plain) > 0.3 * len(plain)
@@ -75,18 +95,26 @@ def _junk(line: str) -> bool:
         return False
     # printable ASCII has no odd characters
     if not (line.isascii() and line.isprintable()) or "(cid:" in line:
-        cid = sum(map(len, _CID.findall(line)))
-        if cid > 0.3 * len(line) or len(_BAD.findall(line)) + len(_ODD.findall(line)) > 0.12 * size:
+        if "(cid:" in line:
+            cid = sum(map(len, _CID.findall(line)))
+            if cid > 0.3 * len(line) or len(_BAD.findall(line)) + len(_ODD.findall(line)) > 0.12 * size:
+                return True
+        # each character by itself: those of one kind at once
+        elif sum(line.count(c) * (bool(_BAD.match(c)) + bool(_ODD.match(c))) for c in set(line).difference(_PLAIN)) > 0.12 * size:
             return True
-    if len(_NOT_SOLID.sub("", line)) < 0.2 * size and not (_VALUE.fullmatch(line.strip())):
+    if line.isascii():
+        raw = line.encode()
+        solid, marks, more = (len(raw.translate(None, _ASCII_NOT_SOLID)), *(len(raw) - len(raw.translate(None, signs)) for signs in (b"\\{}^_$&", b"%#~")))
+    else:
+        solid, marks, more = (len(_NOT_SOLID.sub("", line)), *(sum(map(line.count, signs)) for signs in ("\\{}^_$&", "%#~")))
+    if solid < 0.2 * size and not (_VALUE.fullmatch(line.strip())):
         return True
     if _HEX.match(line.strip()):
         return True
     if max(map(len, line.split())) >= 40 and sum(map(len, _WORD.findall(line))) > 0.3 * size:
         if any(re.search("[a-z]", m) and re.search("[A-Z]", m) and re.search(r"\d|[+/]", m) for m in _CODED.findall(line)):
             return True
-    marks = sum(map(line.count, "\\{}^_$&"))
-    if marks > 0.2 * size or marks + sum(map(line.count, "%#~")) > 1 and sum(map(len, _LATEX.findall(line))) > 0.25 * size:
+    if marks > 0.2 * size or marks + more > 1 and sum(map(len, _LATEX.findall(line))) > 0.25 * size:
         return True
     return _furniture(line)
 
@@ -101,11 +129,11 @@ def _kind(line: str) -> str:
     tokens = text.split()
     apart = "|" in text or " ; " in text or " ".join(tokens) != text  # else there is one cell
     cells = [c for c in _CELLS.split(text.strip("|")) if c.strip()] if apart or "</t" in text else [text]
-    words = _WORD.findall(text.lower())
+    words = _words(text)
     common = sum(map(COMMON.__contains__, words))
     longest = max(cells, key=len) if len(cells) > 1 else ""
     if len(longest) > 60 and len(longest) > 0.5 * len(text):
-        inner = _WORD.findall(longest.lower())
+        inner = _words(longest)
         if sum(w in COMMON for w in inner) >= 0.15 * len(inner):
             return "prose"  # a sentence in a cell, or a title beside a page number
     if len(cells) > 1 and len(text) > 40 * len(cells) and common >= 0.15 * len(words):
@@ -140,14 +168,14 @@ def _kind(line: str) -> str:
     parts = [p for p in _PARTS.split(text) if p] if ";" in text or "·" in text or "•" in text else ()
     if len(parts) >= 4 and len(text) / len(parts) < 45 and common < 0.12 * max(1, len(words)):
         return "list"
-    if re.match(r"(?:keywords?|index terms|key words)\b", text, re.I) and common <= 0.15 * len(words) + 1:
+    if _KEYWORDS.match(text) and common <= 0.15 * len(words) + 1:
         return "list"
     parts = text.split(", ")
     if len(parts) >= 5 and common < 0.06 * max(1, len(words)) and len(text) / len(parts) < 35:
         return "list"
-    if _garbled(words):
+    if _garbled(words, common):
         return "junk"
-    if len(tokens) <= 12 and not re.search(r"[.!?。！？][\"'”’)\]]*$", text) and not text.startswith("#"):
+    if len(tokens) <= 12 and not _NO_END.search(text) and not text.startswith("#"):
         return "head" if text.endswith(":") else "item"
     return "prose"
 
@@ -155,6 +183,8 @@ def _kind(line: str) -> str:
 def _resolve(lines: list[str], kinds: list[str]) -> list[str]:
     """Short lines by their neighbours: cells among values, items among items, line breaks within prose."""
     out = list(kinds)
+    if not {"value", "item", "head"}.intersection(kinds):
+        return out
     n = len(lines)
     i = 0
     while i < n:
@@ -172,7 +202,7 @@ def _resolve(lines: list[str], kinds: list[str]) -> list[str]:
         common = sum(w in COMMON for w in words)
         if size >= 4 and values >= 0.25 * size:
             kind = "table"
-        elif _garbled(words):
+        elif _garbled(words, common):
             kind = "junk"
         elif size >= 2 and common >= 0.13 * len(words) and sum(len(lines[k]) for k in run) > 25 * size:
             kind = "prose"  # wrapped lines
@@ -191,8 +221,11 @@ def _resolve(lines: list[str], kinds: list[str]) -> list[str]:
     return out
 
 
-def _repetition(words: list[str]) -> tuple[float, float, float, float]:
-    """For 2, 3 and 4 words the share of the words' characters in occurrences of the most frequent n-gram, and the share of repeated 4-grams."""
+def _repetition(words: list[str], bounds: tuple[float, ...] = ()) -> tuple[float, float, float, float]:
+    """For 2, 3 and 4 words the share of the words' characters in occurrences of the most frequent n-gram, and the share of repeated 4-grams.
+
+    With bounds all are 0 where no share can be above its bound, nor more than half of the 4-grams repeated.
+    """
     shares, size = [0.0, 0.0, 0.0], sum(map(len, words))
     for k, width in enumerate((2, 3, 4)):
         if len(words) < 2 * width:
@@ -201,6 +234,10 @@ def _repetition(words: list[str]) -> tuple[float, float, float, float]:
         n = max(counts.values())
         if n == 1:
             break  # nor does any longer one occur again
+        if bounds and width == n == 2:  # the longer ones occur twice at most
+            longest = sorted(map(len, words))[-4:]
+            if all(n * sum(longest[-k:]) / size <= bound for k, bound in zip((2, 3, 4), bounds)):
+                return (0.0,) * 4
         gram = next(g for g, m in counts.items() if m == n)
         shares[k] = min(1.0, n * sum(map(len, gram)) / max(1, size))
         if width == 4:
@@ -210,31 +247,39 @@ def _repetition(words: list[str]) -> tuple[float, float, float, float]:
 
 def text_class(text: str | None) -> str:
     """prose, list, table, junk, or empty for null and blank texts."""
-    return measured(text)[1]
+    kind = _line_class(text)
+    return "junk" if kind in ("prose", "list") and _filler(text, kind) else kind
 
 
 def measured(text: str | None) -> tuple[tuple, str]:
     """The figures of one text and its class, which reads the repetition figures."""
     figures, repeated = _figures(text)
     kind = _line_class(text)
-    return figures, "junk" if kind in ("prose", "list") and _filler(text, kind, figures, repeated) else kind
+    return figures, "junk" if kind in ("prose", "list") and _filler(text, kind, (figures, repeated)) else kind
 
 
 #: From how many words on which coverage by one 2-, 3- or 4-gram is filler; few words repeat some by chance.
 FILLER = ((100, (0.20, 0.18, 0.16)), (50, (0.40, 0.36, 0.32)))
 
 
-def _filler(text: str, kind: str, figures: tuple, repeated: float) -> bool:
-    """Whether the same lines, paragraphs or sentences make up most of the text."""
-    n_words, (lines, paragraphs, *grams) = figures[0], figures[7:]
-    if lines > 0.6 and sum(bool(x.strip()) for x in text.split("\n")) >= 6:
+def _filler(text: str, kind: str, known: tuple[tuple, float] | None = None) -> bool:
+    """Whether the same lines, paragraphs or sentences make up most of the text; of its figures only what is asked is made."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    if len(lines) >= 6 and 1 - len(set(lines)) / len(lines) > 0.6:
         return True
-    if paragraphs > 0.6 and len([x for x in re.split(r"\n\s*\n", text) if x.strip()]) >= 4:
+    paragraphs = [x.strip() for x in _BLANK.split(text) if x.strip()] if "\n" in text else ()
+    if len(paragraphs) >= 4 and 1 - len(set(paragraphs)) / len(paragraphs) > 0.6:
         return True
     if kind == "list":
         return False  # entries of one form share words
+    if known is None:
+        words = [w for line in lines for w in _words(line)]
+        n_words = len(words)
+    else:
+        n_words = known[0][0]
     for least, bounds in FILLER:
         if n_words >= least:
+            *grams, repeated = _repetition(words, bounds) if known is None else (*known[0][9:], known[1])
             return repeated > 0.5 or any(share > bound for share, bound in zip(grams, bounds))
     return False
 
@@ -247,8 +292,7 @@ def _line_class(text: str | None) -> str:
     share = Counter()
     for line, kind in zip(lines, kinds):
         share[kind] += len(line.strip())
-    repeated = Counter(x.strip() for x in lines)
-    if len(lines) >= 6 and max(repeated.values()) > 0.6 * len(lines):
+    if len(lines) >= 6 and max(Counter(x.strip() for x in lines).values()) > 0.6 * len(lines):
         return "junk"  # the same line again and again is filler
     return max(("prose", "list", "table", "junk"), key=lambda k: share[k])
 
@@ -263,7 +307,7 @@ def _figures(text: str | None) -> tuple[tuple, float]:
     text = text or ""
     words = _WORD.findall(text.lower())
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
+    paragraphs = [x.strip() for x in _BLANK.split(text) if x.strip()]
     visible = len(text) - sum(map(text.count, " \t\n\r"))
     letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
@@ -275,7 +319,7 @@ def _figures(text: str | None) -> tuple[tuple, float]:
         max(0, visible - letters - digits) / visible if visible else 0.0,
         digits / visible if visible else 0.0,
         sum(bool(_END.search(x)) for x in lines) / len(lines) if lines else 0.0,
-        sum(w in COMMON for w in words) / n if n else 0.0,
+        sum(map(COMMON.__contains__, words)) / n if n else 0.0,
         sum(bool(_BULLET.match(x)) for x in lines) / len(lines) if lines else 0.0,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
         1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
@@ -309,9 +353,21 @@ def quality(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, f"chunk_id bigint, {STATISTICS}, text_class string").dropDuplicates(["chunk_id"])
 
 
+def classes(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, text_class)`` of ``quality``, without the figures that no class is told by."""
+    chunks = need(chunks, ["id", "text"], "classes").where("id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = pa.array(map(text_class, batch.column(1).to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), told], names=["chunk_id", "text_class"])
+
+    return chunks.mapInArrow(run, "chunk_id bigint, text_class string").dropDuplicates(["chunk_id"])
+
+
 def found(chunks: DataFrame) -> DataFrame:
     """``p4_found``: (chunk_id, text_class) of the texts that are mostly list, table or junk."""
-    return quality(chunks).select("chunk_id", "text_class").where("text_class in ('list', 'table', 'junk')")
+    return classes(chunks).where("text_class in ('list', 'table', 'junk')")
 
 
 def against_classifier(chunks: DataFrame, classifications: DataFrame) -> DataFrame:

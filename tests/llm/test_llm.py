@@ -256,6 +256,16 @@ def test_filler_is_junk_by_the_repetition_figures(spark):
     assert rows(p4.found(chunks)) == [(i, "junk") for i in range(1, 6)]
 
 
+def test_the_class_needs_no_figures_and_is_that_of_quality(spark, monkeypatch):
+    random.seed(4)
+    lines = ["Menu", "Home | Search (3)", "Kupfer wurde für die Messung geprüft.", "a\t3.1\t4.5", "(cid:12)(cid:3)", "◊◊¤ x ¦¦", "- first item", "the alloy was heated in it and the alloy was cooled", "±5 µm — größe…", "qzxv wrtk jvbq xxzq"]
+    texts = [random.choice(("\n", "\n\n", " ")).join(random.choices(lines, k=random.randint(1, 40))) for _ in range(600)] + [None, "", " \n"]
+    expected = [p4.measured(t)[1] for t in texts]
+    assert set(expected) == {"prose", "list", "table", "junk", "empty"}
+    monkeypatch.setattr(p4, "_figures", None)  # p4_found makes none
+    assert [p4.text_class(t) for t in texts] == expected
+
+
 def test_quality(spark):
     long = "The alloy was heated in the furnace again. " * 5000
     data = [(1, "a b\na b\n\nThe end."), (2, None), (3, ""), (4, long), (1, "a b\na b\n\nThe end.")]
